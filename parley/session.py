@@ -27,12 +27,13 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "parley") ->
 
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for staged tables, as the cluster names it; a temporary one only in local mode."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="parley-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
+from parley.functions.prefilter import fold, may_match
 
 # Unicode classes and case folding; only "\n" ends a line.
 IGNORE_CASE = "(?iUd)"
@@ -15,9 +16,15 @@ MATCH_CASE = "(?Ud)"
 WORD = r"[\p{L}\p{N}_]"
 
 
-def has(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    """True where the pattern is found anywhere in the text."""
-    return text.rlike((IGNORE_CASE if ignore_case else MATCH_CASE) + pattern)
+def has(text: Column, pattern: str, folded: Column | None = None) -> Column:
+    """True where the pattern is found anywhere in the text, ignoring case.
+
+    The regular expression only runs on texts that contain a word it requires. Pass `folded`, a column of
+    prefilter.fold(text), where many patterns are tried on one text.
+    """
+    found = text.rlike(IGNORE_CASE + pattern)
+    possible = may_match(fold(text) if folded is None else folded, pattern)
+    return found if possible is None else possible & found
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

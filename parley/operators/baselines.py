@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.fixed.baseline_rules import BASELINE_RULES, HANDOFF_INTENTS, HANDOFF_WORDS, REPLY_TEMPLATES
 from parley.functions import text as tx
+from parley.functions.prefilter import fold
+from parley.functions.seal import with_sealed
 from parley.operators.taxonomy import OTHER
 
 
-def keyword_intent(text: Column) -> Column:
+def keyword_intent(text: Column, folded: Column | None = None) -> Column:
     """First rule group with a match, in rule order."""
     out = F.lit(OTHER)
     for intent, patterns in reversed(BASELINE_RULES):
-        found = tx.has(text, patterns[0])
+        found = tx.has(text, patterns[0], folded)
         for pattern in patterns[1:]:
-            found = found | tx.has(text, pattern)
+            found = found | tx.has(text, pattern, folded)
         out = F.when(found, F.lit(intent)).otherwise(out)
     return out
 
@@ -47,7 +49,9 @@ def keyword_reply(intent: Column, escalated: Column) -> Column:
 
 
 def keyword_baseline(df: DataFrame, text: str) -> DataFrame:
-    out = keyword_escalation(df.withColumn("predicted_intent", keyword_intent(F.col(text))), text)
+    folded = df.withColumn("_folded", fold(F.col(text)))
+    intent = keyword_intent(F.col(text), F.col("_folded"))
+    out = keyword_escalation(with_sealed(folded, df.columns, predicted_intent=intent), text)
     return out.withColumn("response", keyword_reply(F.col("predicted_intent"), F.col("predicted_escalate")))
 
 

@@ -10,6 +10,7 @@ from parley import schemas
 from parley.fixed import wording as fx
 from parley.fixed.gold_strata import CURATED_ROWS, GOLD_STRATA
 from parley.functions import text as tx
+from parley.functions.prefilter import fold
 from parley.operators.intents import heuristic_intent
 from parley.operators.policy import gold_escalation_label
 from parley.operators.taxonomy import MANDATORY
@@ -29,10 +30,10 @@ def exclude_used(pool: DataFrame, used: DataFrame, key: str = "pair_id") -> Data
     return pool.join(used.select(key), key, "left_anti")
 
 
-def _matches(text: Column, patterns: list[str]) -> Column:
+def _matches(text: Column, patterns: list[str], folded: Column) -> Column:
     """Positions of the patterns that match, as an array."""
     return F.filter(
-        F.array(*[F.when(tx.has(text, p), F.lit(i)) for i, p in enumerate(patterns)]), lambda i: i.isNotNull()
+        F.array(*[F.when(tx.has(text, p, folded), F.lit(i)) for i, p in enumerate(patterns)]), lambda i: i.isNotNull()
     )
 
 
@@ -44,8 +45,10 @@ def stratified_pick(candidates: DataFrame, order: list[str] = PAIR_ORDER) -> Dat
     """
     quotas = [q for _, _, _, q in GOLD_STRATA]
     bound = sum(quotas)
-    tagged = candidates.select(
-        F.explode(_matches(F.col("customer_message"), [p for _, p, _, _ in GOLD_STRATA])).alias("stratum"),
+    folded = candidates.withColumn("_folded", fold(F.col("customer_message")))
+    patterns = [p for _, p, _, _ in GOLD_STRATA]
+    tagged = folded.select(
+        F.explode(_matches(F.col("customer_message"), patterns, F.col("_folded"))).alias("stratum"),
         F.struct(*order).alias("pos"),
         "pair_id",
     )
@@ -129,10 +132,10 @@ def build_gold(pairs: DataFrame, target: int = fx.GOLD_TARGET, seed: int = 42) -
 def curated_gold(pairs: DataFrame, order: list[str] = PAIR_ORDER) -> DataFrame:
     """The first corpus row that matches each curated pattern, or the curated text itself."""
     message = F.col("customer_message")
-    english = pairs.where(tx.ascii_share(message) > 0.88)
+    english = pairs.where(tx.ascii_share(message) > 0.88).withColumn("_folded", fold(message))
     found = (
         english.select(
-            F.explode(_matches(message, [d["pattern"] for d in CURATED_ROWS])).alias("idx"),
+            F.explode(_matches(message, [d["pattern"] for d in CURATED_ROWS], F.col("_folded"))).alias("idx"),
             F.struct(*order).alias("pos"),
             F.struct(
                 tx.strip(message).alias("message_text"),

@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.fixed.intent_patterns import INTENT_PATTERNS, SAFETY_OVERRIDES
 from parley.functions import text as tx
+from parley.functions.prefilter import fold
+from parley.functions.seal import with_sealed
 from parley.operators.taxonomy import INTENT_NAMES, OTHER
 
 PREDICTION = ["intent", "confidence", "is_ambiguous", "margin", "explanation", "probabilities"]
 
 
-def pattern_mask(text: Column) -> Column:
+def pattern_mask(text: Column, folded: Column | None = None) -> Column:
     """One bit per pattern of the pack; every pattern is searched once per text."""
     bits = [
-        F.when(tx.has(text, pattern), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        F.when(tx.has(text, pattern, folded), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
         for i, (_, pattern, _) in enumerate(INTENT_PATTERNS)
     ]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
@@ -43,7 +45,8 @@ def heuristic_intent(df: DataFrame, text: str, margin_threshold: float = fx.AMBI
 
     Probabilities are rounded before they are ranked; equal ones keep the intent order.
     """
-    scored = df.withColumn("_mask", pattern_mask(tx.strip(F.coalesce(F.col(text), F.lit("")))))
+    scored = df.withColumn("_text", tx.strip(F.coalesce(F.col(text), F.lit("")))).withColumn("_folded", fold(F.col("_text")))
+    scored = scored.withColumn("_mask", pattern_mask(F.col("_text"), F.col("_folded")))
     scored = scored.withColumn("_scores", F.array(*[_score(F.col("_mask"), name) for name in INTENT_NAMES]))
     total = reduce(lambda a, b: a + b, [F.col("_scores")[i] for i in range(len(INTENT_NAMES))])
     scored = scored.withColumn("_total", total)
@@ -74,24 +77,15 @@ def heuristic_intent(df: DataFrame, text: str, margin_threshold: float = fx.AMBI
         ),
         lambda r: r.isNotNull(),
     )
-    return (
-        scored.withColumn("intent", F.when(matched, top["intent"]).otherwise(F.lit(OTHER)))
-        .withColumn(
-            "confidence", F.when(matched, F.round(top["weight"], 2)).otherwise(F.lit(fx.FALLBACK_CONFIDENCE))
-        )
-        .withColumn("margin", margin)
-        .withColumn(
-            "is_ambiguous", ~matched | ((margin < margin_threshold) & (-top["p"] < fx.AMBIGUITY_TOP))
-        )
-        .withColumn(
-            "explanation",
-            F.when(matched, F.array_join(F.slice(reasons, 1, 3), "; ")).otherwise(F.lit(fx.NO_MATCH)),
-        )
-        .withColumn(
-            "probabilities",
-            F.map_from_entries(F.transform("_ranked", lambda r: F.struct(r["intent"], -r["p"]))),
-        )
-        .drop("_mask", "_scores", "_total", "_ranked")
+    return with_sealed(
+        scored,
+        df.columns,
+        intent=F.when(matched, top["intent"]).otherwise(F.lit(OTHER)),
+        confidence=F.when(matched, F.round(top["weight"], 2)).otherwise(F.lit(fx.FALLBACK_CONFIDENCE)),
+        is_ambiguous=~matched | ((margin < margin_threshold) & (-top["p"] < fx.AMBIGUITY_TOP)),
+        margin=margin,
+        explanation=F.when(matched, F.array_join(F.slice(reasons, 1, 3), "; ")).otherwise(F.lit(fx.NO_MATCH)),
+        probabilities=F.map_from_entries(F.transform("_ranked", lambda r: F.struct(r["intent"], -r["p"]))),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.fixed.word_lists import SCAN_PATTERNS, STOPWORDS
 from parley.functions import text as tx
+from parley.functions.prefilter import fold
 from parley.operators.topn import first_per_group
 
 
@@ -185,10 +186,11 @@ def category_pattern_scan(pairs: DataFrame, examples: int = 0, seed: int = 42) -
     message = F.col("customer_message")
     english = pairs.where(
         (F.col("turn_index") == 1) & (tx.ascii_share(message) > 0.90) & (F.length(message) > 25)
-    )
+    ).withColumn("_folded", fold(message))
+    folded = F.col("_folded")
     if not examples:
         return english.agg(
-            *[F.count_if(tx.has(message, p)).alias(name) for name, p in SCAN_PATTERNS]
+            *[F.count_if(tx.has(message, p, folded)).alias(name) for name, p in SCAN_PATTERNS]
         ).select(
             F.expr(
                 f"stack({len(SCAN_PATTERNS)}, "
@@ -197,7 +199,7 @@ def category_pattern_scan(pairs: DataFrame, examples: int = 0, seed: int = 42) -
             )
         )
     hits = F.filter(
-        F.array(*[F.when(tx.has(message, p), F.lit(name)) for name, p in SCAN_PATTERNS]), lambda c: c.isNotNull()
+        F.array(*[F.when(tx.has(message, p, folded), F.lit(name)) for name, p in SCAN_PATTERNS]), lambda c: c.isNotNull()
     )
     tagged = english.select(F.explode(hits).alias("category"), "pair_id", "customer_message", "brand_reply")
     return first_per_group(

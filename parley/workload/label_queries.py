@@ -17,7 +17,7 @@ from parley.workload import sql as s
 from parley.workload.registry import query
 
 PRED = ["intent", "confidence", "is_ambiguous", "margin", "explanation"]
-PROBS = [F"p_{n}" for n in INTENT_NAMES]
+PROBS = [f"p_{n}" for n in INTENT_NAMES]
 
 
 # Intent scoring --------------------------------------------------------------
@@ -86,7 +86,7 @@ def _recorded_sql(key: str, label: str) -> str:
 _KNOWN = s.listing(INTENT_NAMES)
 _PARSED = f"""
 SELECT gk, CASE WHEN ok THEN code ELSE intent END AS intent, CASE WHEN ok THEN conf ELSE confidence END AS confidence,
-CASE WHEN ok THEN round(m, 6) < 0.15::DOUBLE ELSE is_ambiguous END AS is_ambiguous, round(CASE WHEN ok THEN m ELSE margin END, 6) AS margin,
+CASE WHEN ok THEN m < 0.15::DOUBLE ELSE is_ambiguous END AS is_ambiguous, round(CASE WHEN ok THEN m ELSE margin END, 6) AS margin,
 CASE WHEN ok THEN why ELSE explanation END AS explanation FROM (
 SELECT *, CASE WHEN len(probs) > 1 THEN probs[1] - probs[2] ELSE 1 END AS m FROM (
 SELECT *, list_reverse_sort(CASE WHEN list_contains(names, code) THEN vals ELSE list_append(vals, conf) END) AS probs FROM (
@@ -108,10 +108,7 @@ def _(spark, sf):
     g = _gold_with_key(spark, sf)
     g = g.select("gk", "message_text", _recorded_spark(F.col("gk"), F.col("true_intent")).alias("answer"))
     out = intents.parse_model_intent(g, "message_text", "answer")
-    margin = F.round("margin", 6)
-    return out.select(
-        "gk", "intent", "confidence", F.when(F.col("margin") == F.col("margin"), F.col("is_ambiguous")).alias("is_ambiguous"), margin.alias("margin"), "explanation"
-    )
+    return out.select("gk", "intent", "confidence", "is_ambiguous", F.round("margin", 6).alias("margin"), "explanation")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.functions import text as tx
 from parley.operators.policy import gold_escalation_label
+from parley.session import spread
 from parley.workload.phrases import PHRASES, REPLIES, REPLY_KEYS, TAILS
 
 TIER_OF_PRIORITY = {
@@ -20,7 +21,7 @@ TIER_OF_PRIORITY = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def _choice(texts: list[str], index: Column, n: Column | None = None) -> Column:

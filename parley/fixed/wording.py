@@ -67,13 +67,13 @@ REASON_MANDATORY = (
     "Escalated: Intent '%s' is categorized as %s risk and requires mandatory human handling per policy."
 )
 REASON_CONFIDENCE = (
-    "Escalated: Intent confidence (%.2f) is below operational threshold (%.2f) or prediction is ambiguous."
+    "Escalated: Intent confidence (%s) is below operational threshold (%s) or prediction is ambiguous."
 )
 REASON_GROUNDING = (
-    "Escalated: No relevant precedent retrieved with similarity >= %.2f (found %d qualified precedents)."
+    "Escalated: No relevant precedent retrieved with similarity >= %s (found %d qualified precedents)."
 )
 REASON_APPROVED = (
-    "Autonomous handling approved: High confidence (%.2f%%) in intent '%s' backed by %d qualified grounding "
+    "Autonomous handling approved: High confidence (%s%%) in intent '%s' backed by %d qualified grounding "
     "precedent(s)."
 )
 

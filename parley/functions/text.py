@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
-from parley.functions.prefilter import fold, may_match
+from parley.functions.prefilter import fold, may_match, required_words
 
 # Unicode classes and case folding; only "\n" ends a line.
 IGNORE_CASE = "(?iUd)"
@@ -27,6 +27,29 @@ def has(text: Column, pattern: str, folded: Column | None = None) -> Column:
     return found if possible is None else possible & found
 
 
+def literal(value: str) -> str:
+    """A string as SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(values: list[str]) -> str:
+    return "array(" + ", ".join(literal(v) for v in values) + ")"
+
+
+def has_sql(text: str, pattern: str, folded: str) -> str:
+    """`has` as SQL text over column names, for packs of many patterns."""
+    found = f"{text} RLIKE {literal(IGNORE_CASE + pattern)}"
+    words = required_words(pattern)
+    possible = " OR ".join(f"contains({folded}, {literal(w)})" for w in words)
+    return f"(({possible}) AND {found})" if words else f"({found})"
+
+
+def which_sql(text: str, patterns: list[str], folded: str) -> str:
+    """SQL text for the array of positions of the patterns that match."""
+    cases = ", ".join(f"CASE WHEN {has_sql(text, p, folded)} THEN {i} END" for i, p in enumerate(patterns))
+    return f"array_compact(array({cases}))"
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 

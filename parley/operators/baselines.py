@@ -13,15 +13,13 @@ from parley.functions.seal import with_sealed
 from parley.operators.taxonomy import OTHER
 
 
-def keyword_intent(text: Column, folded: Column | None = None) -> Column:
+def keyword_intent(text: str, folded: str) -> Column:
     """First rule group with a match, in rule order."""
-    out = F.lit(OTHER)
-    for intent, patterns in reversed(BASELINE_RULES):
-        found = tx.has(text, patterns[0], folded)
-        for pattern in patterns[1:]:
-            found = found | tx.has(text, pattern, folded)
-        out = F.when(found, F.lit(intent)).otherwise(out)
-    return out
+    cases = (
+        f"WHEN {' OR '.join(tx.has_sql(text, p, folded) for p in patterns)} THEN '{intent}'"
+        for intent, patterns in BASELINE_RULES
+    )
+    return F.expr(f"CASE {' '.join(cases)} ELSE '{OTHER}' END")
 
 
 def keyword_escalation(df: DataFrame, text: str, intent: str = "predicted_intent") -> DataFrame:
@@ -50,7 +48,7 @@ def keyword_reply(intent: Column, escalated: Column) -> Column:
 
 def keyword_baseline(df: DataFrame, text: str) -> DataFrame:
     folded = df.withColumn("_folded", fold(F.col(text)))
-    intent = keyword_intent(F.col(text), F.col("_folded"))
+    intent = keyword_intent(text, "_folded")
     out = keyword_escalation(with_sealed(folded, df.columns, predicted_intent=intent), text)
     return out.withColumn("response", keyword_reply(F.col("predicted_intent"), F.col("predicted_escalate")))
 

@@ -64,11 +64,11 @@ def prompt_context(sources: Column, thread_context: Column | None = None) -> Col
     lines = F.transform(
         sources,
         lambda s, i: F.format_string(
-            '[%d] Document ID: %s | Category: %s | Score: %.2f\n    Verified Content: "%s"',
+            '[%d] Document ID: %s | Category: %s | Score: %s\n    Verified Content: "%s"',
             i + 1,
             s["doc_id"],
             F.when(F.coalesce(s["category"], F.lit("")) == "", F.lit("general")).otherwise(s["category"]),
-            s["score"],
+            F.format_number(s["score"], 2),
             tx.strip(s["content"]),
         ),
     )

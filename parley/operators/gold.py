@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley import schemas
@@ -30,13 +30,6 @@ def exclude_used(pool: DataFrame, used: DataFrame, key: str = "pair_id") -> Data
     return pool.join(used.select(key), key, "left_anti")
 
 
-def _matches(text: Column, patterns: list[str], folded: Column) -> Column:
-    """Positions of the patterns that match, as an array."""
-    return F.filter(
-        F.array(*[F.when(tx.has(text, p, folded), F.lit(i)) for i, p in enumerate(patterns)]), lambda i: i.isNotNull()
-    )
-
-
 def stratified_pick(candidates: DataFrame, order: list[str] = PAIR_ORDER) -> DataFrame:
     """For each stratum in turn, its first matching rows that no earlier stratum took.
 
@@ -48,7 +41,7 @@ def stratified_pick(candidates: DataFrame, order: list[str] = PAIR_ORDER) -> Dat
     folded = candidates.withColumn("_folded", fold(F.col("customer_message")))
     patterns = [p for _, p, _, _ in GOLD_STRATA]
     tagged = folded.select(
-        F.explode(_matches(F.col("customer_message"), patterns, F.col("_folded"))).alias("stratum"),
+        F.explode(F.expr(tx.which_sql("customer_message", patterns, "_folded"))).alias("stratum"),
         F.struct(*order).alias("pos"),
         "pair_id",
     )
@@ -94,8 +87,8 @@ def _gold_rows(rows: DataFrame) -> DataFrame:
 
 
 def _pick_labels(picked: DataFrame) -> DataFrame:
-    intents = F.array(*[F.lit(i) for i, _, _, _ in GOLD_STRATA])
-    tiers = F.array(*[F.lit(t) for _, _, t, _ in GOLD_STRATA])
+    intents = F.expr(tx.literals([i for i, _, _, _ in GOLD_STRATA]))
+    tiers = F.expr(tx.literals([t for _, _, t, _ in GOLD_STRATA]))
     return picked.withColumn("true_intent", F.get(intents, F.col("stratum"))).withColumn(
         "difficulty", F.get(tiers, F.col("stratum"))
     )
@@ -135,7 +128,7 @@ def curated_gold(pairs: DataFrame, order: list[str] = PAIR_ORDER) -> DataFrame:
     english = pairs.where(tx.ascii_share(message) > 0.88).withColumn("_folded", fold(message))
     found = (
         english.select(
-            F.explode(_matches(message, [d["pattern"] for d in CURATED_ROWS], F.col("_folded"))).alias("idx"),
+            F.explode(F.expr(tx.which_sql("customer_message", [d["pattern"] for d in CURATED_ROWS], "_folded"))).alias("idx"),
             F.struct(*order).alias("pos"),
             F.struct(
                 tx.strip(message).alias("message_text"),

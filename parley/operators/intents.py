@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,27 +15,23 @@ from parley.operators.taxonomy import INTENT_NAMES, OTHER
 PREDICTION = ["intent", "confidence", "is_ambiguous", "margin", "explanation", "probabilities"]
 
 
-def pattern_mask(text: Column, folded: Column | None = None) -> Column:
-    """One bit per pattern of the pack; every pattern is searched once per text."""
-    bits = [
-        F.when(tx.has(text, pattern, folded), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+def pattern_mask(text: str, folded: str) -> Column:
+    """One bit per pattern of the pack; every pattern is searched at most once per text."""
+    bits = (
+        f"CASE WHEN {tx.has_sql(text, pattern, folded)} THEN {1 << i}L ELSE 0L END"
         for i, (_, pattern, _) in enumerate(INTENT_PATTERNS)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
-
-
-def _bit(mask: Column, i: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0
+    )
+    return F.expr(" | ".join(bits))
 
 
-def _score(mask: Column, intent: str) -> Column:
+def _score(intent: str) -> str:
     """Highest weight among the matched patterns of an intent, or the base score."""
     weights = sorted({w for name, _, w in INTENT_PATTERNS if name == intent}, reverse=True)
-    out = F.lit(fx.BASE_SCORE)
-    for weight in reversed(weights):
+    cases = []
+    for weight in weights:
         bits = sum(1 << i for i, (name, _, w) in enumerate(INTENT_PATTERNS) if name == intent and w == weight)
-        out = F.when(mask.bitwiseAND(F.lit(bits).cast("long")) != 0, F.lit(weight)).otherwise(out)
-    return out
+        cases.append(f"WHEN (_mask & {bits}L) != 0 THEN {weight}D")
+    return f"CASE {' '.join(cases)} ELSE {fx.BASE_SCORE}D END" if cases else f"{fx.BASE_SCORE}D"
 
 
 def heuristic_intent(df: DataFrame, text: str, margin_threshold: float = fx.AMBIGUITY_MARGIN) -> DataFrame:
@@ -45,41 +39,30 @@ def heuristic_intent(df: DataFrame, text: str, margin_threshold: float = fx.AMBI
 
     Probabilities are rounded before they are ranked; equal ones keep the intent order.
     """
-    scored = df.withColumn("_text", tx.strip(F.coalesce(F.col(text), F.lit("")))).withColumn("_folded", fold(F.col("_text")))
-    scored = scored.withColumn("_mask", pattern_mask(F.col("_text"), F.col("_folded")))
-    scored = scored.withColumn("_scores", F.array(*[_score(F.col("_mask"), name) for name in INTENT_NAMES]))
-    total = reduce(lambda a, b: a + b, [F.col("_scores")[i] for i in range(len(INTENT_NAMES))])
-    scored = scored.withColumn("_total", total)
+    own = df.columns
+    scored = df.select(*own, tx.strip(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    scored = scored.select("*", fold(F.col("_text")).alias("_folded"))
+    scored = scored.select(*own, pattern_mask("_text", "_folded").alias("_mask"))
+    scored = scored.select("*", F.expr(f"array({', '.join(_score(name) for name in INTENT_NAMES)})").alias("_scores"))
+    total = " + ".join(f"_scores[{i}]" for i in range(len(INTENT_NAMES)))
+    scored = scored.select("*", F.expr(total).alias("_total"))
     # Smallest struct first: highest probability, then intent order.
-    ranked = F.array_sort(
-        F.array(
-            *[
-                F.struct(
-                    (-F.round(F.col("_scores")[i] / F.col("_total"), 4)).alias("p"),
-                    F.lit(i).alias("ord"),
-                    F.lit(name).alias("intent"),
-                    F.col("_scores")[i].alias("weight"),
-                )
-                for i, name in enumerate(INTENT_NAMES)
-            ]
-        )
+    entries = ", ".join(
+        f"named_struct('p', -round(_scores[{i}] / _total, 4), 'ord', {i}, 'intent', '{name}', 'weight', _scores[{i}])"
+        for i, name in enumerate(INTENT_NAMES)
     )
-    scored = scored.withColumn("_ranked", ranked)
+    scored = scored.select("*", F.expr(f"array_sort(array({entries}))").alias("_ranked"))
     top, second = F.col("_ranked")[0], F.col("_ranked")[1]
     matched = F.col("_mask") != 0
     margin = F.round(second["p"] - top["p"], 4)
-    reasons = F.filter(
-        F.array(
-            *[
-                F.when(_bit(F.col("_mask"), i), F.lit(f"Matched {name} ({weight:.2f})"))
-                for i, (name, _, weight) in enumerate(INTENT_PATTERNS)
-            ]
-        ),
-        lambda r: r.isNotNull(),
+    notes = ", ".join(
+        f"CASE WHEN (_mask & {1 << i}L) != 0 THEN 'Matched {name} ({weight:.2f})' END"
+        for i, (name, _, weight) in enumerate(INTENT_PATTERNS)
     )
+    reasons = F.expr(f"array_compact(array({notes}))")
     return with_sealed(
         scored,
-        df.columns,
+        own,
         intent=F.when(matched, top["intent"]).otherwise(F.lit(OTHER)),
         confidence=F.when(matched, F.round(top["weight"], 2)).otherwise(F.lit(fx.FALLBACK_CONFIDENCE)),
         is_ambiguous=~matched | ((margin < margin_threshold) & (-top["p"] < fx.AMBIGUITY_TOP)),

@@ -40,16 +40,16 @@ def escalation_policy(
         (intent.isin(MANDATORY), F.format_string(fx.REASON_MANDATORY, intent, risk)),
         (
             (confidence < config.confidence_threshold) | is_ambiguous,
-            F.format_string(fx.REASON_CONFIDENCE, confidence, F.lit(config.confidence_threshold)),
+            F.format_string(fx.REASON_CONFIDENCE, F.format_number(confidence, 2), F.lit(f"{config.confidence_threshold:.2f}")),
         ),
         (
             qualified < config.min_retrieved_docs,
-            F.format_string(fx.REASON_GROUNDING, F.lit(config.min_retrieval_score), qualified),
+            F.format_string(fx.REASON_GROUNDING, F.lit(f"{config.min_retrieval_score:.2f}"), qualified),
         ),
     ]
     out = F.struct(
         F.lit(False).alias("escalate"),
-        F.format_string(fx.REASON_APPROVED, confidence * 100, intent, qualified).alias("reason"),
+        F.format_string(fx.REASON_APPROVED, F.format_number(confidence * 100, 2), intent, qualified).alias("reason"),
     )
     for applies, reason in reversed(rules):
         out = F.when(applies, F.struct(F.lit(True).alias("escalate"), reason.alias("reason"))).otherwise(out)

@@ -103,7 +103,7 @@ def ngram_counts(
     if opening_only:
         words = F.slice(words, 1, 6)
     if remove_stopwords:
-        stop = F.array(*[F.lit(w) for w in STOPWORDS])
+        stop = F.expr(tx.literals(STOPWORDS))
         words = F.filter(words, lambda w: ~F.array_contains(stop, w))
     grams = df.where(F.col(column).isNotNull()).select(words.alias("words"))
     return (

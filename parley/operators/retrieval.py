@@ -6,8 +6,12 @@ an optional `category`.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from parley.functions import text as tx
 from parley.operators.topn import first_per_group
 from parley.session import stage
 
-# Largest table, in rows, that is sent to every executor (about 100 bytes a row).
+# Largest table, in rows, that is sent to every executor: up to 100 bytes a row as a join table, 20 as arrays.
 BROADCAST_ROWS = 1_000_000
 # A term in more documents than this is split over several join keys.
 HOT_TERM_DOCS = 50_000
@@ -24,16 +28,17 @@ HOT_TERM_DOCS = 50_000
 SCORE_DIGITS = 12
 
 
-@dataclass(frozen=True)
+@dataclass
 class TermIndex:
     """docs (doc_ord, doc_id, title, category, content, ...), postings (term, doc_ord, doc_category, weight),
-    vocab (term, idf, df)."""
+    vocab (term, term_id, idf, df)."""
 
     docs: DataFrame
     postings: DataFrame
     vocab: DataFrame
     n_docs: int
     n_postings: int
+    arrays: Broadcast | None = field(default=None, repr=False)
 
 
 def _term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -67,7 +72,9 @@ def tfidf_index(docs: DataFrame, max_terms: int = fx.MAX_TERMS) -> TermIndex:
         .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
         .orderBy(F.desc("total"), "term")
         .limit(max_terms)
-        .select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")),
+        # At most max_terms rows.
+        .withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
+        .select("term", "term_id", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")),
         "vocab",
     )
     weights = counts.join(F.broadcast(vocab), "term").select(
@@ -88,31 +95,106 @@ def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
         "text",
     )
     weights = counts.join(F.broadcast(index.vocab), "term").select(
-        "qid", "q_category", "term", "df", _weight("tf", "idf").alias("w")
+        "qid", "q_category", "term", "term_id", "df", _weight("tf", "idf").alias("w")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
     return weights.withColumn("q_weight", F.col("w") / length).drop("w")
 
 
-def _dot_products(terms: DataFrame, index: TermIndex, broadcast_rows: int, hot_term_docs: int) -> tuple[DataFrame, bool]:
-    """Summed term products per query and document, and whether each query's rows share a partition.
+def _arrays(index: TermIndex) -> Broadcast:
+    """The postings as arrays by term, for an index within the broadcast bound."""
+    if index.arrays is None:
+        rows = (
+            index.postings.join(F.broadcast(index.vocab.select("term", "term_id")), "term")
+            .select("term_id", "doc_ord", "doc_category", "weight")
+            .toPandas()
+            .sort_values(["term_id", "doc_ord"])
+        )
+        docs = rows[["doc_ord", "doc_category"]].drop_duplicates("doc_ord").sort_values("doc_ord")
+        place = np.searchsorted(docs["doc_ord"].to_numpy(), rows["doc_ord"].to_numpy())
+        starts = np.searchsorted(rows["term_id"].to_numpy(), np.arange(index.vocab.count() + 1))
+        index.arrays = index.postings.sparkSession.sparkContext.broadcast(
+            (
+                docs["doc_ord"].to_numpy(),
+                docs["doc_category"].to_numpy(dtype=object),
+                starts,
+                place,
+                rows["weight"].to_numpy(),
+            )
+        )
+    return index.arrays
+
 
-    Small index: it is broadcast and queries never move again. Few queries: they are broadcast and partial
-    sums form beside the documents. Otherwise both sides are shuffled by term, with hot terms split.
+def _search_small_index(terms: DataFrame, index: TermIndex, top_k: int, threshold: float) -> DataFrame:
+    """Every query scored against the whole index inside its own task; nothing is shuffled.
+
+    A term join would emit a row per query and matching document here, thousands per query, only to sum them up.
+    """
+    packed = _arrays(index)
+    per_query = terms.groupBy("qid", "q_category").agg(
+        F.array_sort(F.collect_list(F.struct("term_id", "q_weight"))).alias("t")
+    )
+    per_query = per_query.select("qid", "q_category", F.col("t.term_id").alias("ids"), F.col("t.q_weight").alias("weights"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, categories, starts, place, weight = packed.value
+        factors: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for qid, category, ids, q_weights in zip(batch["qid"], batch["q_category"], batch["ids"], batch["weights"]):
+                scores = np.zeros(len(docs))
+                for term, w in zip(ids, q_weights):
+                    part = slice(starts[term], starts[term + 1])
+                    scores[place[part]] += w * weight[part]
+                if category:
+                    if category not in factors:
+                        factors[category] = np.where(
+                            categories == category, fx.SAME_CATEGORY_BOOST, fx.OTHER_CATEGORY_FACTOR
+                        )
+                    scores *= factors[category]
+                scores = np.round(scores, SCORE_DIGITS)
+                floor = threshold
+                if len(scores) > top_k:
+                    floor = max(threshold, np.partition(scores, -top_k)[-top_k])
+                found = np.flatnonzero(scores >= floor)
+                found = found[np.argsort(-scores[found], kind="stable")][:top_k]
+                out += [(qid, docs[d], scores[d], r + 1) for r, d in enumerate(found)]
+            yield pd.DataFrame(out, columns=["qid", "doc_ord", "raw", "rank"])
+
+    return per_query.mapInPandas(score, "qid string, doc_ord long, raw double, rank int")
+
+
+def _search_by_join(
+    terms: DataFrame, index: TermIndex, top_k: int, threshold: float, broadcast_rows: int, hot_term_docs: int
+) -> DataFrame:
+    """Term join for an index of any size.
+
+    Few queries: their terms are broadcast and partial sums form beside the documents. Otherwise both sides are
+    shuffled by term, and terms found in many documents are split over several join keys.
     """
-    keys = ["qid", "q_category", "doc_ord", "doc_category"]
-    product = F.sum(F.col("q_weight") * F.col("weight")).alias("dot")
-    if index.n_postings <= broadcast_rows:
-        return terms.join(F.broadcast(index.postings), "term").groupBy(*keys).agg(product), True
     terms = stage(terms, "query-terms")
     if terms.count() <= broadcast_rows:
-        return index.postings.join(F.broadcast(terms), "term").groupBy(*keys).agg(product), False
-    parts = F.ceil(F.col("df") / hot_term_docs).cast("int")
-    spread = terms.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    postings = index.postings.join(F.broadcast(index.vocab.select("term", "df")), "term").withColumn(
-        "part", F.pmod(F.xxhash64("doc_ord"), parts.cast("long")).cast("int")
+        joined = index.postings.join(F.broadcast(terms), "term")
+    else:
+        parts = F.ceil(F.col("df") / hot_term_docs).cast("int")
+        spread = terms.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        postings = index.postings.join(F.broadcast(index.vocab.select("term", "df")), "term").withColumn(
+            "part", F.pmod(F.xxhash64("doc_ord"), parts.cast("long")).cast("int")
+        )
+        joined = spread.drop("df").join(postings.drop("df"), ["term", "part"])
+    dots = joined.groupBy("qid", "q_category", "doc_ord", "doc_category").agg(
+        F.sum(F.col("q_weight") * F.col("weight")).alias("dot")
+    )
+    factor = F.when(
+        F.coalesce("q_category", F.lit("")) != "",
+        F.when(F.col("q_category").eqNullSafe(F.col("doc_category")), fx.SAME_CATEGORY_BOOST).otherwise(
+            fx.OTHER_CATEGORY_FACTOR
+        ),
+    ).otherwise(F.lit(1.0))
+    scored = dots.select("qid", "doc_ord", F.round(F.col("dot") * factor, SCORE_DIGITS).alias("raw")).where(
+        F.col("raw") >= threshold
     )
-    return spread.drop("df").join(postings.drop("df"), ["term", "part"]).groupBy(*keys).agg(product), False
+    return first_per_group(scored, ["qid"], [F.desc("raw"), F.col("doc_ord")], top_k, spread=F.col("doc_ord"))
 
 
 def tfidf_search(
@@ -126,28 +208,15 @@ def tfidf_search(
     """Best documents per query: (qid, doc_ord, score, rank).
 
     A query category raises documents of that category and lowers all others; nothing is filtered by it.
-    Only documents that share a term can reach a threshold above zero.
+    Only documents that share a term can reach a threshold above zero. The way of scoring follows from measured sizes.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above zero")
-    dots, together = _dot_products(query_terms(queries, index), index, broadcast_rows, hot_term_docs)
-    asked = F.coalesce("q_category", F.lit("")) != ""
-    factor = F.when(
-        asked,
-        F.when(F.col("q_category").eqNullSafe(F.col("doc_category")), fx.SAME_CATEGORY_BOOST).otherwise(
-            fx.OTHER_CATEGORY_FACTOR
-        ),
-    ).otherwise(F.lit(1.0))
-    scored = dots.select("qid", "doc_ord", F.round(F.col("dot") * factor, SCORE_DIGITS).alias("raw")).where(
-        F.col("raw") >= threshold
-    )
-    order = [F.desc("raw"), F.col("doc_ord")]
-    if together:
-        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(
-            F.col("rank") <= top_k
-        )
+    terms = query_terms(queries, index)
+    if index.n_postings <= broadcast_rows:
+        best = _search_small_index(terms, index, top_k, threshold)
     else:
-        best = first_per_group(scored, ["qid"], order, top_k, spread=F.col("doc_ord"))
+        best = _search_by_join(terms, index, top_k, threshold, broadcast_rows, hot_term_docs)
     return best.select("qid", "doc_ord", F.round(F.least("raw", F.lit(1.0)), 4).alias("score"), "rank")
 
 

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _choice(texts: list[str], index: Column, n: Column | None = None) -> Column:
     """texts[index], with {n} filled in."""
-    picked = F.get(F.array(*[F.lit(t) for t in texts]), index.cast("int"))
+    picked = F.get(F.expr(tx.literals(texts)), index.cast("int"))
     return picked if n is None else F.replace(picked, F.lit("{n}"), n.cast("string"))
 
 

@@ -266,16 +266,20 @@ TREE_PAIRS = (
 )
 
 
-def with_(names: list[str | tuple[str, str] | list], body: str) -> str:
-    """A query with the named expressions in front; pairs add expressions of their own."""
-    parts = []
-    for entry in names:
+def with_(names: list, body: str) -> str:
+    """A query with the named expressions in front; (name, sql) pairs add expressions of their own."""
+    parts: list[tuple[str, str]] = []
+
+    def add(entry) -> None:
         if isinstance(entry, str):
             parts.append((entry, CTES[entry]))
         elif isinstance(entry, tuple):
             parts.append(entry)
         else:
-            parts += entry
+            for e in entry:
+                add(e)
+
+    add(names)
     # A recursive expression cannot be materialized.
     return "WITH RECURSIVE " + ", ".join(
         f"{n} AS {'' if n == 'walk' else 'MATERIALIZED '}({s})" for n, s in parts
@@ -286,7 +290,7 @@ def tfidf(queries: str, docs: str, max_terms: int = fx.MAX_TERMS, threshold: flo
     """CTEs for index and search: hits(qid, doc_ord, score, rank)."""
     grams = (
         "SELECT {key}, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)::BIGINT), lambda i: w[i] || ' ' || w[i + 1]))) AS term "
-        "FROM (SELECT {key}, regexp_extract_all(lower({text}), '" + WORD + "{{2,}}') AS w FROM {source})"
+        "FROM (SELECT {key}, regexp_extract_all(lower({text}), '" + WORD.replace("{", "{{").replace("}", "}}") + "{{2,}}') AS w FROM {source})"
     )
     body = "coalesce(title, '') || ' ' || content || ' category_' || coalesce(nullif(category, ''), 'general')"
     return [

@@ -60,9 +60,9 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return gold_records(spark.read.text(path)).select(*GOLD_COLUMNS)
 
 
-def read_records(spark: SparkSession, path: str, schema: str = schemas.EVALUATED) -> DataFrame:
-    """A JSON array of records, or JSON lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, schema: str = schemas.EVALUATED, lines: bool = False) -> DataFrame:
+    """A JSON array of records per file, or with `lines` one record per line. Only lines can be split among tasks."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_baseline_results(spark: SparkSession, path: str) -> DataFrame:
@@ -71,8 +71,14 @@ def read_baseline_results(spark: SparkSession, path: str) -> DataFrame:
         "intent_accuracy double, escalation_accuracy double, escalation_precision double, escalation_recall double, "
         "false_escalation_rate double, missed_escalation_rate double, total_samples long"
     )
-    inner = metrics.replace(" ", ":").replace(",:", ",")
+    confusion = "true_positives:long,false_positives:long,true_negatives:long,false_negatives:long"
+    inner = metrics.replace(" ", ":").replace(",:", ",") + f",escalation_confusion:struct<{confusion}>"
     raw = spark.read.schema(f"baselines map<string, struct<{inner}>>").option("multiLine", True).json(path)
     return raw.select(F.explode("baselines").alias("system", "m")).select(
-        F.regexp_replace("system", "^trivial_baseline_", "trivial_").alias("system"), "m.*"
-    )
+        F.regexp_replace("system", "^trivial_baseline_", "trivial_").alias("system"),
+        "m.*",
+        F.col("m.escalation_confusion.true_positives").alias("tp"),
+        F.col("m.escalation_confusion.false_positives").alias("fp"),
+        F.col("m.escalation_confusion.true_negatives").alias("tn"),
+        F.col("m.escalation_confusion.false_negatives").alias("fn"),
+    ).drop("escalation_confusion")

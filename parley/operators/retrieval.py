@@ -230,6 +230,7 @@ def overlap_search(
     docs: DataFrame,
     top_k: int = fx.TOP_K,
     threshold: float = 0.0,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Best documents by the share of query words they contain; a query category filters strictly.
 
@@ -243,6 +244,9 @@ def overlap_search(
         "doc_ord", F.col("category").alias("doc_category"), F.explode(tx.space_words(F.col("content"))).alias("word")
     )
     same = (F.col("q_category") == "") | F.col("q_category").eqNullSafe(F.col("doc_category"))
+    q_words = stage(q_words, "query-words")
+    if q_words.count() <= broadcast_rows:
+        q_words = F.broadcast(q_words)
     scored = (
         d_words.join(q_words, "word")
         .where(same)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
@@ -39,23 +39,31 @@ def brand_messages(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
     return inside.unionByName(followups)
 
 
-def reply_parents(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
-    """Each brand reply beside the customer message it answers."""
-    reply = messages.where((F.col("author_id") == brand) & F.col("in_response_to_tweet_id").isNotNull()).select(
+def _replies(messages: DataFrame, brand: str) -> DataFrame:
+    return messages.where((F.col("author_id") == brand) & F.col("in_response_to_tweet_id").isNotNull()).select(
         F.col("tweet_id").alias("reply_id"),
         F.col("in_response_to_tweet_id").alias("customer_id"),
         F.col("text").alias("raw_brand_reply"),
         F.col("created_at").alias("brand_created_at"),
     )
-    customer = messages.where("inbound").select(
+
+
+def _customers(messages: DataFrame) -> DataFrame:
+    return messages.where("inbound").select(
         F.col("tweet_id").alias("customer_id"),
-        F.col("in_response_to_tweet_id").alias("customer_parent_id"),
         F.col("text").alias("raw_customer_message"),
         F.col("created_at").alias("customer_created_at"),
     )
-    return reply.join(customer, "customer_id").withColumn(
-        "pair_id", F.format_string(fx.PAIR_PREFIX + "%d_%d", "customer_id", "reply_id")
-    )
+
+
+def _pair_id() -> Column:
+    return F.format_string(fx.PAIR_PREFIX + "%d_%d", "customer_id", "reply_id")
+
+
+def reply_parents(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
+    """Each brand reply beside the customer message it answers."""
+    pairs = _replies(messages, brand).join(_customers(messages), "customer_id")
+    return pairs.withColumn("pair_id", _pair_id())
 
 
 def _turns(messages: DataFrame, brand: str) -> DataFrame:
@@ -189,10 +197,11 @@ def dialogue_pairs(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
 
     Expects the brand's messages with one row per id.
     """
-    pairs = reply_parents(messages, brand)
+    reply, customer = _replies(messages, brand), _customers(messages)
     history = lineage(messages, brand).withColumnRenamed("tweet_id", "customer_id")
-    return pairs.join(history, "customer_id").select(
-        "pair_id",
+    # One row per customer message on the right, so a message with very many replies skews one side of one join only.
+    return reply.join(customer.join(history, "customer_id"), "customer_id").select(
+        _pair_id().alias("pair_id"),
         F.col("root_id").cast("string").alias("conversation_id"),
         (F.col("prior_customers") + 1).cast("int").alias("turn_index"),
         F.col("customer_id").cast("string").alias("customer_tweet_id"),

@@ -8,27 +8,39 @@ from pyspark.sql import functions as F
 from parley.session import stage
 
 SALTS = 64
+# Up to this many rows per group the planner limits each group before its first shuffle.
+EARLY_LIMIT = 1000
+
+
+def _salt_levels(df: DataFrame, n: int) -> list[int]:
+    """Numbers of parts that a group is cut into, step by step."""
+    if n <= EARLY_LIMIT:
+        return [SALTS]
+    # No early limit: spread a group over all tasks first, then merge in steps of about equal size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [tasks, max(2, round(tasks**0.5))]
 
 
 def first_per_group(
-    df: DataFrame, group: list[str], order: list[Column], n: int | Column, rank: str = "rank", spread: Column | None = None
+    df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank", spread: Column | None = None
 ) -> DataFrame:
     """The first n rows of each group in the given order, with their rank from 1.
 
     A group may hold a large part of the table, so it is cut into salted parts first; only n rows per part
-    reach the window over the whole group. `spread` is hashed for the salt (default: all columns).
+    reach the next step. `spread` is hashed for the salt (default: all columns).
     """
     key = [spread] if spread is not None else [F.col(c) for c in df.columns]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
-    part = Window.partitionBy(*group, "_salt").orderBy(*order)
+    few = df
+    for parts in _salt_levels(df, n):
+        window = Window.partitionBy(*group, "_salt").orderBy(*order)
+        few = (
+            few.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(parts)))
+            .withColumn("_part_rank", F.row_number().over(window))
+            .where(F.col("_part_rank") <= n)
+            .drop("_salt", "_part_rank")
+        )
     whole = Window.partitionBy(*group).orderBy(*order)
-    limit = n if isinstance(n, Column) else F.lit(n)
-    few = salted.withColumn("_part_rank", F.row_number().over(part)).where(F.col("_part_rank") <= limit)
-    return (
-        few.drop("_salt", "_part_rank")
-        .withColumn(rank, F.row_number().over(whole))
-        .where(F.col(rank) <= limit)
-    )
+    return few.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= n)
 
 
 def number_rows(df: DataFrame, order: list[str], position: str = "position") -> DataFrame:

@@ -102,7 +102,7 @@ def gold_fill(candidates: DataFrame, used: DataFrame, start: int, needed: int, s
     """Pseudo-random unused rows, labelled by the pattern pack, numbered after the picked ones."""
     order = tx.hash_order(seed, F.col("pair_id"))
     drawn = exclude_used(candidates, used).orderBy(order, "pair_id").limit(needed)
-    labelled = heuristic_intent(drawn.withColumn("_msg", tx.strip(F.col("customer_message"))), "_msg")
+    labelled = heuristic_intent(drawn.withColumn("_msg", tx.strip(F.col("customer_message"))), "_msg", probabilities=False)
     tiered = labelled.withColumn("difficulty", F.when(F.col("is_ambiguous"), "ambiguous").otherwise("routine"))
     # `needed` is a parameter of the job, so this window is small.
     numbered = first_per_group(

@@ -34,42 +34,43 @@ def _score(intent: str) -> str:
     return f"CASE {' '.join(cases)} ELSE {fx.BASE_SCORE}D END" if cases else f"{fx.BASE_SCORE}D"
 
 
-def heuristic_intent(df: DataFrame, text: str, margin_threshold: float = fx.AMBIGUITY_MARGIN) -> DataFrame:
-    """Add the prediction columns for a text column.
+def heuristic_intent(
+    df: DataFrame, text: str, margin_threshold: float = fx.AMBIGUITY_MARGIN, probabilities: bool = True
+) -> DataFrame:
+    """Add the prediction columns for a text column, with or without the map of all class probabilities.
 
     Probabilities are rounded before they are ranked; equal ones keep the intent order.
     """
-    own = df.columns
+    own, n = df.columns, len(INTENT_NAMES)
     scored = df.select(*own, tx.strip(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     scored = scored.select("*", fold(F.col("_text")).alias("_folded"))
     scored = scored.select(*own, pattern_mask("_text", "_folded").alias("_mask"))
-    scored = scored.select("*", F.expr(f"array({', '.join(_score(name) for name in INTENT_NAMES)})").alias("_scores"))
-    total = " + ".join(f"_scores[{i}]" for i in range(len(INTENT_NAMES)))
-    scored = scored.select("*", F.expr(total).alias("_total"))
-    # Smallest struct first: highest probability, then intent order.
-    entries = ", ".join(
-        f"named_struct('p', -round(_scores[{i}] / _total, 4), 'ord', {i}, 'intent', '{name}', 'weight', _scores[{i}])"
-        for i, name in enumerate(INTENT_NAMES)
-    )
-    scored = scored.select("*", F.expr(f"array_sort(array({entries}))").alias("_ranked"))
-    top, second = F.col("_ranked")[0], F.col("_ranked")[1]
+    scored = scored.selectExpr("*", f"array({', '.join(_score(name) for name in INTENT_NAMES)}) AS _scores")
+    scored = scored.selectExpr("*", " + ".join(f"_scores[{i}]" for i in range(n)) + " AS _total")
+    rounded = ", ".join(f"round(_scores[{i}] / _total, 4)" for i in range(n))
+    scored = scored.selectExpr("*", f"array({rounded}) AS _p")
+    # The first place of the highest value, and the highest of the other values.
+    scored = scored.selectExpr("*", "CAST(array_position(_p, array_max(_p)) AS INT) AS _at")
+    others = ", ".join(f"CASE WHEN _at != {i + 1} THEN _p[{i}] END" for i in range(n))
+    scored = scored.selectExpr("*", "_p[_at - 1] AS _top", f"array_max(array({others})) AS _second")
     matched = F.col("_mask") != 0
-    margin = F.round(second["p"] - top["p"], 4)
+    margin = F.round(F.col("_top") - F.col("_second"), 4)
+    names = tx.literals(INTENT_NAMES)
     notes = ", ".join(
         f"CASE WHEN (_mask & {1 << i}L) != 0 THEN 'Matched {name} ({weight:.2f})' END"
         for i, (name, _, weight) in enumerate(INTENT_PATTERNS)
     )
     reasons = F.expr(f"array_compact(array({notes}))")
-    return with_sealed(
-        scored,
-        own,
-        intent=F.when(matched, top["intent"]).otherwise(F.lit(OTHER)),
-        confidence=F.when(matched, F.round(top["weight"], 2)).otherwise(F.lit(fx.FALLBACK_CONFIDENCE)),
-        is_ambiguous=~matched | ((margin < margin_threshold) & (-top["p"] < fx.AMBIGUITY_TOP)),
-        margin=margin,
-        explanation=F.when(matched, F.array_join(F.slice(reasons, 1, 3), "; ")).otherwise(F.lit(fx.NO_MATCH)),
-        probabilities=F.map_from_entries(F.transform("_ranked", lambda r: F.struct(r["intent"], -r["p"]))),
-    )
+    columns = {
+        "intent": F.when(matched, F.expr(f"{names}[_at - 1]")).otherwise(F.lit(OTHER)),
+        "confidence": F.when(matched, F.expr("round(_scores[_at - 1], 2)")).otherwise(F.lit(fx.FALLBACK_CONFIDENCE)),
+        "is_ambiguous": ~matched | ((margin < margin_threshold) & (F.col("_top") < fx.AMBIGUITY_TOP)),
+        "margin": margin,
+        "explanation": F.when(matched, F.array_join(F.slice(reasons, 1, 3), "; ")).otherwise(F.lit(fx.NO_MATCH)),
+    }
+    if probabilities:
+        columns["probabilities"] = F.expr(f"map_from_arrays({names}, _p)")
+    return with_sealed(scored, own, **columns)
 
 
 def _override(text: Column) -> Column:

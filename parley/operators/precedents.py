@@ -62,7 +62,7 @@ def greedy_cap(
         tx.strip(F.col("brand_reply")).alias("content"),
         F.concat(F.lit("conversation_"), "conversation_id").alias("source_url_or_id"),
     )
-    labelled = heuristic_intent(known.drop("_none"), "title").withColumnRenamed("intent", "category")
+    labelled = heuristic_intent(known.drop("_none"), "title", probabilities=False).withColumnRenamed("intent", "category")
     rows = labelled.select(
         tx.reply_signature(F.col("content")).alias("signature"),
         "category",

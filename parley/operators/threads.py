@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
 from parley.functions import text as tx
-from parley.session import drop_staged, stage
+from parley.session import drop_staged, stage, stage_counted
 
 
 def one_row_per_id(messages: DataFrame) -> DataFrame:
@@ -147,7 +147,8 @@ def lineage(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
     log2(n) joins with one row per message, and no thread is ever gathered into one group.
     Only chains still open are joined. When a round closes none, the open ones run into cycles.
     """
-    turns = stage(_turns(messages, brand), "turns")
+    open_count = lambda column: F.count_if(F.col(column).isNotNull())
+    turns, open_now = stage_counted(_turns(messages, brand), "turns", open_count("parent_id"))
     state = turns.select(
         "tweet_id",
         F.col("parent_id").alias("jump_id"),
@@ -155,16 +156,15 @@ def lineage(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
         "customers",
         F.when(F.col("parent_id").isNull(), F.col("tweet_id")).alias("root_id"),
     )
-    open_now = turns.where("parent_id is not null").count()
     previous = None
     staged = None
     while open_now and open_now != previous:
         older = staged
-        staged = stage(_double(state), "chains")
+        previous = open_now
+        staged, open_now = stage_counted(_double(state), "chains", open_count("jump_id"))
         if older is not None:
             drop_staged(older)
         state = staged
-        previous, open_now = open_now, state.where("jump_id is not null").count()
 
     closed = state.where("jump_id is null")
     parent = closed.select(

@@ -19,7 +19,12 @@ Classifier = Callable[[DataFrame, str], DataFrame]
 Retriever = Callable[[DataFrame], DataFrame]
 
 
-def classify(messages: DataFrame, classifier: Classifier = heuristic_intent) -> DataFrame:
+def pattern_classifier(df: DataFrame, text: str) -> DataFrame:
+    """The default classifier: the pattern pack without the probability map, which triage does not return."""
+    return heuristic_intent(df, text, probabilities=False)
+
+
+def classify(messages: DataFrame, classifier: Classifier = pattern_classifier) -> DataFrame:
     """Redacted text, prediction, and the key that equal (intent, text) questions share."""
     cleaned = messages.withColumn("cleaned", tx.redact(F.col("text")))
     return classifier(cleaned, "cleaned").withColumn(
@@ -43,7 +48,7 @@ def triage(
     messages: DataFrame,
     index: TermIndex | None = None,
     *,
-    classifier: Classifier = heuristic_intent,
+    classifier: Classifier = pattern_classifier,
     retriever: Retriever | None = None,
     drafter: Callable[[Column], Column] = draft_reply,
     policy: PolicyConfig = TRIAGE_POLICY,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
 from parley.functions import text as tx
+from parley.functions.rates import rounded
 from parley.operators.judge import AXES
 from parley.operators.topn import first_per_group
 
@@ -105,7 +106,7 @@ def kappa(df: DataFrame, a: str, b: str, errors: dict[str, tuple[str, str]] | No
         F.count_if(x & ~y).alias("first_only"),
         F.count_if(~x & y).alias("second_only"),
         F.count_if(~x & ~y).alias("both_failed"),
-        *[F.round(F.avg(F.abs(F.col(p) - F.col(q))), 3).alias(k) for k, (p, q) in (errors or {}).items()],
+        *[rounded(F.avg(F.abs(F.col(p) - F.col(q))), 3).alias(k) for k, (p, q) in (errors or {}).items()],
     )
     n, aa, bb, cc, dd = (F.col(c) for c in ("n", "both_passed", "first_only", "second_only", "both_failed"))
     observed = (aa + dd) / n
@@ -119,9 +120,9 @@ def kappa(df: DataFrame, a: str, b: str, errors: dict[str, tuple[str, str]] | No
         label = F.when(F.col("_k") >= bound, F.lit(name)).otherwise(label)
     return out.select(
         "n",
-        F.round("_o", 4).alias("observed_agreement"),
-        F.round("_e", 4).alias("expected_agreement"),
-        F.round("_k", 4).alias("kappa"),
+        rounded("_o", 4).alias("observed_agreement"),
+        rounded("_e", 4).alias("expected_agreement"),
+        rounded("_k", 4).alias("kappa"),
         label.alias("interpretation"),
         "both_passed",
         "first_only",

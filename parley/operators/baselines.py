@@ -9,6 +9,7 @@ from parley.fixed import wording as fx
 from parley.fixed.baseline_rules import BASELINE_RULES, HANDOFF_INTENTS, HANDOFF_WORDS, REPLY_TEMPLATES
 from parley.functions import text as tx
 from parley.functions.prefilter import fold
+from parley.functions.rates import rounded
 from parley.functions.seal import with_sealed
 from parley.operators.taxonomy import OTHER
 
@@ -58,7 +59,7 @@ def majority_class(gold: DataFrame, order: str = "id") -> DataFrame:
     counts = gold.groupBy("true_intent").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
     total = counts.agg(F.sum("n").alias("total"))
     top = counts.orderBy(F.desc("n"), "_first").limit(1)
-    return top.crossJoin(total).select("true_intent", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    return top.crossJoin(total).select("true_intent", "n", rounded(F.col("n") / F.col("total"), 4).alias("share"))
 
 
 def fixed_baseline(df: DataFrame, majority: DataFrame, always: bool) -> DataFrame:

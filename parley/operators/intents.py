@@ -9,6 +9,7 @@ from parley.fixed import wording as fx
 from parley.fixed.intent_patterns import INTENT_PATTERNS, SAFETY_OVERRIDES
 from parley.functions import text as tx
 from parley.functions.prefilter import fold
+from parley.functions.rates import rounded
 from parley.functions.seal import with_sealed
 from parley.operators.taxonomy import INTENT_NAMES, OTHER
 
@@ -47,14 +48,14 @@ def heuristic_intent(
     scored = scored.select(*own, pattern_mask("_text", "_folded").alias("_mask"))
     scored = scored.selectExpr("*", f"array({', '.join(_score(name) for name in INTENT_NAMES)}) AS _scores")
     scored = scored.selectExpr("*", " + ".join(f"_scores[{i}]" for i in range(n)) + " AS _total")
-    rounded = ", ".join(f"round(_scores[{i}] / _total, 4)" for i in range(n))
-    scored = scored.selectExpr("*", f"array({rounded}) AS _p")
+    shares = ", ".join(f"floor(_scores[{i}] / _total * 10000D + 0.5D) / 10000D" for i in range(n))
+    scored = scored.selectExpr("*", f"array({shares}) AS _p")
     # The first place of the highest value, and the highest of the other values.
     scored = scored.selectExpr("*", "CAST(array_position(_p, array_max(_p)) AS INT) AS _at")
     others = ", ".join(f"CASE WHEN _at != {i + 1} THEN _p[{i}] END" for i in range(n))
     scored = scored.selectExpr("*", "_p[_at - 1] AS _top", f"array_max(array({others})) AS _second")
     matched = F.col("_mask") != 0
-    margin = F.round(F.col("_top") - F.col("_second"), 4)
+    margin = rounded(F.col("_top") - F.col("_second"), 4)
     names = tx.literals(INTENT_NAMES)
     notes = ", ".join(
         f"CASE WHEN (_mask & {1 << i}L) != 0 THEN 'Matched {name} ({weight:.2f})' END"
@@ -63,7 +64,7 @@ def heuristic_intent(
     reasons = F.expr(f"array_compact(array({notes}))")
     columns = {
         "intent": F.when(matched, F.expr(f"{names}[_at - 1]")).otherwise(F.lit(OTHER)),
-        "confidence": F.when(matched, F.expr("round(_scores[_at - 1], 2)")).otherwise(F.lit(fx.FALLBACK_CONFIDENCE)),
+        "confidence": F.when(matched, F.expr("floor(_scores[_at - 1] * 100D + 0.5D) / 100D")).otherwise(F.lit(fx.FALLBACK_CONFIDENCE)),
         "is_ambiguous": ~matched | ((margin < margin_threshold) & (F.col("_top") < fx.AMBIGUITY_TOP)),
         "margin": margin,
         "explanation": F.when(matched, F.array_join(F.slice(reasons, 1, 3), "; ")).otherwise(F.lit(fx.NO_MATCH)),

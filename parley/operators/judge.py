@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
 from parley.functions import text as tx
+from parley.functions.rates import rounded
 
 AXES = ["grounding_score", "correctness_score", "tone_score", "completeness_score"]
 
@@ -37,7 +38,7 @@ def unattested_spans(reply: Column, context: Column) -> Column:
 def _passed(df: DataFrame) -> DataFrame:
     good = (F.col("grounding_score") >= 4) & (F.col("correctness_score") >= 4) & (F.col("tone_score") >= 3)
     total = sum((F.col(a) for a in AXES[1:]), F.col(AXES[0]))
-    return df.withColumn("overall_score", F.round(total / 4.0, 2)).withColumn("passed", good)
+    return df.withColumn("overall_score", rounded(total / 4.0, 2)).withColumn("passed", good)
 
 
 def judge_rubric(df: DataFrame, query: str, context: str, reply: str, escalated: str) -> DataFrame:
@@ -103,8 +104,8 @@ def parse_judge(df: DataFrame, query: str, context: str, reply: str, escalated:
 
 def judge_summary(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scored.groupBy(*(by or [])).agg(
-        *[F.round(F.avg(a), 2).alias("mean_" + a) for a in AXES],
-        F.round(F.avg("overall_score"), 2).alias("mean_overall_score"),
-        F.round(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate"),
+        *[rounded(F.avg(a), 2).alias("mean_" + a) for a in AXES],
+        rounded(F.avg("overall_score"), 2).alias("mean_overall_score"),
+        rounded(F.avg(F.col("passed").cast("double")), 4).alias("pass_rate"),
         F.count("*").alias("total_evaluated"),
     )

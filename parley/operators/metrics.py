@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
-from parley.functions.rates import f1, ratio
+from parley.functions.rates import f1, ratio, rounded
 from parley.operators.taxonomy import INTENT_NAMES
 from parley.operators.topn import running_sums
 
@@ -59,7 +59,7 @@ def escalation_rates(rows: DataFrame, by: list[str] | None = None, digits: int =
         "missed_escalation_rate": ratio(fn, tp + fn),
     }
     return confusion_counts(rows, by).select(
-        *(by or []), "total", "tp", "fp", "tn", "fn", *[F.round(v, digits).alias(k) for k, v in rates.items()]
+        *(by or []), "total", "tp", "fp", "tn", "fn", *[rounded(v, digits).alias(k) for k, v in rates.items()]
     )
 
 
@@ -119,16 +119,16 @@ def per_intent(rows: DataFrame, by: list[str] | None = None, all_classes: bool =
     return sums.select(
         *keys,
         "intent",
-        F.round(p, 4).alias("precision"),
-        F.round(r, 4).alias("recall"),
-        F.round(f1(p, r), 4).alias("f1"),
+        rounded(p, 4).alias("precision"),
+        rounded(r, 4).alias("recall"),
+        rounded(f1(p, r), 4).alias("f1"),
         "support",
     )
 
 
 def macro_average(per_class: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per_class.groupBy(*(by or [])).agg(
-        *[F.round(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+        *[rounded(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
     )
 
 
@@ -137,8 +137,8 @@ def tier_metrics(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     right = F.col("true_intent").eqNullSafe(F.col("predicted_intent")).cast("double")
     return rows.groupBy(*(by or []), tier).agg(
         F.count("*").alias("count"),
-        F.round(F.avg(right), 4).alias("intent_accuracy"),
-        F.round(F.avg((_expected() == _predicted()).cast("double")), 4).alias("escalation_accuracy"),
+        rounded(F.avg(right), 4).alias("intent_accuracy"),
+        rounded(F.avg((_expected() == _predicted()).cast("double")), 4).alias("escalation_accuracy"),
         F.count_if(_expected() & ~_predicted()).alias("missed_escalations"),
     )
 
@@ -147,7 +147,7 @@ def grounding_hit_rate(rows: DataFrame, by: list[str] | None = None) -> DataFram
     """Share of rows with an expected document among the retrieved; no expectation counts as a hit."""
     none = F.coalesce(F.size("expected_doc_ids"), F.lit(0)) <= 0
     hit = F.when(none, 1.0).when(F.arrays_overlap("expected_doc_ids", "retrieved_doc_ids"), 1.0).otherwise(0.0)
-    return rows.groupBy(*(by or [])).agg(F.round(F.coalesce(F.avg(hit), F.lit(0.0)), 4).alias("grounding_hit_rate"))
+    return rows.groupBy(*(by or [])).agg(rounded(F.coalesce(F.avg(hit), F.lit(0.0)), 4).alias("grounding_hit_rate"))
 
 
 def failure_cases(rows: DataFrame) -> DataFrame:
@@ -173,8 +173,8 @@ def running_accuracy(rows: DataFrame, order: list[str], every: int = 25) -> Data
     )
     return sums.where((F.col("position") % every == 0) | (F.col("position") == total)).select(
         "position",
-        F.round(F.col("hits") / F.col("position"), 4).alias("intent_accuracy"),
-        F.round(F.col("right") / F.col("position"), 4).alias("escalation_accuracy"),
+        rounded(F.col("hits") / F.col("position"), 4).alias("intent_accuracy"),
+        rounded(F.col("right") / F.col("position"), 4).alias("escalation_accuracy"),
         "missed",
     )
 
@@ -214,5 +214,5 @@ def scorecard(candidate: DataFrame, baselines: DataFrame | None = None) -> DataF
         F.col("always").alias("trivial_always_escalate"),
         F.col("keyword").alias("simple_keyword_baseline"),
         F.col("value").alias("production"),
-        F.round(F.col("value") - F.col("keyword"), 4).alias("delta"),
+        rounded(F.col("value") - F.col("keyword"), 4).alias("delta"),
     )

@@ -9,6 +9,7 @@ from parley.fixed import wording as fx
 from parley.fixed.word_lists import SCAN_PATTERNS, STOPWORDS
 from parley.functions import text as tx
 from parley.functions.prefilter import fold
+from parley.functions.rates import rounded
 from parley.operators.topn import first_per_group
 
 
@@ -90,7 +91,7 @@ def corpus_summary(pairs: DataFrame) -> DataFrame:
         F.count("*").alias("conversations"),
         F.coalesce(F.sum("open"), F.lit(0)).alias("opening_pairs"),
     )
-    pct = lambda c: F.round(F.try_divide(c * 100.0, F.col("total_pairs")), 2)
+    pct = lambda c: rounded(F.try_divide(c * 100.0, F.col("total_pairs")), 2)
     return total.withColumn("followup_pairs", F.col("total_pairs") - F.col("opening_pairs")).select(
         "*", pct(F.col("opening_pairs")).alias("opening_pct"), pct(F.col("followup_pairs")).alias("followup_pct")
     )
@@ -161,8 +162,8 @@ def boilerplate_report(df: DataFrame, column: str) -> DataFrame:
         F.lit(column).alias("column"),
         "total",
         "distinct_values",
-        F.round(F.try_divide("distinct_values", "total"), 6).alias("uniqueness_ratio"),
-        F.round(F.try_divide(F.col("top_rows") * 100.0, F.col("total")), 4).alias("top_10_share_pct"),
+        rounded(F.try_divide("distinct_values", "total"), 6).alias("uniqueness_ratio"),
+        rounded(F.try_divide(F.col("top_rows") * 100.0, F.col("total")), 4).alias("top_10_share_pct"),
     )
 
 
@@ -172,7 +173,7 @@ def share_by(df: DataFrame, column: str, total: str = "share_pct") -> DataFrame:
     whole = counts.agg(F.sum("n").alias("_all"))
     return (
         counts.crossJoin(F.broadcast(whole))
-        .withColumn(total, F.round(F.col("n") * 100.0 / F.col("_all"), 1))
+        .withColumn(total, rounded(F.col("n") * 100.0 / F.col("_all"), 1))
         .drop("_all")
         .orderBy(F.desc("n"), column)
     )

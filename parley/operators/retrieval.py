@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
 from parley.functions import text as tx
+from parley.functions.rates import rounded
 from parley.operators.topn import first_per_group
 from parley.session import stage
 
@@ -191,7 +192,7 @@ def _search_by_join(
             fx.OTHER_CATEGORY_FACTOR
         ),
     ).otherwise(F.lit(1.0))
-    scored = dots.select("qid", "doc_ord", F.round(F.col("dot") * factor, SCORE_DIGITS).alias("raw")).where(
+    scored = dots.select("qid", "doc_ord", rounded(F.col("dot") * factor, SCORE_DIGITS).alias("raw")).where(
         F.col("raw") >= threshold
     )
     return first_per_group(scored, ["qid"], [F.desc("raw"), F.col("doc_ord")], top_k, spread=F.col("doc_ord"))
@@ -217,7 +218,7 @@ def tfidf_search(
         best = _search_small_index(terms, index, top_k, threshold)
     else:
         best = _search_by_join(terms, index, top_k, threshold, broadcast_rows, hot_term_docs)
-    return best.select("qid", "doc_ord", F.round(F.least("raw", F.lit(1.0)), 4).alias("score"), "rank")
+    return best.select("qid", "doc_ord", rounded(F.least("raw", F.lit(1.0)), 4).alias("score"), "rank")
 
 
 def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.functions import text as tx
+from parley.functions.rates import rounded
 from parley.operators.drafting import citations, draft_reply, grounding_sources, qualified_count
 from parley.operators.intents import heuristic_intent
 from parley.operators.policy import TRIAGE_POLICY, PolicyConfig, escalation_policy
@@ -81,7 +82,7 @@ def triage(
         "msg_id",
         "cleaned",
         "intent",
-        F.round("confidence", 4).alias("confidence"),
+        rounded("confidence", 4).alias("confidence"),
         F.col("_decision.escalate").alias("escalate"),
         F.col("_decision.reason").alias("escalate_reason"),
         drafter(F.col("grounding_sources")).alias("draft_reply"),

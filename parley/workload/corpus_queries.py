@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.fixed.word_lists import SCAN_PATTERNS, STOPWORDS
 from parley.functions import text as tx
+from parley.functions.rates import rounded
 from parley.operators import profile, threads
 from parley.plans import corpus
 from parley.workload import seeds
@@ -273,7 +274,7 @@ def _stats(unit: str, expr: str) -> str:
 def _(spark, sf):
     df = profile.length_stats(seeds.table(spark, sf, "documents"), "text")
     return df.select(
-        "unit", "texts", *[F.round(c, 4).alias(c) if c not in ("min", "max") else F.col(c).cast("int") for c in df.columns[2:]]
+        "unit", "texts", *[rounded(c, 4).alias(c) if c not in ("min", "max") else F.col(c).cast("int") for c in df.columns[2:]]
     )
 
 

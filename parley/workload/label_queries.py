@@ -8,6 +8,7 @@ from parley.fixed import wording as fx
 from parley.fixed.baseline_rules import HANDOFF_INTENTS, HANDOFF_WORDS
 from parley.fixed.gold_strata import CURATED_ROWS, GOLD_STRATA
 from parley.functions import text as tx
+from parley.functions.rates import rounded
 from parley.operators import baselines, gold, intents, precedents, quality
 from parley.operators.policy import TRIAGE_POLICY, escalation_policy
 from parley.operators.taxonomy import INTENT_NAMES, policy_documents, taxonomy_lookup
@@ -41,7 +42,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = intents.heuristic_intent(seeds.table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return out.groupBy("intent", "is_ambiguous").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    return out.groupBy("intent", "is_ambiguous").agg(F.count("*").alias("n"), rounded(F.avg("confidence"), 4).alias("confidence"))
 
 
 _HYBRID = f"""SELECT k AS msg_id, coalesce(o, intent) AS intent,
@@ -108,7 +109,7 @@ def _(spark, sf):
     g = _gold_with_key(spark, sf)
     g = g.select("gk", "message_text", _recorded_spark(F.col("gk"), F.col("true_intent")).alias("answer"))
     out = intents.parse_model_intent(g, "message_text", "answer")
-    return out.select("gk", "intent", "confidence", "is_ambiguous", F.round("margin", 6).alias("margin"), "explanation")
+    return out.select("gk", "intent", "confidence", "is_ambiguous", rounded("margin", 6).alias("margin"), "explanation")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
 from parley.functions import text as tx
+from parley.functions.rates import rounded
 from parley.operators import drafting, precedents, retrieval
 from parley.operators.taxonomy import policy_documents
 from parley.plans.triage import flatten_state, triage
@@ -27,7 +28,7 @@ from parley.workload.registry import query
 )
 def _(spark, sf):
     index = retrieval.tfidf_index(seeds.docs(spark, sf))
-    return index.postings.select("doc_ord", "term", F.round("weight", 6).alias("weight"))
+    return index.postings.select("doc_ord", "term", rounded("weight", 6).alias("weight"))
 
 
 _SEARCH = s.with_(["docs", "queries", s.tfidf("queries", "docs")], "SELECT qid, doc_ord, score, rank::INT AS rank FROM hits")
@@ -73,13 +74,13 @@ def _overlap_sql(threshold: float) -> str:
 @query("token_overlap_search", _overlap_sql(0.0))
 def _(spark, sf):
     out = retrieval.overlap_search(seeds.queries(spark, sf), seeds.docs(spark, sf))
-    return out.select("qid", "doc_ord", F.round("score", 6).alias("score"), "rank")
+    return out.select("qid", "doc_ord", rounded("score", 6).alias("score"), "rank")
 
 
 @query("token_overlap_search_threshold", _overlap_sql(0.2))
 def _(spark, sf):
     out = retrieval.overlap_search(seeds.queries(spark, sf), seeds.docs(spark, sf), threshold=0.2)
-    return out.select("qid", "doc_ord", F.round("score", 6).alias("score"), "rank")
+    return out.select("qid", "doc_ord", rounded("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -171,7 +172,7 @@ def _precedent_triage(spark, sf):
 def _(spark, sf):
     out = _precedent_triage(spark, sf)
     return out.groupBy("intent", "escalate").agg(
-        F.count("*").alias("messages"), F.round(F.avg(F.size("citations")), 4).alias("citations")
+        F.count("*").alias("messages"), rounded(F.avg(F.size("citations")), 4).alias("citations")
     )
 
 

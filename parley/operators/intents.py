@@ -87,15 +87,16 @@ def hybrid_intent(df: DataFrame, text: str) -> DataFrame:
     flagged = heuristic_intent(df.withColumn("_safety", _override(F.col(text))), text)
     safety = F.col("_safety")
     pick = lambda value, name: F.when(safety.isNotNull(), value).otherwise(F.col(name))
-    return flagged.select(
-        *df.columns,
-        F.coalesce(safety, F.col("intent")).alias("intent"),
-        pick(F.lit(fx.OVERRIDE_CONFIDENCE), "confidence").alias("confidence"),
-        pick(F.lit(False), "is_ambiguous").alias("is_ambiguous"),
-        pick(F.lit(fx.OVERRIDE_MARGIN), "margin").alias("margin"),
-        pick(F.concat(F.lit(fx.OVERRIDE_TEXT), safety), "explanation").alias("explanation"),
-        pick(F.create_map(F.coalesce(safety, F.lit("")), F.lit(fx.OVERRIDE_CONFIDENCE)), "probabilities").alias(
-            "probabilities"
+    return with_sealed(
+        flagged,
+        df.columns,
+        intent=F.coalesce(safety, F.col("intent")),
+        confidence=pick(F.lit(fx.OVERRIDE_CONFIDENCE), "confidence"),
+        is_ambiguous=pick(F.lit(False), "is_ambiguous"),
+        margin=pick(F.lit(fx.OVERRIDE_MARGIN), "margin"),
+        explanation=pick(F.concat(F.lit(fx.OVERRIDE_TEXT), safety), "explanation"),
+        probabilities=pick(
+            F.create_map(F.coalesce(safety, F.lit("")), F.lit(fx.OVERRIDE_CONFIDENCE)), "probabilities"
         ),
     )
 

@@ -75,11 +75,11 @@ def _turns(messages: DataFrame, brand: str) -> DataFrame:
         F.col("inbound").cast("int").alias("customers"),
         F.concat(F.lit("["), speaker, F.lit("]: "), tx.clean_message(F.col("text"))).alias("line"),
     )
-    present = messages.select(F.col("tweet_id").alias("parent_id"))
-    child = nodes.where("parent_id is not null")
-    known = child.join(present, "parent_id", "left_semi")
-    orphan = child.join(present, "parent_id", "left_anti").withColumn("parent_id", F.lit(None).cast("long"))
-    return nodes.where("parent_id is null").unionByName(known).unionByName(orphan)
+    present = messages.select(F.col("tweet_id").alias("parent_id"), F.lit(True).alias("_present"))
+    # Rows without a parent stay out of the join, where they would share one key.
+    child = nodes.where("parent_id is not null").join(present, "parent_id", "left")
+    child = child.withColumn("parent_id", F.when(F.col("_present"), F.col("parent_id")))
+    return nodes.where("parent_id is null").unionByName(child.select(*nodes.columns))
 
 
 def _double(state: DataFrame) -> DataFrame:

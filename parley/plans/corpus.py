@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame
 from parley.fixed import wording as fx
 from parley.operators import profile
 from parley.operators.threads import brand_messages, dialogue_pairs, exportable, head_pairs, one_row_per_id
+from parley.session import stage
 
 
 def build_pairs(messages: DataFrame, brand: str = fx.BRAND, max_pairs: int | None = None) -> DataFrame:
     """Brand filter, thread rebuilding, optional head, length filter."""
-    pairs = dialogue_pairs(one_row_per_id(brand_messages(messages, brand)), brand)
+    # The brand's messages are read several times below: turns, parents, replies, customers.
+    kept = stage(one_row_per_id(brand_messages(messages, brand)), "messages")
+    pairs = dialogue_pairs(kept, brand)
     if max_pairs:
         pairs = head_pairs(pairs, max_pairs)
     return exportable(pairs)

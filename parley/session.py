@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_STAGED: list[str] = []
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "parley") -> SparkSession:
@@ -45,6 +46,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/parley/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,13 +57,21 @@ def stage_counted(df: DataFrame, name: str, count: Column) -> tuple[DataFrame, i
     return staged, seen.get["n"]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete every table this program staged. Call it when all results are written."""
+    while _STAGED:
+        _delete(spark, _STAGED.pop())
 
 
 def spread(df: DataFrame) -> DataFrame:

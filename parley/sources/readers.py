@@ -31,6 +31,20 @@ def read_messages(
     return df.limit(n) if n else df
 
 
+def locate_dump(spark: SparkSession, folder: str) -> str | None:
+    """Path of the message dump below a folder: a CSV file named so or large, else the first CSV file."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .load(folder)
+        .select("path", "length")
+    )
+    likely = F.lower(F.element_at(F.split("path", "/"), -1)).contains("twcs") | (F.col("length") > 10_000_000)
+    first = files.orderBy(likely.desc(), "path").select("path").first()
+    return first.path if first else None
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAIRS).parquet(path)
 

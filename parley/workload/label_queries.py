@@ -494,10 +494,10 @@ def greedy_ctes(default: int, special: dict[str, int], stop: int) -> list[tuple[
             f"SELECT pair_id AS k, {s.strip('customer_message')} AS title, {s.strip('brand_reply')} AS content, conversation_id, turn_index, brand_tweet_id FROM pairs "
             "WHERE length(customer_message) > 15 AND length(brand_reply) > 20",
         ),
-        *s.heuristic("usable", "k", "title"),
+        *s.heuristic("usable", "k", "title", "labelled"),
         (
             "ordered",
-            f"SELECT list({{'sig': lower(substr(content, 1, 60)), 'c': intent, 'k': k}} ORDER BY {_POS}) AS rows FROM usable JOIN predicted USING (k)",
+            f"SELECT list({{'sig': lower(substr(content, 1, 60)), 'c': intent, 'k': k}} ORDER BY {_POS}) AS rows FROM usable JOIN labelled USING (k)",
         ),
         (
             "folded",
@@ -516,10 +516,11 @@ def greedy_ctes(default: int, special: dict[str, int], stop: int) -> list[tuple[
 
 
 _RARE = {i: fx.RARE_CAP for i in fx.RARE_INTENTS}
+PRODUCTION_STORE = greedy_ctes(fx.COMMON_CAP, _RARE, fx.STORE_TARGET - 12)
 _STORE_COLS = ["doc_ord", "doc_id", "title", "category", "content", "is_policy"]
 
 
-@query("build_precedents", s.with_(["pairs", "policies", greedy_ctes(fx.COMMON_CAP, _RARE, fx.STORE_TARGET - 12)], "SELECT * FROM store"))
+@query("build_precedents", s.with_(["pairs", "policies", PRODUCTION_STORE], "SELECT * FROM store"))
 def _(spark, sf):
     return precedents.build_precedents(seeds.pairs(spark, sf)).select(_STORE_COLS)
 

@@ -13,7 +13,7 @@ from parley.plans.triage import flatten_state, triage
 from parley.session import stage
 from parley.workload import seeds
 from parley.workload import sql as s
-from parley.workload.label_queries import policy_sql
+from parley.workload.label_queries import PRODUCTION_STORE, policy_sql
 from parley.workload.registry import query
 
 # Index and search over whole documents -------------------------------------------
@@ -100,12 +100,13 @@ _STORE = (
 _ESC, _WHY = policy_sql("cleaned", "qualified")
 
 
-def triage_ctes(source: str, key: str, text: str) -> list:
+REPLY_STORE = ["policies", "reply_docs", _STORE]
+
+
+def triage_ctes(source: str, key: str, text: str, store: list = REPLY_STORE) -> list:
     """CTEs of the whole job: triaged(k, cleaned, intent, ..., ids, scores)."""
     return [
-        "policies",
-        "reply_docs",
-        _STORE,
+        store,
         "dim",
         ("cleaned_rows", f"SELECT {key} AS id, {s.redact(text)} AS cleaned FROM {source}"),
         s.heuristic("cleaned_rows", "id", "cleaned"),
@@ -168,11 +169,16 @@ def _precedent_triage(spark, sf):
     return triage(seeds.messages(spark, sf), retrieval.tfidf_index(docs))
 
 
-@query("triage_with_precedents")
+@query(
+    "triage_with_precedents",
+    s.with_(
+        ["msgs", triage_ctes("msgs", "msg_id", "text", ["pairs", "policies", PRODUCTION_STORE])],
+        "SELECT id AS msg_id, intent, escalate, draft_reply, array_to_string(ids, ',') AS citations FROM triaged",
+    ),
+)
 def _(spark, sf):
-    out = _precedent_triage(spark, sf)
-    return out.groupBy("intent", "escalate").agg(
-        F.count("*").alias("messages"), rounded(F.avg(F.size("citations")), 4).alias("citations")
+    return _precedent_triage(spark, sf).select(
+        "msg_id", "intent", "escalate", "draft_reply", F.array_join("citations", ",").alias("citations")
     )
 
 

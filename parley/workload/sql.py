@@ -124,7 +124,7 @@ _TIER = (
 _LABEL = label_escalate("true_intent", "message_text", "difficulty")
 
 
-def heuristic(source: str, key: str, text: str) -> list[tuple[str, str]]:
+def heuristic(source: str, key: str, text: str, out: str = "predicted") -> list[tuple[str, str]]:
     """CTEs for the pattern pack: hits -> scores -> ranked -> predicted(key, intent, confidence, ...)."""
     hits = ", ".join(f"{has('t', p)} AS m{i}" for i, (_, p, _) in enumerate(INTENT_PATTERNS))
     scores = []
@@ -140,25 +140,25 @@ def heuristic(source: str, key: str, text: str) -> list[tuple[str, str]]:
     )
     any_hit = " OR ".join(f"m{i}" for i in range(len(INTENT_PATTERNS)))
     return [
-        ("h_hits", f"SELECT {key} AS k, t, {hits} FROM (SELECT {key}, {strip(text)} AS t FROM {source})"),
+        (f"{out}_hits", f"SELECT {key} AS k, t, {hits} FROM (SELECT {key}, {strip(text)} AS t FROM {source})"),
         (
-            "h_scores",
+            f"{out}_scores",
             f"SELECT k, t, ({any_hit}) AS matched, list_filter([{reasons}], lambda r: r IS NOT NULL) AS reasons, "
-            f"{', '.join(scores)} FROM h_hits",
+            f"{', '.join(scores)} FROM {out}_hits",
         ),
         (
-            "h_ranked",
-            f"SELECT *, list_sort([{ranked}]) AS r FROM (SELECT *, {total} AS total FROM h_scores)",
+            f"{out}_ranked",
+            f"SELECT *, list_sort([{ranked}]) AS r FROM (SELECT *, {total} AS total FROM {out}_scores)",
         ),
         (
-            "predicted",
+            out,
             "SELECT k, CASE WHEN matched THEN r[1].i ELSE 'other_unclear' END AS intent, "
             f"CASE WHEN matched THEN round(r[1].w, 2) ELSE {fx.FALLBACK_CONFIDENCE}::DOUBLE END AS confidence, "
             f"(NOT matched OR (round(r[2].p - r[1].p, 4) < {fx.AMBIGUITY_MARGIN}::DOUBLE AND -r[1].p < {fx.AMBIGUITY_TOP}::DOUBLE)) AS is_ambiguous, "
             "round(r[2].p - r[1].p, 4) AS margin, "
             f"CASE WHEN matched THEN array_to_string(reasons[1:3], '; ') ELSE {q(fx.NO_MATCH)} END AS explanation, "
             + ", ".join(f"round(s_{n} / total, 4) AS p_{n}" for n in NAMES)
-            + " FROM h_ranked",
+            + f" FROM {out}_ranked",
         ),
     ]
 

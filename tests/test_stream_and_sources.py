@@ -49,6 +49,7 @@ def test_messages_csv(spark, tmp_path):
     assert (rows[0].text, rows[0].in_response_to_tweet_id, rows[0].inbound) == ('a "quoted"\nline', 3, True)
     assert rows[1].in_response_to_tweet_id is None and not rows[1].inbound
     assert readers.read_messages(spark, str(tmp_path / "raw"), ["text"], 1).count() == 1
+    assert readers.locate_dump(spark, str(tmp_path / "raw")).endswith("my_twcs.csv")
 
 
 def test_gold_lines(spark, tmp_path):

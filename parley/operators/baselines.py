@@ -57,16 +57,15 @@ def keyword_baseline(df: DataFrame, text: str) -> DataFrame:
 def majority_class(gold: DataFrame, order: str = "id") -> DataFrame:
     """Most frequent true intent with its share; a tie goes to the intent seen first."""
     counts = gold.groupBy("true_intent").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    total = counts.agg(F.sum("n").alias("total"))
     top = counts.orderBy(F.desc("n"), "_first").limit(1)
-    return top.crossJoin(total).select("true_intent", "n", rounded(F.col("n") / F.col("total"), 4).alias("share"))
+    total = gold.agg(F.count("*")).scalar()
+    return top.select("true_intent", "n", rounded(F.col("n") / total, 4).alias("share"))
 
 
 def fixed_baseline(df: DataFrame, majority: DataFrame, always: bool) -> DataFrame:
     """The majority intent and one fixed decision for every row. `majority` has one row."""
-    intent = majority.select(F.col("true_intent").alias("predicted_intent"))
     return (
-        df.crossJoin(F.broadcast(intent))
+        df.withColumn("predicted_intent", majority.select("true_intent").scalar())
         .withColumn("predicted_escalate", F.lit(always))
         .withColumn("escalation_reason", F.lit(fx.ALWAYS_REASON if always else fx.NEVER_REASON))
         .withColumn("response", F.lit(fx.ALWAYS_REPLY if always else fx.NEVER_REPLY))

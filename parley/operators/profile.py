@@ -157,8 +157,7 @@ def boilerplate_report(df: DataFrame, column: str) -> DataFrame:
     )
     known = counts.where("value is not null").select("n")
     top = known.orderBy(F.desc("n")).limit(10).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("top_rows"))
-    # Both sides are one-row aggregates.
-    return totals.crossJoin(top).select(
+    return totals.withColumn("top_rows", top.scalar()).select(
         F.lit(column).alias("column"),
         "total",
         "distinct_values",
@@ -170,13 +169,8 @@ def boilerplate_report(df: DataFrame, column: str) -> DataFrame:
 def share_by(df: DataFrame, column: str, total: str = "share_pct") -> DataFrame:
     """Rows per value with their share of all rows in percent."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("_all"))
-    return (
-        counts.crossJoin(F.broadcast(whole))
-        .withColumn(total, rounded(F.col("n") * 100.0 / F.col("_all"), 1))
-        .drop("_all")
-        .orderBy(F.desc("n"), column)
-    )
+    whole = df.agg(F.count("*")).scalar()
+    return counts.withColumn(total, rounded(F.col("n") * 100.0 / whole, 1)).orderBy(F.desc("n"), column)
 
 
 def category_pattern_scan(pairs: DataFrame, examples: int = 0, seed: int = 42) -> DataFrame:

@@ -69,7 +69,7 @@ def safety_labels(gold: DataFrame) -> DataFrame:
 def confusion_total(confusion: DataFrame, rows: DataFrame) -> DataFrame:
     """Confusion cells against the number of rows."""
     cells = confusion.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"))
-    return cells.crossJoin(rows.agg(F.count("*").alias("rows"))).withColumn("ok", F.col("cells") == F.col("rows"))
+    return cells.withColumn("rows", rows.agg(F.count("*")).scalar()).withColumn("ok", F.col("cells") == F.col("rows"))
 
 
 def taxonomy_complete(dim: DataFrame) -> DataFrame:

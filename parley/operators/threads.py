@@ -25,7 +25,8 @@ def id_set_union(left: DataFrame, right: DataFrame) -> DataFrame:
 def brand_messages(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
     """Brand messages, the messages they answer, and the messages that answer them."""
     own = messages.where(F.col("author_id") == brand)
-    own_ids = own.select("tweet_id").distinct()
+    # Staged, so that the join below shuffles both sides and a tweet with very many answers can be split.
+    own_ids = stage(own.select("tweet_id").distinct(), "brand-ids")
     answered = own.where("in_response_to_tweet_id is not null").select(
         F.col("in_response_to_tweet_id").alias("tweet_id")
     )
@@ -199,8 +200,10 @@ def dialogue_pairs(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
     """
     reply, customer = _replies(messages, brand), _customers(messages)
     history = lineage(messages, brand).withColumnRenamed("tweet_id", "customer_id")
-    # One row per customer message on the right, so a message with very many replies skews one side of one join only.
-    return reply.join(customer.join(history, "customer_id"), "customer_id").select(
+    # One row per customer message. Staged, so that the last join shuffles both sides directly: only then can adaptive
+    # execution split the replies of a message that has very many.
+    asked = stage(customer.join(history, "customer_id"), "asked")
+    return reply.join(asked, "customer_id").select(
         _pair_id().alias("pair_id"),
         F.col("root_id").cast("string").alias("conversation_id"),
         (F.col("prior_customers") + 1).cast("int").alias("turn_index"),

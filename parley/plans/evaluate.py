@@ -70,18 +70,17 @@ def evaluate(records: DataFrame, gold: DataFrame | None = None) -> dict[str, Dat
 
 def summary(records: DataFrame) -> DataFrame:
     """All headline numbers as one nested row."""
-    rates = metrics.escalation_rates(records).select(F.struct("*").alias("escalation_metrics"))
-    tiers = metrics.tier_metrics(records)
-    intents = metrics.per_intent(records)
-    as_map = lambda df, key, name: df.agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.col(key), F.struct(*[c for c in df.columns if c != key]))))
-        ).alias(name)
-    )
-    judge = judge_summary(records.select("judge_evaluation.*")).select(F.struct("*").alias("judge_qualitative_metrics"))
-    # Four one-row tables: twelve intents and six tiers at most.
-    return (
-        rates.crossJoin(as_map(intents, "intent", "per_intent_metrics"))
-        .crossJoin(as_map(tiers, "difficulty", "tier_stratification"))
-        .crossJoin(judge)
+    rates = metrics.escalation_rates(records)
+
+    def by_key(df: DataFrame, key: str) -> DataFrame:
+        # Twelve intents, six tiers.
+        value = F.struct(*[c for c in df.columns if c != key])
+        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value)))))
+
+    judge = judge_summary(records.select("judge_evaluation.*")).select(F.struct("*"))
+    return rates.select(
+        F.struct("*").alias("escalation_metrics"),
+        by_key(metrics.per_intent(records), "intent").scalar().alias("per_intent_metrics"),
+        by_key(metrics.tier_metrics(records), "difficulty").scalar().alias("tier_stratification"),
+        judge.scalar().alias("judge_qualitative_metrics"),
     )

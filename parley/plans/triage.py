@@ -57,14 +57,18 @@ def triage(
 ) -> DataFrame:
     """One decision and draft per message (msg_id, text).
 
-    The scored table is staged, because both the search and the final join read it. A reply is drafted for every
-    message, escalated or not.
+    With `staged`, the scored table is written once, because both the search and the final join read it. A reply is
+    drafted for every message, escalated or not.
     """
     keep = ["msg_id", "text", "cleaned", "qid", "intent", "confidence", "is_ambiguous", "margin", "explanation"]
     classified = classify(messages.select("msg_id", "text"), classifier).select(*keep)
     if staged:
         classified = stage(classified, "classified")
     found = retrieve(classified, retriever or index_retriever(index))
+    if staged:
+        # One row per question. The join shuffles both sides directly, so a question that very many messages share is
+        # split by adaptive execution, and a small result is broadcast by its true size.
+        found = stage(found, "found")
     none = F.array().cast(schemas.SOURCES)
     joined = classified.join(found, "qid", "left").withColumn("grounding_sources", F.coalesce("sources", none))
     decided = joined.withColumn(

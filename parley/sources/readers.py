@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley import schemas
 from parley.functions import text as tx
 from parley.operators.gold import GOLD_COLUMNS
+from parley.operators.topn import number_rows
 
 
 def read_messages(
@@ -50,13 +51,16 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_precedents(spark: SparkSession, path: str) -> DataFrame:
-    """Precedent documents; an absent path gives an empty table. Order is that of doc_id unless doc_ord is stored."""
+    """Precedent documents; an absent path gives an empty table. Where no doc_ord is stored, doc_id gives the order."""
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
     if not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location):
         return spark.createDataFrame([], "doc_ord long, " + schemas.PRECEDENTS)
     df = spark.read.schema("doc_ord long, " + schemas.PRECEDENTS).parquet(path)
-    return df.withColumn("is_policy", F.coalesce("is_policy", F.lit(False)))
+    df = df.withColumn("is_policy", F.coalesce("is_policy", F.lit(False)))
+    if df.where("doc_ord is null").isEmpty():
+        return df
+    return number_rows(df.drop("doc_ord"), ["doc_id"]).withColumn("doc_ord", F.col("position") - 1).drop("position")
 
 
 def gold_records(lines: DataFrame, column: str = "value") -> DataFrame:

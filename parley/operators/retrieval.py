@@ -19,7 +19,7 @@ from parley.fixed import wording as fx
 from parley.functions import text as tx
 from parley.functions.rates import rounded
 from parley.operators.topn import first_per_group
-from parley.session import stage
+from parley.session import stage, tasks
 
 # Largest table, in rows, that is sent to every executor: up to 100 bytes a row as a join table, 20 as arrays.
 BROADCAST_ROWS = 1_000_000
@@ -89,9 +89,13 @@ def tfidf_index(docs: DataFrame, max_terms: int = fx.MAX_TERMS) -> TermIndex:
 
 
 def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
-    """Unit-length weights of the query terms that are in the vocabulary, partitioned by query."""
+    """Unit-length weights of the query terms that are in the vocabulary, partitioned by query.
+
+    The number of partitions is fixed, because questions are small and scoring them is not: adaptive execution would
+    merge them into few tasks by their size.
+    """
     counts = _term_counts(
-        queries.select("qid", F.col("category").alias("q_category"), "text").repartition("qid"),
+        queries.select("qid", F.col("category").alias("q_category"), "text").repartition(tasks(queries.sparkSession), "qid"),
         ["qid", "q_category"],
         "text",
     )

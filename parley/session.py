@@ -74,6 +74,11 @@ def release_stages(spark: SparkSession) -> None:
         _delete(spark, _STAGED.pop())
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for a step whose work is not in proportion to its input size."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread an input that arrives in fewer splits than there are cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -6,7 +6,7 @@ import pytest
 
 from parley.operators import gold, retrieval
 from parley.operators.quality import missing_fields
-from parley.session import drop_staged, stage, stage_counted, stage_root
+from parley.session import drop_staged, release_stages, stage, stage_counted, stage_root
 from parley.sources import readers, writers
 from parley.streaming.triage import triage_stream
 from pyspark.sql import functions as F
@@ -82,4 +82,8 @@ def test_stage(spark):
     drop_staged(df)
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0])
-    assert stage(spark.range(3), "t").count() == 3
+    kept = stage(spark.range(3), "t")
+    assert kept.count() == 3
+    release_stages(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, sharding
+from parley.llm import exact_dedup, packing, sharding, token_store
+from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_token_store")
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(read(spark, sf_dir, "documents"), public_path())
+    return token_store.read_documents(store)
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), public_path())
+    return packed.select(
+        "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard(read(spark, sf_dir, "documents"), SHARDS)

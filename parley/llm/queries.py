@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, packing, sharding, token_store
+from parley.llm import exact_dedup, ngram_join, packing, sharding, token_store
 from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(store)
 
 
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read(spark, sf_dir, "documents"), public_path())

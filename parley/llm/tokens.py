@@ -10,9 +10,10 @@ from __future__ import annotations
 import array
 import os
 import sys
+import unicodedata
 
 END = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -22,6 +23,18 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTER = _byte_letters()
+_MARKS = b",."
+_PLAIN_BELOW = "\u0250"  # Latin letters, where lower case does not depend on what stands around
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of a word, by its UTF-8 bytes.
 
@@ -30,19 +43,40 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, limit: int = CACHE_WORDS):
         super().__init__()
-        self.tokenizer, self.model, self.limit, self.old = tokenizer, tokenizer.model, limit, {}
+        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
+        self.old: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _stem(self, word: bytes) -> bytes | None:
+        """Ids of a word that is one piece of the splitting rule; None if it may not be."""
+        text = word.decode()
+        if not text.isascii() and not (max(text) < _PLAIN_BELOW and unicodedata.is_normalized("NFC", text)):
+            return None
+        low = text.lower()
+        if not (text.isalpha() and low.isalpha()):
+            return None
+        key = low.encode()
+        ids = self.stems.get(key)
+        if ids is None:
+            # The piece as the model spells it, byte by byte.
+            spelled = low if low.isascii() else "".join(map(_LETTER.__getitem__, key))
+            ids = _bytes([t.id for t in self.model.tokenize(spelled)])
+            if len(self.stems) >= self.limit:
+                self.stems.clear()
+            self.stems[key] = ids
+        return ids
 
     def _ask(self, word: bytes) -> bytes:
-        if word.isascii() and b"<|" not in word:
-            low = word.lower()
-            if low != word:
-                return self[low]
-            if word.isalpha():
-                # One piece of the splitting rule, spelled as the model spells it.
-                return _bytes([t.id for t in self.model.tokenize(word.decode())])
-            if len(word) > 1 and word[-1:] in b",." and word[:-1].isalpha():
-                # A letter and a mark never share a piece.
-                return self[word[:-1]] + self[word[-1:]]
+        mark = word[-1:]
+        if mark in _MARKS and len(word) > 1:
+            # A letter and a mark never share a piece.
+            ids = self._stem(word[:-1])
+            if ids is not None:
+                return ids + self[mark]
+        else:
+            ids = self._stem(word)
+            if ids is not None:
+                return ids
         return _bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:

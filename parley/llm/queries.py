@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, ngram_join, packing, sharding, token_store
+from parley.llm import exact_dedup, language_id, ngram_join, packing, sharding, token_store
 from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,20 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(store)
 
 
+def fold(parts: int) -> Column:
+    """Remainder of crc32 of the id as text."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % parts
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "_language.lang_pred", "_language.score")
+
+
 @query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

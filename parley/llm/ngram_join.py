@@ -40,6 +40,8 @@ WORDS = 5
 NUM, DEN = 3, 4  # a link needs DEN * common >= NUM * union
 FLUSH = 1_500_000
 UNIT = 4_000_000
+# Up to so many ids of dropped documents are sent to every task; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -311,3 +313,13 @@ def join(docs: DataFrame, words: int = WORDS, unit: int = UNIT) -> DataFrame:
     return rows.join(named, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs with one document of each group, the one with the smallest id; all columns kept.
+
+    Rows without an id stay. Rows that share an id stay or go together.
+    """
+    gone = join(docs, words).where("doc_id != component_id").select("doc_id").distinct()
+    gone, n = stage_counted(gone, "near-copies", F.count("*"))
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, language_id, ngram_join, packing, sharding, token_store
+from parley.llm import exact_dedup, language_id, ngram_join, packing, sharding, token_store, toxicity
 from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,20 @@ def fold(parts: int) -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % parts
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    model = toxicity.train(docs.where(~held_out), read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.select(
+        "doc_id",
+        "held_out",
+        F.col("_toxicity").alias("score"),
+        (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")

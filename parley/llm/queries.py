@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, language_id, ngram_join, packing, sharding, token_store, toxicity
+from parley.llm import exact_dedup, language_id, ngram_join, packing, sentencepiece_viterbi, sharding, token_store, toxicity
 from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to: the same text, so the checksums agree."""
+    path = public_path("piece_bpe_32k.model")
+    back = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(read(spark, sf_dir, "documents"), path), path)
+    crc = F.crc32(F.encode("text", "utf-8"))
+    return back.select("doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), crc.alias("text_crc32"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")

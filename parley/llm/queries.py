@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, language_id, ngram_join, packing, sentencepiece_viterbi, sharding, token_store, toxicity
+from parley.llm import exact_dedup, html_templates, language_id, ngram_join, packing, sentencepiece_viterbi, sharding, token_store, toxicity
 from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_templates.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and what they decode to: the same text, so the checksums agree."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, html_templates, language_id, ngram_join, packing, sentencepiece_viterbi, sharding, token_store, toxicity
+from parley.llm import exact_dedup, html_templates, language_id, ngram_join, packing, sentencepiece_viterbi, sharding, token_store, topk_search, toxicity
 from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_topk_search")
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(read(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 @query("op4_html_extraction")
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")

@@ -29,7 +29,7 @@ BUCKETS = 1 << 18
 DIMS = 8
 FILTERS = 6
 WIDTHS = (1, 2, 3)
-TRAIN_ROWS = 2500  # sampled toxic rows
+TRAIN_ROWS = 2000  # sampled toxic rows
 CLEAN_TO_TOXIC = 2  # sampled clean rows for each of them
 LEAST_DOCS = 3  # sampled documents a word must be in to be learned
 SHRINK = 4  # documents
@@ -126,25 +126,26 @@ def fit(texts: list[str], label: np.ndarray, lang: list[str | None], seed: int =
     model = Model(float(label.mean()) if len(label) else 0.0)
     if not 0 < label.sum() < len(label):
         return model
-    one: dict[str, str] = {}
-    docs = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
+    index: dict[str, int] = {}
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
+    names = list(index)
     held = np.zeros(len(docs), bool)
     for value in (0, 1):  # a quarter of each label is left for the thresholds, if there is enough of it
         own = rng.permutation(np.flatnonzero(label == value))
         held[own[: len(own) // 4]] = True
     # Words in several training documents.
-    seen: dict[str, list[int]] = {}
-    for words, y, out in zip(docs, label, held):
-        if not out:
-            for w in set(words):
-                seen.setdefault(w, [0, 0])[y] += 1
-    vocabulary = sorted(w for w, c in seen.items() if sum(c) >= min(LEAST_DOCS, max(1, len(docs) // 100)))
-    if not vocabulary:
+    seen = np.zeros((len(names), 2))
+    for d in np.flatnonzero(~held):
+        seen[np.unique(docs[d]), label[d]] += 1
+    learned = np.flatnonzero(seen.sum(1) >= min(LEAST_DOCS, max(1, len(docs) // 100)))
+    if not len(learned):
         return model
-    row = {w: k + 1 for k, w in enumerate(vocabulary)}
-    rows = [np.array([row.get(w, 0) for w in words], np.int64) for words in docs]
+    vocabulary = [names[k] for k in learned]
+    row = np.zeros(len(names), np.int64)
+    row[learned] = np.arange(1, len(learned) + 1)
+    rows = [row[d].astype(np.int32) for d in docs]
     place, table, into = [], [], []
-    counts = np.array([seen[w] for w in vocabulary], float)
+    counts = seen[learned]
     total = np.array([(label[~held] == 0).sum(), (label[~held] == 1).sum()], float)
     odds = np.log((counts[:, 1] + 0.5) / (total[1] + 1)) - np.log((counts[:, 0] + 0.5) / (total[0] + 1))
     odds *= counts.sum(1) / (counts.sum(1) + SHRINK)  # few documents say little
@@ -215,28 +216,31 @@ def fit(texts: list[str], label: np.ndarray, lang: list[str | None], seed: int =
     model.filters = values["filters"].astype(np.float32)
     model.bias, model.out, model.base = values["bias"], values["out"], float(values["base"][0])
     model.ready = True
-    _learn_language(model, docs, lang)
-    _calibrate(model, docs, label, held)
+    _learn_language(model, names, docs, lang)
+    _calibrate(model, texts, label, held)
     return model
 
 
-def _learn_language(model: Model, docs: list[list[str]], lang: list[str | None]) -> None:
+def _learn_language(model: Model, names: list[str], docs: list[np.ndarray], lang: list[str | None]) -> None:
     """Evidence of each bucket for each language, from how often its words are in documents of that language."""
     model.langs = sorted({x for x in lang if x is not None})
     counts = np.full((BUCKETS, len(model.langs)), 0.1)
+    place, _ = buckets(names)
     for words, own in zip(docs, lang):
-        if own is not None and words:
-            np.add.at(counts[:, model.langs.index(own)], buckets(list(set(words)))[0], 1)
+        if own is not None:
+            np.add.at(counts[:, model.langs.index(own)], place[np.unique(words)], 1)
     rate = counts / counts.sum(0) if model.langs else counts
     evidence = np.log(rate) - np.log(rate).mean(1, keepdims=True) if model.langs else counts
     model.evidence = evidence.astype(np.float32)
 
 
-def _calibrate(model: Model, docs: list[list[str]], label: np.ndarray, held: np.ndarray) -> None:
-    """Threshold per language: the middle of the best cut of the rows that were left out of training."""
+def _calibrate(model: Model, texts: list[str], label: np.ndarray, held: np.ndarray) -> None:
+    """Threshold per language: the best cut of the rows that were left out of training."""
+    use = held if 0 < label[held].sum() < held.sum() else np.ones(len(texts), bool)
+    texts, label = [t for t, u in zip(texts, use) if u], label[use]
     store = _Words(model)
-    logit, lang = model.logits(*store.look(docs))
-    use = held if 0 < label[held].sum() < held.sum() else np.ones(len(docs), bool)
+    found = [model.logits(*store.look([words_of(t) for t in texts[k : k + 50]])) for k in range(0, len(texts), 50)]
+    logit, lang = (np.concatenate(x) for x in zip(*found))
 
     def cut(z: np.ndarray, y: np.ndarray) -> float:
         grid = np.linspace(z.min(), z.max(), 400)
@@ -244,10 +248,10 @@ def _calibrate(model: Model, docs: list[list[str]], label: np.ndarray, held: np.
         cost = CLEAN_WEIGHT * soft[y == 0].mean(0) + (1 - soft[y == 1]).mean(0)
         return float(grid[cost.argmin()])
 
-    whole = cut(logit[use], label[use])
+    whole = cut(logit, label)
     model.shift = np.full(max(len(model.langs), 1), whole)
     for k in range(len(model.langs)):
-        own = use & (lang == k)
+        own = lang == k
         if min((label[own] == 1).sum(), (label[own] == 0).sum()) >= 8:
             model.shift[k] = cut(logit[own], label[own])
 
@@ -288,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     ).select("doc_id", "toxic")
     # (1 + CLEAN_TO_TOXIC) * `rows` ids; the sample of texts is bounded by the same number.
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    table = sample.toPandas().sort_values("doc_id")
+    table = sample.toPandas().sort_values("doc_id", ignore_index=True)
     lang = [None if x is None or x != x else x for x in table["lang"]]
     return fit(table["text"].tolist(), table["toxic"].to_numpy(np.int64), lang)
 

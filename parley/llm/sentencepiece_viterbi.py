@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+CACHE_PARTS = 500_000
 CACHED_LENGTH = 48
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -88,6 +89,11 @@ class Model:
         # Two neighbours that no piece holds: every path has a boundary between them.
         self.inside = {a + b for p in self.id for a, b in zip(p, p[1:])}
         self.worst = min(self.score.values(), default=0.0) - 10
+        lengths: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], {1}).add(len(p))
+        self.ends = {pair: tuple(sorted(own, reverse=True)) for pair, own in lengths.items()}
         self.spelled = [self._bytes(p, t) for p, _, t in self.pieces]
         self._joint: dict[tuple[str, str], bool] = {}
 
@@ -122,11 +128,12 @@ class Model:
     def stands(self, left: str, right: str) -> bool:
         """Whether two neighbouring pieces stay apart, and each stays whole, under the merge rule."""
         key = (left, right)
-        if key not in self._joint:
-            if len(self._joint) > 2 * CACHE_WORDS:
+        known = self._joint.get(key)
+        if known is None:
+            if len(self._joint) > CACHE_PARTS:
                 self._joint.clear()
-            self._joint[key] = self.merged(left + right) == [p for p in key if p]
-        return self._joint[key]
+            known = self._joint[key] = self.merged(left + right) == [p for p in key if p]
+        return known
 
 
 def _spell(model: Model, piece: str) -> list[int]:
@@ -139,7 +146,8 @@ def _spell(model: Model, piece: str) -> list[int]:
 
 def viterbi(model: Model, text: str, commit: Callable[[str], None]) -> int:
     """Send the pieces of a normalised text to `commit` in order; returns the largest number of boundaries held."""
-    longest, known, bpe = model.longest, model.id, model.kind == BPE
+    longest, known, bpe, stands = model.longest, model.id, model.kind == BPE, model.stands
+    ends, one = model.ends, (1,)
     # Per boundary: boundary before, its piece, total score. The committed boundary is the only one without a piece.
     back: dict[int, tuple[int, str, float]] = {0: (-1, "", 0.0)}
     done = held = 0
@@ -153,20 +161,24 @@ def viterbi(model: Model, text: str, commit: Callable[[str], None]) -> int:
 
     for end in range(1, len(text) + 1):
         best = None
-        for start in range(max(done, end - longest), end):
+        # Lengths of the pieces that end in the same two characters, longest first.
+        for size in ends.get(text[end - 2 : end], one) if end > 1 else one:
+            start = end - size
+            before = back.get(start)
+            if before is None:
+                continue
             piece = text[start:end]
-            single = end - start == 1
-            if start not in back or not (piece in known or single):
+            if size > 1 and piece not in known:
                 continue
-            _, last, total = back[start]
+            last = before[1]
             if bpe:
                 # A character without a piece never merges.
-                able = piece not in known or last not in known or model.stands(last, piece)
-                if able and (last in known or single or model.stands("", piece)):
-                    best = (start, piece, 0.0)
-                    break
+                if piece not in known or last not in known or stands(last, piece):
+                    if size == 1 or last in known or stands("", piece):
+                        best = (start, piece, 0.0)
+                        break
             else:
-                total += model.score.get(piece, model.worst)
+                total = before[2] + model.score.get(piece, model.worst)
                 if best is None or total > best[2]:
                     best = (start, piece, total)
         if best is not None:
@@ -203,24 +215,21 @@ class Encoder:
         viterbi(self.model, text, lambda piece: out.extend(_spell(self.model, piece)))
         return out.tobytes()
 
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self._ids(part)
+            if len(part) <= CACHED_LENGTH:
+                if len(self.parts) >= CACHE_PARTS:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
-        """Ids of a word from those of the parts between forced boundaries."""
-        inside = self.model.inside
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inside]
-        if not cuts:
-            return self._ids(word)
-        out = []
-        for a, b in zip([0, *cuts], [*cuts, len(word)]):
-            part = word[a:b]
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self._ids(part)
-                if b - a <= CACHED_LENGTH:
-                    if len(self.parts) >= CACHE_WORDS:
-                        self.parts.clear()
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        """Ids of a word; a last character behind a forced boundary, such as a mark, is looked up on its own."""
+        if len(word) > 1 and word[-2:] not in self.model.inside:
+            return self._part(word[:-1]) + self._part(word[-1])
+        return self._part(word)
 
     def encode(self, text: str | None) -> bytes:
         text = self.model.normal(text or "")

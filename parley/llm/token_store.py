@@ -87,7 +87,7 @@ def dac_access(data: bytes, places: np.ndarray) -> np.ndarray:
         inside = at - block * BLOCK
         full = np.arange(BLOCK // 8) < (inside >> 3)[:, None]
         part = bits[at >> 3] & ((1 << (inside & 7)) - 1).astype(np.uint8)
-        at = ranks[block].astype(np.int64) + (_POP[around] * full).sum(1) + _POP[part]
+        at = ranks[block].astype(np.int64) + (_POP[around] * full).sum(1, dtype=np.int64) + _POP[part].astype(np.int64)
     return out
 
 
@@ -202,18 +202,19 @@ def tokens_at(store: DataFrame, wanted: DataFrame) -> DataFrame:
     begin = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.col("ends")[F.col("i") - 1])
     index = index.select("part", "segment", F.col("d.doc_ids").alias("doc_id"), begin.alias("b"), F.col("d.ends").alias("e"))
     asked = wanted.select("doc_id", "place").join(index, "doc_id").where("place >= 0 AND place < e - b")
+    asked = asked.toDF(*[f"asked_{c}" for c in asked.columns])
 
     def look(segment, places):
         import pandas as pd
 
         if not len(segment) or not len(places):
             return pd.DataFrame({"doc_id": [], "place": [], "token": []}).astype("int64")
-        found = dac_access(segment["codes"].iloc[0], (places["b"] + places["place"]).to_numpy())
-        return places[["doc_id", "place"]].assign(token=found.astype("int64"))
+        found = dac_access(segment["codes"].iloc[0], (places["asked_b"] + places["asked_place"]).to_numpy())
+        return pd.DataFrame({"doc_id": places["asked_doc_id"], "place": places["asked_place"], "token": found.astype("int64")})
 
     return (
         store.select("part", "segment", "codes")
         .groupBy("part", "segment")
-        .cogroup(asked.groupBy("part", "segment"))
+        .cogroup(asked.groupBy("asked_part", "asked_segment"))
         .applyInPandas(look, "doc_id long, place long, token long")
     )

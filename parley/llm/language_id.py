@@ -24,7 +24,7 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 800  # sampled rows per language
 SWITCH = 8.0
 FLOOR = -6.0
-CHUNK = 2_000_000
+CHUNK = 400_000
 CACHE_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 

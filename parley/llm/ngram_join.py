@@ -38,7 +38,7 @@ from parley.session import stage, stage_counted
 
 WORDS = 5
 NUM, DEN = 3, 4  # a link needs DEN * common >= NUM * union
-FLUSH = 1_500_000
+FLUSH = 600_000
 UNIT = 4_000_000
 # Up to so many ids of dropped documents are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000

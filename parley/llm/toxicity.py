@@ -38,7 +38,7 @@ BATCH = 128
 CLEAN_WEIGHT = 4  # a share of clean texts called toxic weighs as much as so many shares of toxic texts missed
 RATE = 0.005
 DECAY = 1e-4
-CHUNK = 1_000_000
+CHUNK = 400_000
 CACHE_WORDS = 200_000
 WORD = re.compile(r"\w+")
 _COLUMNS = FILTERS * sum(WIDTHS)

@@ -27,7 +27,7 @@ from parley.operators.topn import first_per_group
 
 BUCKETS = 1 << 18
 DIMS = 8
-FILTERS = 6
+FILTERS = 4
 WIDTHS = (1, 2, 3)
 TRAIN_ROWS = 2000  # sampled toxic rows
 CLEAN_TO_TOXIC = 2  # sampled clean rows for each of them
@@ -39,7 +39,7 @@ CLEAN_WEIGHT = 4  # a share of clean texts called toxic weighs as much as so man
 RATE = 0.005
 DECAY = 1e-4
 CHUNK = 400_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 WORD = re.compile(r"\w+")
 _COLUMNS = FILTERS * sum(WIDTHS)
 
@@ -265,16 +265,21 @@ class _Words:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.projected = np.zeros((1, _COLUMNS + len(self.model.langs)), np.float32)
+        self.projected = np.zeros((2 * CACHE_WORDS, _COLUMNS + len(self.model.langs)), np.float32)
 
     def look(self, docs: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Table of projections and the rows of each text."""
         if len(self.row) > CACHE_WORDS:
-            self.clear()
+            self.row.clear()
         new = list(set().union(*docs).difference(self.row))
-        if new:
-            self.row.update(zip(new, range(len(self.projected), len(self.projected) + len(new))))
-            self.projected = np.concatenate([self.projected, self.model.project(new)])
+        base = len(self.row) + 1
+        if base + len(new) > len(self.projected):
+            more = np.zeros((base + len(new) - len(self.projected), self.projected.shape[1]), np.float32)
+            self.projected = np.concatenate([self.projected, more])
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            self.projected[base + k : base + k + len(part)] = self.model.project(part)
+        self.row.update(zip(new, range(base, base + len(new))))
         return self.projected, [np.fromiter(map(self.row.__getitem__, d), np.int64, len(d)) for d in docs]
 
 

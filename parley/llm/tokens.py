@@ -49,21 +49,25 @@ class WordIds(dict):
 
     def _stem(self, word: bytes) -> bytes | None:
         """Ids of a word that is one piece of the splitting rule; None if it may not be."""
+        if word.isalpha():  # letters A-Z and a-z alone
+            key = word.lower()
+            ids = self.stems.get(key)
+            return self._spell(key, key.decode()) if ids is None else ids
         text = word.decode()
-        if not text.isascii() and not (max(text) < _PLAIN_BELOW and unicodedata.is_normalized("NFC", text)):
-            return None
         low = text.lower()
-        if not (text.isalpha() and low.isalpha()):
+        # Latin letters, composed, that stay letters in lower case.
+        if not (text.isalpha() and low.isalpha() and max(text) < _PLAIN_BELOW and unicodedata.is_normalized("NFC", text)):
             return None
         key = low.encode()
         ids = self.stems.get(key)
-        if ids is None:
-            # The piece as the model spells it, byte by byte.
-            spelled = low if low.isascii() else "".join(map(_LETTER.__getitem__, key))
-            ids = _bytes([t.id for t in self.model.tokenize(spelled)])
-            if len(self.stems) >= self.limit:
-                self.stems.clear()
-            self.stems[key] = ids
+        return self._spell(key, "".join(map(_LETTER.__getitem__, key))) if ids is None else ids
+
+    def _spell(self, key: bytes, spelled: str) -> bytes:
+        """Ids of a piece as the model spells it, byte by byte."""
+        ids = _bytes([t.id for t in self.model.tokenize(spelled)])
+        if len(self.stems) >= self.limit:
+            self.stems.clear()
+        self.stems[key] = ids
         return ids
 
     def _ask(self, word: bytes) -> bytes:
@@ -91,8 +95,10 @@ class WordIds(dict):
 
     def encode(self, text: str | None, end: int | None = END) -> bytes:
         """Ids of a whole text, then the end id; null counts as empty."""
-        ids = b"".join(map(self.__getitem__, (text or "").encode().split()))
-        return ids if end is None else ids + _bytes([end])
+        parts = [*map(self.__getitem__, (text or "").encode().split())]
+        if end is not None:
+            parts.append(_bytes([end]))
+        return b"".join(parts)
 
 
 _READY: dict[str, WordIds] = {}

@@ -56,10 +56,16 @@ def length_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _utc_date(ts: Column) -> Column:
+    """Day of an instant in UTC, whatever the time zone of the session."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+
+
 def monthly_volume(df: DataFrame, created_at: str) -> DataFrame:
+    """Messages per month in UTC."""
     ts = tx.parse_created_at(F.col(created_at))
     return (
-        df.select(F.date_format(ts, "yyyy-MM").alias("month"))
+        df.select(F.date_format(_utc_date(ts), "yyyy-MM").alias("month"))
         .where("month is not null")
         .groupBy("month")
         .agg(F.count("*").alias("messages"))
@@ -68,8 +74,9 @@ def monthly_volume(df: DataFrame, created_at: str) -> DataFrame:
 
 
 def date_range(df: DataFrame, created_at: str) -> DataFrame:
+    """First and last day in UTC."""
     ts = tx.parse_created_at(F.col(created_at))
-    day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("N/A"))
+    day = lambda c: F.coalesce(F.date_format(_utc_date(c), "yyyy-MM-dd"), F.lit("N/A"))
     return df.agg(day(F.min(ts)).alias("min_date"), day(F.max(ts)).alias("max_date"))
 
 
@@ -235,6 +242,16 @@ def inspect_authors(messages: DataFrame, n: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("messages"), "author_id").limit(n)
 
 
+def inspect_source(messages: DataFrame, n: int = 10) -> DataFrame:
+    """Row count, column list with positions, and most active authors, as rows of (part, name, value)."""
+    rows = messages.agg(F.lit("rows").alias("part"), F.lit(None).cast("string").alias("name"), F.count("*").alias("value"))
+    columns = messages.sparkSession.range(1).select(
+        F.lit("column").alias("part"), F.posexplode(F.array(*[F.lit(c) for c in messages.columns])).alias("value", "name")
+    )
+    authors = inspect_authors(messages, n).select(F.lit("author").alias("part"), F.col("author_id").alias("name"), "messages")
+    return rows.unionByName(columns.withColumn("value", F.col("value").cast("long"))).union(authors)
+
+
 def pii_audit(df: DataFrame, text: str) -> DataFrame:
     """Messages and hits per kind of personal data, on the text as it arrives."""
     kinds = [p for _, _, p in fx.PII_RULES]

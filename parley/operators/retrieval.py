@@ -23,6 +23,8 @@ from parley.session import stage, tasks
 
 # Largest table, in rows, that is sent to every executor: up to 100 bytes a row as a join table, 20 as arrays.
 BROADCAST_ROWS = 1_000_000
+# Scores that a task holds at a time: queries x documents.
+BLOCK_CELLS = 2_000_000
 # A term in more documents than this is split over several join keys.
 HOT_TERM_DOCS = 50_000
 # Scores closer than this are ties, so that summation order cannot change a ranking.
@@ -143,28 +145,35 @@ def _search_small_index(terms: DataFrame, index: TermIndex, top_k: int, threshol
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs, categories, starts, place, weight = packed.value
-        factors: dict[str, np.ndarray] = {}
+        n_docs, scale = len(docs), 10.0**SCORE_DIGITS
+        step = max(1, BLOCK_CELLS // max(n_docs, 1))
+
+        def block(rows: pd.DataFrame) -> pd.DataFrame:
+            """Best documents of some queries, from one array of queries x documents."""
+            n_terms = rows["ids"].map(len).to_numpy()
+            ids, q_weights = (np.concatenate(rows[c].to_list()) for c in ("ids", "weights"))
+            length = starts[ids + 1] - starts[ids]
+            at = np.arange(length.sum()) + np.repeat(starts[ids] - np.cumsum(length) + length, length)
+            query = np.repeat(np.repeat(np.arange(len(rows)), n_terms), length)
+            gained = np.repeat(q_weights, length) * weight[at]
+            scores = np.bincount(query * n_docs + place[at], gained, len(rows) * n_docs).reshape(len(rows), n_docs)
+            asked = rows["q_category"].fillna("").to_numpy()
+            same = np.where(categories == asked[:, None], fx.SAME_CATEGORY_BOOST, fx.OTHER_CATEGORY_FACTOR)
+            scores = np.where((asked == "")[:, None], scores, scores * same)
+            scores = np.floor(scores * scale + 0.5) / scale  # as functions.rates.rounded does
+            floor = np.full(len(rows), threshold)
+            if n_docs > top_k:
+                floor = np.maximum(floor, np.partition(scores, n_docs - top_k, 1)[:, n_docs - top_k])
+            q, d = np.nonzero(scores >= floor[:, None])
+            order = np.lexsort((d, -scores[q, d], q))
+            q, d = q[order], d[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            q, d, rank = (x[rank < top_k] for x in (q, d, rank))
+            return pd.DataFrame({"qid": rows["qid"].to_numpy()[q], "doc_ord": docs[d], "raw": scores[q, d], "rank": rank + 1})
+
         for batch in batches:
-            out: list[tuple] = []
-            for qid, category, ids, q_weights in zip(batch["qid"], batch["q_category"], batch["ids"], batch["weights"]):
-                scores = np.zeros(len(docs))
-                for term, w in zip(ids, q_weights):
-                    part = slice(starts[term], starts[term + 1])
-                    scores[place[part]] += w * weight[part]
-                if category:
-                    if category not in factors:
-                        factors[category] = np.where(
-                            categories == category, fx.SAME_CATEGORY_BOOST, fx.OTHER_CATEGORY_FACTOR
-                        )
-                    scores *= factors[category]
-                scores = np.round(scores, SCORE_DIGITS)
-                floor = threshold
-                if len(scores) > top_k:
-                    floor = max(threshold, np.partition(scores, -top_k)[-top_k])
-                found = np.flatnonzero(scores >= floor)
-                found = found[np.argsort(-scores[found], kind="stable")][:top_k]
-                out += [(qid, docs[d], scores[d], r + 1) for r, d in enumerate(found)]
-            yield pd.DataFrame(out, columns=["qid", "doc_ord", "raw", "rank"])
+            for first in range(0, len(batch) if n_docs else 0, step):
+                yield block(batch.iloc[first : first + step])
 
     return per_query.mapInPandas(score, "qid string, doc_ord long, raw double, rank int")
 

@@ -107,37 +107,70 @@ def _double(state: DataFrame) -> DataFrame:
     return state.where("jump_id is null").unionByName(grown)
 
 
-def _cyclic_lineage(turns: DataFrame) -> DataFrame:
-    """Lineage of messages whose parent chain runs into a cycle: each visited turn counts once.
+def _on_cycles(turns: DataFrame) -> DataFrame | None:
+    """Turns on reply cycles with cycle_id and steps to the cycle's smallest id; None where there is no cycle.
 
-    The pairs made here are the turns that the resulting histories print, no more.
+    Works on ids alone. Chains are doubled until none ends any more and the set of turns they reach stops shrinking:
+    then that set is the cycles.
     """
-    jump = turns.select(F.col("tweet_id").alias("anc"), F.col("parent_id").alias("hop"))
-    walk = turns.select(F.col("tweet_id").alias("start"), F.col("tweet_id").alias("anc"), F.lit(0).cast("long").alias("dist"))
-    reach, size = 1, walk.count()
-    while True:
-        further = walk.join(jump, "anc").select("start", F.col("hop").alias("anc"), (F.col("dist") + reach).alias("dist"))
-        walk = stage(
-            walk.unionByName(further).groupBy("start", "anc").agg(F.min("dist").alias("dist")), "walk"
+    reached = lambda df: df.select("hop").distinct().count()
+    hops, left = stage_counted(
+        turns.where("parent_id is not null").select("tweet_id", F.col("parent_id").alias("hop")), "hops", F.count("*")
+    )
+    size = None
+    while left:
+        target = hops.select(F.col("tweet_id").alias("hop"), F.col("hop").alias("next"))
+        further, n = stage_counted(hops.join(target, "hop").select("tweet_id", F.col("next").alias("hop")), "hops", F.count("*"))
+        drop_staged(hops)
+        hops = further
+        if n == left:  # nothing ended in this round
+            now = reached(hops)
+            if now == size:
+                break
+            size = now
+        left = n
+    if not left:
+        return None
+    ids = hops.select(F.col("hop").alias("tweet_id")).distinct()
+    ring = stage(turns.join(ids, "tweet_id", "left_semi").select("tweet_id", "parent_id", "customers", "line"), "rings")
+    # Smallest id within reach, and the steps to it, by doubling.
+    state = ring.select("tweet_id", F.col("parent_id").alias("hop"), F.struct(F.col("tweet_id").alias("id"), F.lit(0).cast("long").alias("steps")).alias("least"))
+    reach = 1
+    while reach < 2 * ring.count():
+        target = state.select(F.col("tweet_id").alias("hop"), F.col("hop").alias("next"), F.struct("least.id", (F.col("least.steps") + reach).alias("steps")).alias("far"))
+        state = stage(
+            state.join(target, "hop").select("tweet_id", F.col("next").alias("hop"), F.least("least", "far").alias("least")), "ring-steps"
+        )
+        reach *= 2
+    return ring.join(
+        state.select("tweet_id", F.col("least.id").alias("cycle_id"), F.col("least.steps").alias("pos")), "tweet_id"
+    )
+
+
+def _rotations(ring: DataFrame) -> DataFrame:
+    """Per turn on a cycle: root, history before it and with it, and the customer turns of each.
+
+    A turn's chain runs once around its cycle. The turns of a cycle are put into one array, which is as long as each of
+    the histories made from it.
+    """
+    whole = ring.groupBy("cycle_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "tweet_id", "line"))).alias("turns"), F.sum("customers").alias("all_customers")
+    )
+    n, k = F.size("turns"), F.col("pos").cast("int")
+    # From the oldest: the turn one step beyond this one, around the cycle, to this one.
+    older = F.concat(F.slice("turns", k + 2, F.greatest(n - k - 1, F.lit(0))), F.slice("turns", F.lit(1), k))
+    text = lambda turns: F.array_join(F.transform(turns, lambda t: t["line"]), fx.TURN_SEPARATOR)
+    return (
+        ring.join(whole, "cycle_id")
+        .withColumn("older", older)
+        .select(
+            "tweet_id",
+            F.coalesce(F.try_element_at("older", F.lit(1))["tweet_id"], F.col("tweet_id")).alias("root_id"),
+            (F.col("all_customers") - F.col("customers")).cast("int").alias("prior_customers"),
+            F.when(F.size("older") > 0, text(F.col("older"))).alias("prior_context"),
+            F.col("all_customers").cast("int").alias("customers"),
+            F.concat_ws(fx.TURN_SEPARATOR, F.when(F.size("older") > 0, text(F.col("older"))), "line").alias("history"),
         )
-        grown = walk.count()
-        if grown == size:
-            break
-        twice = jump.select(F.col("anc").alias("hop"), F.col("hop").alias("hop2"))
-        jump = stage(jump.join(twice, "hop").select("anc", F.col("hop2").alias("hop")), "jump")
-        reach, size = 2 * reach, grown
-    seen = walk.join(turns.select(F.col("tweet_id").alias("anc"), "customers", "line"), "anc")
-    prior = F.col("dist") > 0
-    return seen.groupBy(F.col("start").alias("tweet_id")).agg(
-        F.max_by("anc", "dist").alias("root_id"),
-        F.coalesce(F.sum(F.when(prior, F.col("customers"))), F.lit(0)).cast("int").alias("prior_customers"),
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.when(prior, F.struct((-F.col("dist")).alias("age"), "line")))),
-                lambda t: t["line"],
-            ),
-            fx.TURN_SEPARATOR,
-        ).alias("prior_context"),
     )
 
 
@@ -146,7 +179,8 @@ def lineage(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
 
     Histories are assembled by doubling: after round k a chain spans 2^k turns, so a thread of n turns takes
     log2(n) joins with one row per message, and no thread is ever gathered into one group.
-    Only chains still open are joined. When a round closes none, the open ones run into cycles.
+    Only chains still open are joined. Cycles are found on ids first; a turn on a cycle then starts with one run around
+    it as its history, so chains that lead into cycles end like any other.
     """
     open_count = lambda column: F.count_if(F.col(column).isNotNull())
     turns, open_now = stage_counted(_turns(messages, brand), "turns", open_count("parent_id"))
@@ -157,18 +191,21 @@ def lineage(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
         "customers",
         F.when(F.col("parent_id").isNull(), F.col("tweet_id")).alias("root_id"),
     )
-    previous = None
+    ring = _on_cycles(turns)
+    if ring is not None:
+        ring = stage(_rotations(ring), "rotations")
+        closed = ring.select("tweet_id", F.lit(None).cast("long").alias("jump_id"), "history", "customers", "root_id")
+        state = state.join(ring.select("tweet_id"), "tweet_id", "left_anti").unionByName(closed)
+        state, open_now = stage_counted(state, "chains", open_count("jump_id"))
     staged = None
-    while open_now and open_now != previous:
+    while open_now:
         older = staged
-        previous = open_now
         staged, open_now = stage_counted(_double(state), "chains", open_count("jump_id"))
         if older is not None:
             drop_staged(older)
         state = staged
 
-    closed = state.where("jump_id is null")
-    parent = closed.select(
+    parent = state.select(
         F.col("tweet_id").alias("parent_id"),
         F.col("root_id"),
         F.col("customers").alias("prior_customers"),
@@ -180,17 +217,12 @@ def lineage(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
         F.lit(0).alias("prior_customers"),
         F.lit(None).cast("string").alias("prior_context"),
     )
-    later = (
-        turns.where("parent_id is not null")
-        .select("tweet_id", "parent_id")
-        .join(parent, "parent_id")
-        .select("tweet_id", "root_id", "prior_customers", "prior_context")
-    )
+    child = turns.where("parent_id is not null").select("tweet_id", "parent_id")
+    if ring is not None:
+        child = child.join(ring.select("tweet_id"), "tweet_id", "left_anti")
+    later = child.join(parent, "parent_id").select("tweet_id", "root_id", "prior_customers", "prior_context")
     out = first.unionByName(later)
-    if open_now:
-        loops = turns.join(state.where("jump_id is not null").select("tweet_id"), "tweet_id", "left_semi")
-        out = out.unionByName(_cyclic_lineage(stage(loops, "loops")))
-    return out
+    return out if ring is None else out.unionByName(ring.select(*out.columns))
 
 
 def dialogue_pairs(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:

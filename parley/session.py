@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _STAGED: list[str] = []
+_SCOPE = threading.local()
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "parley") -> SparkSession:
@@ -18,7 +24,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "parley") ->
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("PARLEY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -31,7 +37,7 @@ def stage_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parley-"))
         root = context.getCheckpointDir()
@@ -45,8 +51,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/parley/{name}-{uuid.uuid4().hex}"
+    getattr(_SCOPE, "paths", _STAGED).append(path)
     df.write.parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +72,24 @@ def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         _delete(df.sparkSession, folder)
+        for paths in (_STAGED, getattr(_SCOPE, "paths", [])):
+            paths[:] = [p for p in paths if p.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
+
+
+@contextmanager
+def staged_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what this thread stages inside the block when it ends, also on failure."""
+    outer = getattr(_SCOPE, "paths", None)
+    _SCOPE.paths = paths = []
+    try:
+        yield
+    finally:
+        if outer is None:
+            del _SCOPE.paths
+        else:
+            _SCOPE.paths = outer
+        for path in paths:
+            _delete(spark, path)
 
 
 def release_stages(spark: SparkSession) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import schemas
@@ -11,39 +13,68 @@ from parley.operators.gold import GOLD_COLUMNS
 from parley.operators.topn import number_rows
 
 
+_CSV = "*.[cC][sS][vV]"
+_LARGE = 10_000_000
+
+
+def _csv_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length and name of the CSV files below a folder, or of one file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _CSV)
+    return files.load(folder).select("path", "length", F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"))
+
+
+def locate_dump(spark: SparkSession, folder: str) -> str:
+    """Path of the message dump below a folder: a CSV file named so or large, else the first CSV file.
+
+    A table written in parts is one dump: its folder is returned. Raises FileNotFoundError where there is no CSV file.
+    """
+    likely = F.col("name").contains("twcs") | (F.col("length") > _LARGE)
+    first = _csv_files(spark, folder).orderBy(likely.desc(), "path").first()
+    if first is None:
+        raise FileNotFoundError(f"no CSV file below {folder}")
+    return first.path.rsplit("/", 1)[0] if first.name.startswith("part-") else first.path
+
+
+def _exact_id(column: str) -> Column:
+    """Id text to a long: blank is null, a trailing .0 is cut, anything else that is no whole number is an error."""
+    value = tx.strip(F.col(column))
+    whole = F.regexp_extract(value, r"^(-?[0-9]+)(\.0*)?$", 1)
+    wrong = F.raise_error(F.concat(F.lit(f"{column} is not a whole number: "), value)).cast("long")
+    return F.when(value.isNull() | (value == ""), F.lit(None).cast("long")).when(whole != "", whole.cast("long")).otherwise(wrong)
+
+
 def read_messages(
-    spark: SparkSession, path: str, columns: list[str] | None = None, n: int | None = None, name: str | None = "*twcs*.csv"
+    spark: SparkSession, path: str, columns: list[str] | None = None, n: int | None = None, name: str | None = None
 ) -> DataFrame:
-    """Message dump in CSV form with quoted line breaks. `name` is a file name pattern; None reads every CSV file."""
+    """Message dump in CSV form with quoted line breaks.
+
+    By default `locate_dump` chooses below `path`, which may also be a file. `name` is a file name pattern, matched
+    ignoring case; all files that match are read then. Raises FileNotFoundError where nothing is found.
+    A file with quoted line breaks is read by one task; write a dump in parts to spread it.
+    """
     reader = (
-        spark.read.schema(
-            # The parent id is written as a float where the column has gaps.
-            schemas.MESSAGES.replace("in_response_to_tweet_id long", "in_response_to_tweet_id double")
-        )
+        # The parent id is written as a float where the column has gaps, so it is read as text.
+        spark.read.schema(schemas.MESSAGES.replace("in_response_to_tweet_id long", "in_response_to_tweet_id string"))
         .option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("pathGlobFilter", name or "*.csv")
-        .option("recursiveFileLookup", True)
     )
-    df = reader.csv(path).withColumn("in_response_to_tweet_id", F.col("in_response_to_tweet_id").cast("long"))
+    if name is None:
+        df = reader.csv(locate_dump(spark, path))
+    else:
+        pattern = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+        found = _csv_files(spark, path).where(F.col("name").rlike(_glob(name.lower())))
+        if found.isEmpty():
+            raise FileNotFoundError(f"no file {name} below {path}")
+        df = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).csv(path)
+    df = df.withColumn("in_response_to_tweet_id", _exact_id("in_response_to_tweet_id"))
     if columns:
         df = df.select(*columns)
     return df.limit(n) if n else df
 
 
-def locate_dump(spark: SparkSession, folder: str) -> str | None:
-    """Path of the message dump below a folder: a CSV file named so or large, else the first CSV file."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .load(folder)
-        .select("path", "length")
-    )
-    likely = F.lower(F.element_at(F.split("path", "/"), -1)).contains("twcs") | (F.col("length") > 10_000_000)
-    first = files.orderBy(likely.desc(), "path").select("path").first()
-    return first.path if first else None
+def _glob(name: str) -> str:
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name) + "$"
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

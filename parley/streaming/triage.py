@@ -9,13 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.functions import text as tx
 from parley.operators.retrieval import TermIndex
 from parley.plans.triage import triage
+from parley.session import staged_scope
 
 
-def accepted(messages: DataFrame, delay: str | None = None) -> DataFrame:
-    """Non-blank messages, each id once. With `delay` (event time `ts`) the id state is dropped after that time."""
+# Time after which the id of a message is forgotten, so that the state of the stream stays bounded.
+DELAY = "1 day"
+
+
+def accepted(messages: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Non-blank messages, each id once. The event time `ts` bounds the id state: it is dropped after `delay`."""
     filled = messages.where(F.length(tx.strip(F.coalesce("text", F.lit("")))) > 0)
-    if delay is None:
-        return filled.dropDuplicates(["msg_id"])
     return filled.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["msg_id"])
 
 
@@ -24,18 +27,20 @@ def triage_stream(
     index: TermIndex,
     out: str,
     checkpoint: str,
-    delay: str | None = None,
+    delay: str = DELAY,
     trigger: dict | None = None,
     **triage_options,
 ) -> StreamingQuery:
-    """Write a decision per arriving message to parquet under `out`.
+    """Write a decision per arriving message (msg_id, text, ts) to parquet under `out`.
 
     Top-k needs a window, which streams do not allow, so each micro-batch runs the batch job against the staged
-    index. A batch overwrites its own folder, so a replay after a failure leaves no duplicates.
+    index. A batch overwrites its own folder, so a replay after a failure leaves no duplicates. What a batch stages is
+    deleted once its decisions are written, or have failed to be.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        triage(batch, index, **triage_options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with staged_scope(batch.sparkSession):
+            triage(batch, index, **triage_options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         accepted(messages, delay)

@@ -396,12 +396,20 @@ def _(spark, sf):
     return profile.stratified_sample(profile.english_pairs(seeds.pairs(spark, sf)), 30, 10).select("pair_id")
 
 
+_TREE_COLS = ["tweet_id", "author_id", "inbound", "created_at", "text", "in_response_to_tweet_id"]
+
+
 @query(
     "inspect_source",
-    s.with_(["tree"], "SELECT author_id, count(*) AS messages FROM tree GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
+    s.with_(
+        ["tree"],
+        "SELECT 'rows' AS part, NULL AS name, count(*) AS value FROM tree UNION ALL SELECT * FROM (VALUES "
+        + ", ".join(f"('column', '{c}', {k})" for k, c in enumerate(_TREE_COLS))
+        + ") UNION ALL SELECT * FROM (SELECT 'author', author_id, count(*) FROM tree GROUP BY author_id ORDER BY 3 DESC, 2 LIMIT 10)",
+    ),
 )
 def _(spark, sf):
-    return profile.inspect_authors(seeds.tree(spark, sf))
+    return profile.inspect_source(seeds.tree(spark, sf).select(*_TREE_COLS))
 
 
 @query(

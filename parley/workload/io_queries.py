@@ -25,15 +25,22 @@ def _folder(spark, name: str) -> str:
     return f"{stage_root(spark)}/parley/{name}-{uuid.uuid4().hex}"
 
 
-_RAW_SQL = "SELECT tweet_id, author_id, inbound, created_at, text, in_response_to_tweet_id FROM tree"
+# Ids of 19 digits, which a double cannot hold.
+_SHIFT = 1_000_000_000_000_000_001
+_RAW_SQL = (
+    f"SELECT tweet_id + {_SHIFT} AS tweet_id, author_id, inbound, created_at, text, "
+    f"in_response_to_tweet_id + {_SHIFT} AS in_response_to_tweet_id FROM tree"
+)
 _RAW_COLS = ["tweet_id", "author_id", "inbound", "created_at", "text", "in_response_to_tweet_id"]
 
 
 @query("scan_messages_csv", s.with_(["tree"], _RAW_SQL))
 def _(spark, sf):
     path = _folder(spark, "dump")
-    seeds.tree(spark, sf).write.option("header", True).option("escape", '"').csv(path)
-    return readers.read_messages(spark, path, _RAW_COLS, name=None)
+    parent = F.concat((F.col("in_response_to_tweet_id") + _SHIFT).cast("string"), F.lit(".0"))
+    dump = seeds.tree(spark, sf).withColumns({"tweet_id": F.col("tweet_id") + _SHIFT, "in_response_to_tweet_id": parent})
+    dump.write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_messages(spark, path, _RAW_COLS)
 
 
 @query("scan_messages_csv_multiline", s.with_(["chat"], "SELECT tweet_id, author_id, inbound, text FROM chat"))
@@ -41,7 +48,7 @@ def _(spark, sf):
     # Conversation texts hold quotes and line breaks.
     path = _folder(spark, "dump")
     seeds.chat(spark, sf).write.option("header", True).option("escape", '"').csv(path)
-    return readers.read_messages(spark, path, ["tweet_id", "author_id", "inbound", "text"], name=None)
+    return readers.read_messages(spark, path, ["tweet_id", "author_id", "inbound", "text"])
 
 
 _PAIR_COLS = "pair_id, conversation_id, turn_index, customer_message, brand_reply, thread_context, customer_created_at"
@@ -179,8 +186,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Messages arrive as files, each twice; every id is scored once."""
     inbox, out = _folder(spark, "inbox"), _folder(spark, "stream")
-    messages = seeds.messages(spark, sf).select("msg_id", "text")
-    blank = messages.select((-F.col("msg_id") - 1).alias("msg_id"), F.lit("  ").alias("text"))
+    messages = seeds.messages(spark, sf).select("msg_id", "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    blank = messages.select((-F.col("msg_id") - 1).alias("msg_id"), F.lit("  ").alias("text"), "ts")
     messages.unionByName(messages).unionByName(blank).write.parquet(inbox)
     stream = spark.readStream.schema(messages.schema).parquet(inbox)
     triage_stream(stream, store_index(spark, sf), out, _folder(spark, "stream-state")).awaitTermination()

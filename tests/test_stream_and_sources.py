@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 
-from parley.operators import gold, retrieval
+from parley.operators import gold, profile, retrieval
 from parley.operators.quality import missing_fields
 from parley.session import drop_staged, release_stages, stage, stage_counted, stage_root
 from parley.sources import readers, writers
@@ -29,11 +30,16 @@ def test_stream_scores_each_message_once(spark, tmp_path):
         triage_stream(stream, index, out, state, delay="1 hour").awaitTermination()
         return sorted((r.msg_id, r.intent) for r in spark.read.parquet(out).collect())
 
+    before = set(Path(stage_root(spark).removeprefix("file:"), "parley").iterdir())
     arrive([(1, "i want a refund"), (2, "   "), (1, "i want a refund")])
     assert drain() == [(1, "returns_refunds")]
     # A later run resumes from its checkpoint; a repeated id is not scored again.
     arrive([(1, "i want a refund"), (3, "hello")])
     assert drain() == [(1, "returns_refunds"), (3, "other_unclear")]
+    arrive([(4, "hello")])
+    assert [k for k, _ in drain()] == [1, 3, 4]
+    # Batches leave no staged tables behind.
+    assert set(Path(stage_root(spark).removeprefix("file:"), "parley").iterdir()) == before
 
 
 def test_messages_csv(spark, tmp_path):
@@ -52,6 +58,42 @@ def test_messages_csv(spark, tmp_path):
     assert readers.locate_dump(spark, str(tmp_path / "raw")).endswith("my_twcs.csv")
 
 
+HEAD = "tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id\n"
+
+
+def test_dump_by_any_name_and_exact_ids(spark, tmp_path):
+    for folder, name in (("a", "dump.csv"), ("b", "TWCS.CSV")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_text(HEAD + "926173847362519043,u,True,x,hi,,926173847362519041\n")
+        row = readers.read_messages(spark, str(tmp_path / folder)).first()
+        assert (row.tweet_id, row.in_response_to_tweet_id) == (926173847362519043, 926173847362519041)
+        assert readers.read_messages(spark, str(tmp_path / folder / name)).count() == 1
+    assert readers.read_messages(spark, str(tmp_path / "b"), name="*twcs*.csv").count() == 1
+
+
+def test_missing_dump_and_broken_ids_are_errors(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "notes.txt").write_text("x")
+    for kwargs in ({}, {"name": "*.csv"}):
+        with pytest.raises(FileNotFoundError):
+            readers.read_messages(spark, str(tmp_path / "none"), **kwargs)
+    (tmp_path / "bad.csv").write_text(HEAD + "1,u,True,x,hi,,9.2e17\n")
+    with pytest.raises(Exception, match="not a whole number"):
+        readers.read_messages(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_months_and_days_are_utc(spark):
+    df = spark.createDataFrame([("Wed Nov 01 03:10:47 +0000 2017",)], "created_at string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert profile.monthly_volume(df, "created_at").first().month == "2017-11"
+            assert tuple(profile.date_range(df, "created_at").first()) == ("2017-11-01", "2017-11-01")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_gold_lines(spark, tmp_path):
     record = {"id": "GOLDEN_001", "message_text": "", "query": "q", "expected_intent": "returns_refunds", "expected_escalate": True}
     path = tmp_path / "gold.jsonl"

@@ -48,6 +48,16 @@ def test_two_cycle_and_self_reply(spark):
     check(spark, [message(1, 2), message(2, 1, False), message(3, 3), message(4, 1)])
 
 
+def test_cycle_with_tail_beside_a_long_thread(spark):
+    rows = [message(1, 2), message(2, 1, False)]
+    rows += [message(i, i - 1 if i > 10 else 2, i % 2 == 0) for i in range(10, 60)]  # a tail into the cycle
+    rows += [message(i, i - 1 if i > 1000 else None) for i in range(1000, 2500)]
+    check(spark, rows)
+    got = threads.lineage(spark.createDataFrame(rows, SCHEMA)).where("tweet_id < 60")
+    longest = got.agg(F.max(F.length("prior_context"))).first()[0]
+    assert longest < 52 * 25  # one run around the cycle and the tail, each turn once
+
+
 def test_one_thread_holds_most_rows(spark):
     check(spark, [message(i, i - 1 if i > 1 else None, i % 2 == 1) for i in range(1, 301)] + [message(i, None) for i in range(1000, 1010)])
 

@@ -19,7 +19,7 @@ from parley.fixed import wording as fx
 from parley.functions import text as tx
 from parley.functions.rates import rounded
 from parley.operators.topn import first_per_group
-from parley.session import stage, tasks
+from parley.session import drop_staged, spread, stage, stage_counted, tasks
 
 # Largest table, in rows, that is sent to every executor: up to 100 bytes a row as a join table, 20 as arrays.
 BROADCAST_ROWS = 1_000_000
@@ -65,29 +65,43 @@ def _weight(tf: str, idf: str) -> Column:
 def tfidf_index(docs: DataFrame, max_terms: int = fx.MAX_TERMS) -> TermIndex:
     """Weights of the most frequent terms, with unit length per document.
 
-    The vocabulary is at most `max_terms` rows and is broadcast; documents are spread by position.
+    Terms are counted over the whole corpus first, summed before the shuffle; then only occurrences of the vocabulary
+    leave the task that reads a document, as numbers. The vocabulary has at most `max_terms` rows and is broadcast.
     """
-    keyed = docs.select("doc_ord", F.col("category").alias("doc_category"), index_text().alias("body"))
-    counts = stage(_term_counts(keyed.repartition("doc_ord"), ["doc_ord", "doc_category"], "body"), "term-counts")
+    if max_terms > BROADCAST_ROWS:
+        raise ValueError(f"a vocabulary of more than {BROADCAST_ROWS} terms cannot be sent to every task")
+    body = spread(docs.select("doc_ord", F.col("category").alias("doc_category"), index_text().alias("body")))
+    words = tx.unigrams_and_bigrams(F.col("words"))
+    terms = body.select("doc_ord", "doc_category", tx.index_words(F.col("body")).alias("words")).select(
+        "doc_ord", "doc_category", F.explode(words).alias("term")
+    )
+    totals = terms.groupBy("term").agg(F.count("*").alias("total")).withColumn("_all", F.lit(0))
+    chosen = first_per_group(totals, ["_all"], [F.desc("total"), F.col("term")], max_terms, spread=F.col("term"))
+    # At most max_terms rows.
+    chosen = stage(chosen.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id")), "terms")
+    counts = stage(
+        terms.join(F.broadcast(chosen), "term")
+        .groupBy("doc_ord", "doc_category", "term_id")
+        .agg(F.count("*").alias("tf")),
+        "term-counts",
+    )
     n_docs = docs.count()
     vocab = stage(
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_terms)
-        # At most max_terms rows.
-        .withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
+        counts.groupBy("term_id")
+        .agg(F.count("*").alias("df"))
+        .join(F.broadcast(chosen), "term_id")
         .select("term", "term_id", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")),
         "vocab",
     )
-    weights = counts.join(F.broadcast(vocab), "term").select(
+    weights = counts.join(F.broadcast(vocab), "term_id").select(
         "term", "doc_ord", "doc_category", _weight("tf", "idf").alias("w")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_ord")))
-    postings = stage(
-        weights.select("term", "doc_ord", "doc_category", (F.col("w") / length).alias("weight")), "postings"
+    postings, n_postings = stage_counted(
+        weights.select("term", "doc_ord", "doc_category", (F.col("w") / length).alias("weight")), "postings", F.count("*")
     )
-    return TermIndex(docs, postings, vocab, n_docs, postings.count())
+    drop_staged(counts)
+    return TermIndex(docs, postings, vocab, n_docs, n_postings)
 
 
 def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
@@ -191,11 +205,11 @@ def _search_by_join(
         joined = index.postings.join(F.broadcast(terms), "term")
     else:
         parts = F.ceil(F.col("df") / hot_term_docs).cast("int")
-        spread = terms.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        spread_terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         postings = index.postings.join(F.broadcast(index.vocab.select("term", "df")), "term").withColumn(
             "part", F.pmod(F.xxhash64("doc_ord"), parts.cast("long")).cast("int")
         )
-        joined = spread.drop("df").join(postings.drop("df"), ["term", "part"])
+        joined = spread_terms.drop("df").join(postings.drop("df"), ["term", "part"])
     dots = joined.groupBy("qid", "q_category", "doc_ord", "doc_category").agg(
         F.sum(F.col("q_weight") * F.col("weight")).alias("dot")
     )
@@ -275,10 +289,9 @@ def overlap_search(
         return best
     best = stage(best, "overlap")
     found = best.groupBy("qid").agg(F.count("*").alias("found"), F.collect_set("doc_ord").alias("taken"))
-    scope = docs.select("doc_ord", F.explode(F.array(F.lit(""), F.col("category"))).alias("q_category")).where(
-        "q_category is not null"
-    )
-    scope = scope.distinct()
+    # doc_ord is unique; an empty category is the scope of all documents already.
+    own = F.when(F.col("category") != "", F.col("category"))
+    scope = docs.select("doc_ord", F.explode(F.array(F.lit(""), own)).alias("q_category")).where("q_category is not null")
     heads = (
         first_per_group(scope, ["q_category"], [F.col("doc_ord")], 2 * top_k, spread=F.col("doc_ord"))
         .groupBy("q_category")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
 from parley.functions import text as tx
+from parley.operators.topn import EARLY_LIMIT, number_rows
 from parley.session import drop_staged, stage, stage_counted
 
 
@@ -259,8 +260,10 @@ def sort_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def head_pairs(pairs: DataFrame, n: int) -> DataFrame:
-    """First n pairs in export order."""
-    return sort_pairs(pairs).limit(n)
+    """First n pairs in export order; a large n is taken by position, so that no task merges n rows of every partition."""
+    if n <= EARLY_LIMIT:
+        return sort_pairs(pairs).limit(n)
+    return number_rows(pairs, PAIR_ORDER).where(F.col("position") <= n).drop("position").orderBy(*PAIR_ORDER)
 
 
 def exportable(pairs: DataFrame) -> DataFrame:

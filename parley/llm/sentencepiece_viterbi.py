@@ -91,8 +91,8 @@ class Model:
         self.worst = min(self.score.values(), default=0.0) - 10
         lengths: dict[str, set[int]] = {}
         for p in self.id:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], {1}).add(len(p))
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], {2, 1}).add(len(p))
         self.ends = {pair: tuple(sorted(own, reverse=True)) for pair, own in lengths.items()}
         self.spelled = [self._bytes(p, t) for p, _, t in self.pieces]
         self._joint: dict[tuple[str, str], bool] = {}
@@ -147,7 +147,7 @@ def _spell(model: Model, piece: str) -> list[int]:
 def viterbi(model: Model, text: str, commit: Callable[[str], None]) -> int:
     """Send the pieces of a normalised text to `commit` in order; returns the largest number of boundaries held."""
     longest, known, bpe, stands = model.longest, model.id, model.kind == BPE, model.stands
-    ends, one = model.ends, (1,)
+    ends, few = model.ends, (2, 1)
     # Per boundary: boundary before, its piece, total score. The committed boundary is the only one without a piece.
     back: dict[int, tuple[int, str, float]] = {0: (-1, "", 0.0)}
     done = held = 0
@@ -161,8 +161,8 @@ def viterbi(model: Model, text: str, commit: Callable[[str], None]) -> int:
 
     for end in range(1, len(text) + 1):
         best = None
-        # Lengths of the pieces that end in the same two characters, longest first.
-        for size in ends.get(text[end - 2 : end], one) if end > 1 else one:
+        # Lengths of the pieces that end in the same three characters, longest first.
+        for size in ends.get(text[end - 3 : end], few) if end > 2 else few:
             start = end - size
             before = back.get(start)
             if before is None:
@@ -218,7 +218,10 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self._ids(part)
+            inside = self.model.inside
+            cut = next((k for k in range(1, len(part)) if part[k - 1 : k + 1] not in inside), 0)
+            # A forced boundary leaves two smaller parts, which are met more often.
+            ids = self._part(part[:cut]) + self._part(part[cut:]) if 0 < cut and len(part) <= CACHED_LENGTH else self._ids(part)
             if len(part) <= CACHED_LENGTH:
                 if len(self.parts) >= CACHE_PARTS:
                     self.parts.clear()

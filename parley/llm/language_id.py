@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.memory import give_back
 from parley.operators.topn import first_per_group
 
 BUCKETS = 1 << 16
@@ -24,8 +25,8 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 800  # sampled rows per language
 SWITCH = 8.0
 FLOOR = -6.0
-CHUNK = 400_000
-CACHE_WORDS = 300_000
+CHUNK = 250_000
+CACHE_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 # First and last code point of the letter ranges of common scripts.
@@ -149,23 +150,29 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        n = len(self.model.langs)
+        # Room for a full cache and one chunk of new words.
         self.row: dict[str, int] = {}
-        self.score, self.letters = np.zeros((1, n)), np.zeros(1, np.int64)
-        self.known = np.zeros(1, bool)
+        self.used = 1
+        self.score = np.zeros((2 * CACHE_WORDS, len(self.model.langs)), np.float32)
+        self.letters, self.known = np.zeros(2 * CACHE_WORDS, np.int32), np.zeros(2 * CACHE_WORDS, bool)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.row) > CACHE_WORDS:
-            self.clear()
         new = list(set(words).difference(self.row))
-        if new:
-            letters = np.fromiter((sum(map(str.isalpha, w)) for w in new), np.int64, len(new))
-            score, known = self.model.score(new)
-            base = len(self.letters)
-            self.row.update((w, base + k if n else 0) for k, (w, n) in enumerate(zip(new, letters)))
-            self.score = np.concatenate([self.score, score])
-            self.letters = np.concatenate([self.letters, letters])
-            self.known = np.concatenate([self.known, known])
+        if self.used + len(new) > len(self.letters):
+            self.clear()
+            new = list(set(words))
+            more = 1 + len(new) - len(self.letters)
+            if more > 0:  # one very long text
+                self.score = np.zeros((1 + len(new), self.score.shape[1]), np.float32)
+                self.letters, self.known = np.zeros(1 + len(new), np.int32), np.zeros(1 + len(new), bool)
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            score, known = self.model.score(part)
+            at = slice(self.used, self.used + len(part))
+            self.score[at], self.known[at] = score, known
+            self.letters[at] = [sum(map(str.isalpha, w)) for w in part]
+            self.row.update((w, self.used + i if self.letters[self.used + i] else 0) for i, w in enumerate(part))
+            self.used += len(part)
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
 
@@ -247,7 +254,7 @@ def predictor(docs: DataFrame, model: Model, spans: bool = False):
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = _Words(shared.value)
+        words, texts = _Words(shared.value), None
         for texts in batches:
             out: list[tuple] = []
             if not words.model.langs:
@@ -257,6 +264,8 @@ def predictor(docs: DataFrame, model: Model, spans: bool = False):
                 for _, chunk in texts.groupby(ends, sort=False):
                     out += label_texts(words, list(chunk), spans)
             yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
+        del words, texts
+        give_back()
 
     return predict
 

@@ -34,11 +34,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
+from parley.llm.memory import tidy
 from parley.session import stage, stage_counted
 
 WORDS = 5
 NUM, DEN = 3, 4  # a link needs DEN * common >= NUM * union
-FLUSH = 600_000
+FLUSH = 300_000
 UNIT = 4_000_000
 # Up to so many ids of dropped documents are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -111,7 +112,7 @@ def _blocks(buckets: int, words: int):
         if sets:
             yield pa.RecordBatch.from_pylist(list(scatter(sets)), schema)
 
-    return spread
+    return tidy(spread)
 
 
 _LIST = "doc_id long, node long, n int, shingle long, listed long"
@@ -256,7 +257,7 @@ def join(docs: DataFrame, words: int = WORDS, unit: int = UNIT) -> DataFrame:
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(buckets, words), _BLOCK)
     sent = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    lists = stage(sent.mapInArrow(_count_lists, _LIST), "shingle-lists")
+    lists = stage(sent.mapInArrow(tidy(_count_lists), _LIST), "shingle-lists")
     rows = lists.where("listed = 0").select("doc_id", "node", "n")
 
     # Nodes with enough shared shingles, and the prefix of each: all its unshared shingles come before.

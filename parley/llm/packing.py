@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm import tokens
+from parley.llm.memory import tidy
 from parley.session import stage
 
 BUDGET = 4096
@@ -51,7 +52,7 @@ def cut(docs: DataFrame, tokenizer: str, budget: int = BUDGET, ids: bool = False
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in PIECE.split(", ")]
     schema = pa.schema(list(zip(names, kinds)) + ([("ids", pa.binary())] if ids else []))
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECE + (", ids binary" if ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(tidy(pieces), PIECE + (", ids binary" if ids else ""))
 
 
 def plan(histogram: dict[int, int], budget: int = BUDGET) -> list[tuple[int, tuple[int, ...]]]:

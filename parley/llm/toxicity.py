@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.memory import give_back
 from parley.operators.topn import first_per_group
 
 BUCKETS = 1 << 18
@@ -38,7 +39,7 @@ BATCH = 128
 CLEAN_WEIGHT = 4  # a share of clean texts called toxic weighs as much as so many shares of toxic texts missed
 RATE = 0.005
 DECAY = 1e-4
-CHUNK = 400_000
+CHUNK = 250_000
 CACHE_WORDS = 100_000
 WORD = re.compile(r"\w+")
 _COLUMNS = FILTERS * sum(WIDTHS)
@@ -309,7 +310,7 @@ def scorer(docs: DataFrame, model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        store = _Words(own) if own.ready else None
+        store, texts = _Words(own) if own.ready else None, None
         for texts in batches:
             if store is None:
                 yield pd.Series(np.full(len(texts), own.prior))
@@ -318,6 +319,8 @@ def scorer(docs: DataFrame, model: Model):
             for _, chunk in texts.groupby(texts.str.len().cumsum() // CHUNK, sort=False):
                 out.append(own.scores(*own.logits(*store.look([words_of(t) for t in chunk]))))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        del store, texts
+        give_back()
 
     return score
 

@@ -176,7 +176,8 @@ def boilerplate_report(df: DataFrame, column: str) -> DataFrame:
 def share_by(df: DataFrame, column: str, total: str = "share_pct") -> DataFrame:
     """Rows per value with their share of all rows in percent."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    whole = df.agg(F.count("*")).scalar()
+    # The counts hold the total; an unbounded number of values is summed before it meets in one row.
+    whole = counts.agg(F.sum("n")).scalar()
     return counts.withColumn(total, rounded(F.col("n") * 100.0 / whole, 1)).orderBy(F.desc("n"), column)
 
 

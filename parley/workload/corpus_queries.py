@@ -248,9 +248,13 @@ def _(spark, sf):
     s.with_(["pairs"], "SELECT pair_id, row_number() OVER (ORDER BY conversation_id, turn_index, brand_tweet_id) AS position FROM pairs"),
 )
 def _(spark, sf):
+    # Positions are read off the sorted output: partitions ascend, and ids ascend within each.
     from parley.operators.topn import number_rows
+    from parley.session import stage
 
-    return number_rows(seeds.pairs(spark, sf), threads.PAIR_ORDER).select("pair_id", F.col("position").cast("long").alias("position"))
+    ordered = threads.sort_pairs(seeds.pairs(spark, sf)).withColumn("at", F.monotonically_increasing_id())
+    placed = number_rows(stage(ordered.select("pair_id", "at"), "sorted"), ["at"])
+    return placed.select("pair_id", F.col("position").cast("long").alias("position"))
 
 
 @query("head_pairs", s.with_(["pairs"], "SELECT pair_id FROM pairs ORDER BY conversation_id, turn_index, brand_tweet_id LIMIT 50"))

@@ -29,6 +29,21 @@ def plain(value):
     return str(value)
 
 
+def kind(name: str) -> str:
+    """Family of a column type, the same for both engines; integers of any width are one."""
+    name = name.lower()
+    if name.endswith("[]") or name.startswith(("array", "struct", "map")):
+        return "nested"
+    families = {
+        "number": ("tinyint", "smallint", "int", "bigint", "hugeint", "ubigint", "long", "decimal(", "integer", "uinteger"),
+        "float": ("double", "float"),
+        "text": ("string", "varchar"),
+        "boolean": ("boolean",),
+        "time": ("timestamp", "date"),
+    }
+    return next((k for k, starts in families.items() if name.startswith(starts)), name)
+
+
 def sorted_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
@@ -49,6 +64,10 @@ def compare(df, sf: str, statement: str) -> str | None:
     columns, types, expected = oracle_rows(sf, statement)
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} / {sorted(columns)}"
+    ours, theirs = dict(df.dtypes), dict(zip(columns, types))
+    odd = {c: (ours[c], theirs[c]) for c in columns if {kind(ours[c]), kind(theirs[c])} - {"number", '"null"', "void"} and kind(ours[c]) != kind(theirs[c])}
+    if odd:
+        return f"types {odd}"
     if len(rows) != len(expected):
         return f"rows {len(rows)} / {len(expected)}"
     a, b = sorted_rows(df.columns, rows), sorted_rows(columns, expected)

@@ -37,7 +37,7 @@ def cut(docs: DataFrame, tokenizer: str, budget: int = BUDGET, ids: bool = False
         seen = [0] * (budget + 1)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
                 raw = encode(text.as_py())
                 total = len(raw) // 4
                 for start in range(0, total, budget):

@@ -133,7 +133,7 @@ def _segment_writer(path: str, segment_tokens: int):
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
                 ids = encode(text.as_py())
                 total += len(ids) // 4
                 doc_ids.append(doc_id)

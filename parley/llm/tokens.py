@@ -13,7 +13,7 @@ import sys
 import unicodedata
 
 END = 2
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -84,7 +84,7 @@ class WordIds(dict):
         return _bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
+        ids = self.old.pop(word, None)
         if ids is None:
             ids = self._ask(word)
         if len(self) >= self.limit:
@@ -93,9 +93,10 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
-    def encode(self, text: str | None, end: int | None = END) -> bytes:
-        """Ids of a whole text, then the end id; null counts as empty."""
-        parts = [*map(self.__getitem__, (text or "").encode().split())]
+    def encode(self, text: str | bytes | None, end: int | None = END) -> bytes:
+        """Ids of a whole text (or its UTF-8 bytes), then the end id; null counts as empty."""
+        data = text.encode() if isinstance(text, str) else text or b""
+        parts = [*map(self.__getitem__, data.split())]
         if end is not None:
             parts.append(_bytes([end]))
         return b"".join(parts)

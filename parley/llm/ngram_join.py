@@ -83,7 +83,7 @@ def _blocks(buckets: int, words: int):
                     "bucket": k,
                     "nodes": nodes[who].tobytes(),
                     "sizes": sizes[who].tobytes(),
-                    "counts": count.astype(np.int32).tobytes(),
+                    "counts": count.astype(np.uint16 if count.max() < 1 << 16 else np.uint32).tobytes(),
                     "hashes": flat[a:b].tobytes(),
                 }
 
@@ -123,9 +123,12 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _LIST.split(", ")]
     bucket, held = None, []
 
+    def counts(block: list) -> np.ndarray:
+        return np.frombuffer(block[2], np.uint16 if 4 * len(block[2]) == len(block[0]) else np.uint32)
+
     def close() -> pa.RecordBatch:
-        node = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[2], np.int32)) for r in held])
-        size = np.concatenate([np.repeat(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)) for r in held])
+        node = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), counts(r)) for r in held])
+        size = np.concatenate([np.repeat(np.frombuffer(r[1], np.int32), counts(r)) for r in held])
         mark = np.concatenate([np.frombuffer(r[3], np.int64) for r in held])
         order = np.lexsort((node, mark))
         node, size, mark = node[order], size[order], mark[order]
@@ -254,7 +257,7 @@ def _link_unit(pdf):
 def join(docs: DataFrame, words: int = WORDS, unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, node (null for an empty set) and component_id of every row."""
     spark = docs.sparkSession
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(buckets, words), _BLOCK)
     sent = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     lists = stage(sent.mapInArrow(tidy(_count_lists), _LIST), "shingle-lists")

@@ -66,8 +66,10 @@ def exact_groups(
         F.lit(True).alias("kept"),
     )
     some = narrow.where(F.col("sha256").isNotNull())
-    groups = some.groupBy("sha256").agg(
-        F.max(F.struct("doc_id", "_tag")).alias("_stays"), F.count("*").alias("group_size")
+    # Staged, so that the join shuffles both sides directly and a text with very many copies can be split.
+    groups = stage(
+        some.groupBy("sha256").agg(F.max(F.struct("doc_id", "_tag")).alias("_stays"), F.count("*").alias("group_size")),
+        "dup-groups",
     )
     grouped = some.join(groups, "sha256").select(
         "doc_id",

@@ -1,6 +1,8 @@
 """Headline jobs on one machine; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose data and cores.
+BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose data and cores. Every job runs once on the
+smallest tables first, so that no timed job carries the compilation of code. `scaling` gives search and threads on a
+tenth of the data beside the timed size.
 """
 
 from __future__ import annotations
@@ -25,46 +27,62 @@ def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def main() -> None:
-    spark = local_session(CPUS, partitions=int(CPUS))
+def jobs_for(spark, sf: str) -> dict:
+    """Headline jobs over the tables below sf, in the order in which they build on each other."""
     state: dict = {}
 
     def build_precedents() -> None:
-        state["store"] = stage(precedents.build_precedents(seeds.pairs(spark, SF)), "store")
+        state["store"] = stage(precedents.build_precedents(seeds.pairs(spark, sf)), "store")
 
     def index_precedents() -> None:
         state["index"] = retrieval.tfidf_index(state["store"])
 
     def triage_messages() -> None:
-        run(triage.triage(seeds.messages(spark, SF), state["index"]))
+        run(triage.triage(seeds.messages(spark, sf), state["index"]))
 
     def evaluate_gold() -> None:
-        gold = seeds.gold(spark, SF)
+        gold = seeds.gold(spark, sf)
         records = stage(evaluate.evaluated_records(gold, state["index"]), "records")
         for table in evaluate.evaluate(records).values():
             run(table)
 
     def index_documents() -> None:
-        state["documents"] = retrieval.tfidf_index(seeds.docs(spark, SF))
+        state["documents"] = retrieval.tfidf_index(seeds.docs(spark, sf))
 
     def search_documents() -> None:
-        run(retrieval.tfidf_search(seeds.queries(spark, SF), state["documents"]))
+        run(retrieval.tfidf_search(seeds.queries(spark, sf), state["documents"]))
 
-    jobs = {
-        "dialogue_pairs_conversations": lambda: run(corpus.build_pairs(seeds.chat(spark, SF))),
-        "dialogue_pairs_reply_tree": lambda: run(corpus.build_pairs(seeds.tree(spark, SF))),
+    return {
+        "dialogue_pairs_conversations": lambda: run(corpus.build_pairs(seeds.chat(spark, sf))),
+        "dialogue_pairs_reply_tree": lambda: run(corpus.build_pairs(seeds.tree(spark, sf))),
         "length_stats_documents": lambda: run(profile.length_stats(seeds.table(spark, SF, "documents"), "text")),
         "ngrams_documents": lambda: run(profile.ngram_topk(seeds.table(spark, SF, "documents"), "text")),
         "pii_audit_documents": lambda: run(profile.pii_audit(seeds.table(spark, SF, "documents"), "text")),
-        "boilerplate_pairs": lambda: run(profile.boilerplate_report(seeds.pairs(spark, SF), "customer_message")),
+        "boilerplate_pairs": lambda: run(profile.boilerplate_report(seeds.pairs(spark, sf), "customer_message")),
         "build_precedents": build_precedents,
         "index_precedents": index_precedents,
         "triage_messages": triage_messages,
-        "baselines_gold": lambda: run(metrics.escalation_rates(baselines.baseline_runs(seeds.gold(spark, SF)), ["system"])),
+        "baselines_gold": lambda: run(metrics.escalation_rates(baselines.baseline_runs(seeds.gold(spark, sf)), ["system"])),
         "evaluate_gold": evaluate_gold,
         "index_documents": index_documents,
         "search_documents": search_documents,
     }
+
+
+def timed(jobs: dict) -> dict[str, float]:
+    seconds = {}
+    for name, job in jobs.items():
+        start = time.perf_counter()
+        job()
+        seconds[name] = round(time.perf_counter() - start, 3)
+    return seconds
+
+
+def main() -> None:
+    spark = local_session(CPUS, partitions=int(CPUS))
+    parent = os.path.dirname(SF)
+    if os.path.isdir(f"{parent}/sf0.001"):
+        timed(jobs_for(spark, f"{parent}/sf0.001"))
     rows = {
         "triage_messages": "orders",
         "evaluate_gold": "orders",
@@ -74,12 +92,11 @@ def main() -> None:
         "ngrams_documents": "documents",
         "dialogue_pairs_reply_tree": "events",
     }
-    spark.range(1).count()
-    seconds = {}
-    for name, job in jobs.items():
-        start = time.perf_counter()
-        job()
-        seconds[name] = round(time.perf_counter() - start, 3)
+    seconds = timed(jobs_for(spark, SF))
+    tenth = f"{parent}/sf{float(SF.rsplit('sf', 1)[-1]) / 10:g}"
+    pair = ("dialogue_pairs_reply_tree", "index_documents", "search_documents")
+    small = jobs_for(spark, tenth) if os.path.isdir(tenth) else {}
+    scaling = {n: {"tenth": s, "whole": seconds[n]} for n, s in timed({n: small[n] for n in pair if small}).items()}
     rates = {n: round(spark.read.parquet(f"{SF}/{t}.parquet").count() / seconds[n]) for n, t in rows.items()}
     print(
         json.dumps(
@@ -89,6 +106,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "rows_per_sec": rates,
+                "scaling": scaling,
                 "sf": SF.rsplit("sf", 1)[-1],
                 "cores": CPUS,
                 "spark": spark.version,

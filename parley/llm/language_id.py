@@ -25,7 +25,7 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 800  # sampled rows per language
 SWITCH = 8.0
 FLOOR = -6.0
-CHUNK = 250_000
+CHUNK = 1_500_000
 CACHE_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 

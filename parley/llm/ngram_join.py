@@ -62,6 +62,19 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+_WIDTHS = (np.uint8, np.uint16, np.uint32)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs."""
+    most = int(values.max(initial=0))
+    return values.astype(next(w for w in _WIDTHS if most <= np.iinfo(w).max)).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, next(w for w in _WIDTHS if np.dtype(w).itemsize * n == len(data))).astype(np.int32)
+
+
 _BLOCK = "bucket int, doc_id long, node long, n int, nodes binary, sizes binary, counts binary, hashes binary"
 
 
@@ -82,8 +95,8 @@ def _blocks(buckets: int, words: int):
                 yield {
                     "bucket": k,
                     "nodes": nodes[who].tobytes(),
-                    "sizes": sizes[who].tobytes(),
-                    "counts": count.astype(np.uint16 if count.max() < 1 << 16 else np.uint32).tobytes(),
+                    "sizes": _narrow(sizes[who]),
+                    "counts": _narrow(count),
                     "hashes": flat[a:b].tobytes(),
                 }
 
@@ -123,12 +136,12 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _LIST.split(", ")]
     bucket, held = None, []
 
-    def counts(block: list) -> np.ndarray:
-        return np.frombuffer(block[2], np.uint16 if 4 * len(block[2]) == len(block[0]) else np.uint32)
+    def each(block: list, values: np.ndarray) -> np.ndarray:
+        return np.repeat(values, _wide(block[2], len(values)))
 
     def close() -> pa.RecordBatch:
-        node = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), counts(r)) for r in held])
-        size = np.concatenate([np.repeat(np.frombuffer(r[1], np.int32), counts(r)) for r in held])
+        node = np.concatenate([each(r, np.frombuffer(r[0], np.int64)) for r in held])
+        size = np.concatenate([each(r, _wide(r[1], len(r[0]) // 8)) for r in held])
         mark = np.concatenate([np.frombuffer(r[3], np.int64) for r in held])
         order = np.lexsort((node, mark))
         node, size, mark = node[order], size[order], mark[order]

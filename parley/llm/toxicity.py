@@ -211,6 +211,8 @@ def fit(texts: list[str], label: np.ndarray, lang: list[str | None], seed: int =
                 second[key] = 0.99 * second[key] + 0.01 * g * g
                 move = first[key] / (1 - 0.9**step) / (np.sqrt(second[key] / (1 - 0.99**step)) + 1e-8)
                 values[key] = values[key] - RATE * move
+    del rows, seen, first, second, x, projected
+    give_back()
     model.table = [np.zeros((BUCKETS, DIMS), np.float32) for _ in range(2)]
     for t, own in enumerate(place):
         model.table[t][own] = values[f"t{t}"]
@@ -300,7 +302,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     table = sample.toPandas().sort_values("doc_id", ignore_index=True)
     lang = [None if x is None or x != x else x for x in table["lang"]]
-    return fit(table["text"].tolist(), table["toxic"].to_numpy(np.int64), lang)
+    model = fit(table["text"].tolist(), table["toxic"].to_numpy(np.int64), lang)
+    del table, lang
+    give_back()
+    return model
 
 
 def scorer(docs: DataFrame, model: Model):

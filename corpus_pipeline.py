@@ -15,6 +15,10 @@ from parley.llm.tokens import public_path
 from parley.session import stage
 
 
+# Words whose ids a task keeps; fewer than by default, because the stages before leave memory with the workers.
+CACHE_WORDS = 350_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below one half."""
     learn = docs.where(F.coalesce(fold(5) != 0, F.lit(True)))
@@ -40,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in a sequence."""
-    return packing.pack_documents(docs, public_path())
+    return packing.pack_documents(docs, public_path(), cache_words=CACHE_WORDS)
 
 
 STAGES = [

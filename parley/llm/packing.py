@@ -27,13 +27,15 @@ BUDGET = 4096
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank_in_part long"
 
 
-def cut(docs: DataFrame, tokenizer: str, budget: int = BUDGET, ids: bool = False) -> DataFrame:
+def cut(
+    docs: DataFrame, tokenizer: str, budget: int = BUDGET, ids: bool = False, cache_words: int = tokens.CACHE_WORDS
+) -> DataFrame:
     """Pieces of every document. `ids` adds their little-endian ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = tokens.word_ids(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = tokens.word_ids(tokenizer, cache_words).encode, TaskContext.get().partitionId()
         seen = [0] * (budget + 1)
         for batch in batches:
             rows: list[tuple] = []
@@ -154,6 +156,8 @@ def sequences(packed: DataFrame, budget: int = BUDGET, pad: int = 0) -> DataFram
     return packed.groupBy("sequence_id").applyInPandas(build, "sequence_id long, ids binary")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, budget: int = BUDGET, ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, budget: int = BUDGET, ids: bool = False, cache_words: int = tokens.CACHE_WORDS
+) -> DataFrame:
     """Cut, stage and pack."""
-    return pack(stage(cut(docs, tokenizer, budget, ids), "pieces"), budget)
+    return pack(stage(cut(docs, tokenizer, budget, ids, cache_words), "pieces"), budget)

@@ -13,7 +13,7 @@ import sys
 import unicodedata
 
 END = 2
-CACHE_WORDS = 350_000
+CACHE_WORDS = 500_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -102,7 +102,7 @@ class WordIds(dict):
         return b"".join(parts)
 
 
-_READY: dict[str, WordIds] = {}
+_READY: dict[tuple[str, int], WordIds] = {}
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -112,11 +112,11 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def word_ids(path: str) -> WordIds:
-    """Cache of this worker process for one tokenizer file."""
-    if path not in _READY:
+def word_ids(path: str, limit: int = CACHE_WORDS) -> WordIds:
+    """Cache of this worker process for one tokenizer file; a smaller one saves memory and asks the library more often."""
+    if (path, limit) not in _READY:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _READY[path] = WordIds(Tokenizer.from_file(path))
-    return _READY[path]
+        _READY[path, limit] = WordIds(Tokenizer.from_file(path), limit)
+    return _READY[path, limit]

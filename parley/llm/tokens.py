@@ -13,7 +13,7 @@ import sys
 import unicodedata
 
 END = 2
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 
 def _bytes(ids: list[int]) -> bytes:

@@ -7,8 +7,12 @@ count) stands for each, so a host with any number of pages is summed before the
 A class is valid if it has several tokens and covers nearly all pages of the host. The class whose tokens occur once
 per page is the root of the template; its text nodes are constant and dropped. The other valid classes repeat within
 a page and are nested under the deepest root tag whose path leads to all their tokens. What is left between template
-tokens are the slots. A nested class or slot made up of links is a menu. Of the remaining slots those under an article
-or main element are the text; on hosts without one, those under the deepest element that holds most of the text.
+tokens are the slots. A nested class or slot made up of links is a menu. Of the remaining slots those under the deepest
+element that holds most of the text are chosen.
+
+Article and main elements are evidence among the slots of a page. If one such element outside furniture holds text, its
+slots are the text. Several of them (stories, but also teasers) are it only if they hold at least half of what the
+slots hold; else all slots stay. Where every slot of such an element is one of links, the links are its text.
 
 Elements and attribute words that name page furniture are left out on every page, so that a host with too few pages for
 a template still gives its text.
@@ -63,14 +67,16 @@ _SPLIT = re.compile(r"[^a-z]+")
 class _Element:
     __slots__ = ("tag", "path", "furniture", "main")
 
-    def __init__(self, tag: str, path: str, furniture: bool, main: bool):
-        self.tag, self.path, self.furniture, self.main = tag, path, furniture, main
+    def __init__(self, tag: str, path: str, furniture: bool, main: "_Element | bool | None"):
+        self.tag, self.path, self.furniture = tag, path, furniture
+        # The outermost article or main element around this one.
+        self.main = self if main is True else main
 
 
 def _open(tag: str, attributes: str, above: _Element) -> _Element:
     named = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES.findall(attributes)} if "=" in attributes else {}
     words = {w for v in named.values() for w in _SPLIT.split(v)}
-    main = above.main or tag in MAIN or named.get("role") == "main"
+    main = above.main or tag in MAIN or named.get("role") == "main" or None
     # Inside an article a header holds its headline.
     furniture = above.furniture or tag in FURNITURE or bool(words & FURNITURE_WORDS) or (tag == "header" and not above.main)
     label = ".".join([tag, *sorted(w for w in words if w)[:3]])
@@ -79,7 +85,7 @@ def _open(tag: str, attributes: str, above: _Element) -> _Element:
 
 def walk(page: str) -> Iterator[tuple[str, _Element, str, bool]]:
     """("tag", element, "", False) and ("text", element, raw text, inside a link) of a page; ("break", ...) ends a block."""
-    root = _Element("", "", False, False)
+    root = _Element("", "", False, None)
     stack = [root]
     at = links = 0
     while at < len(page):
@@ -145,10 +151,6 @@ def _key(kind: str, path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _has_main(page: str) -> bool:
-    return re.search(r"<(?:article|main)\b|role\s*=\s*[\"']?main", page, re.I) is not None
-
-
 _ROW = "host string, key long, kind string, path string, lo long, hi long, n long, chars long, linked long"
 
 
@@ -262,18 +264,26 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(page: str | None, constant: set[int], main: str | None, links: set[str]) -> str:
     """Text of the slots that hold the article."""
-    page = page or ""
-    marked = _has_main(page)
-    out = []
-    for element, line, _ in blocks(page):
-        if element.furniture or (marked and not element.main):
-            continue
-        if not marked and (element.path in links or (main and not (element.path + ">").startswith(main + ">"))):
+    slots: list[tuple[_Element, str]] = []
+    linked: list[str] = []
+    inside: list[tuple[_Element, str]] = []
+    for element, line, _ in blocks(page or ""):
+        if element.furniture or (constant and _key("text", element.path, line) in constant):
             continue
-        if constant and _key("text", element.path, line) in constant:
+        if element.path in links:
+            if element.main:
+                linked.append(line)
             continue
-        out.append(line)
-    return "\n".join(out)
+        if element.main:
+            inside.append((element, line))
+        if element.main or not main or (element.path + ">").startswith(main + ">"):
+            slots.append((element, line))
+    if not slots:
+        return "\n".join(linked)
+    one = len({id(element.main) for element, _ in inside}) == 1
+    if one or 2 * sum(len(line) for _, line in inside) >= sum(len(line) for _, line in slots):
+        slots = inside
+    return "\n".join(line for _, line in slots)
 
 
 def extract(pages: DataFrame) -> DataFrame:

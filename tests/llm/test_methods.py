@@ -276,6 +276,33 @@ def test_template_of_a_host_without_article_elements(spark):
     }
 
 
+def _texts(spark, pages):
+    """Texts of pages of one host, in their order."""
+    rows = [(k, f"https://one.example/{k}", page) for k, page in enumerate(pages)]
+    out = html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [text for _, text in sorted((r.page_id, r.text) for r in out)]
+
+
+def test_article_elements_are_evidence_among_the_slots(spark):
+    text = "<div class=post><p>First {0} of the story.</p><p>Second {0} line.</p></div>"
+    for other in (
+        "<!-- <article> -->",
+        "<script>x = '<main'</script>",
+        "<article></article>",
+        "<aside><article><p>Other {0}</p></article></aside>",
+        "<article class=card><a href=/{0}>Other {0}</a></article>",
+    ):
+        page = "<body><div class=top>Shop</div>" + other + text
+        assert _texts(spark, [page.format(k) for k in range(6)]) == [f"First {k} of the story.\nSecond {k} line." for k in range(6)]
+    # Short teasers do not replace the text; stories that make up a page do, and the menu inside an article is a slot of links.
+    cards = "<article><p>A {0}</p></article><article><p>B {0}</p></article>"
+    assert all("First" in x and "Second" in x for x in _texts(spark, [("<body><h4>Shop</h4>" + cards + text).format(k) for k in range(6)]))
+    page = "<body><div class=by>At {0}</div><article><ul><li><a href=/>To {0}</a></ul><p>Story {0}</p></article><article><p>Next {0}</p></article>"
+    assert _texts(spark, [page.format(k) for k in range(6)]) == [f"Story {k}\nNext {k}" for k in range(6)]
+    page = "<body><div class=top>Shop</div><article><p><a href=/>All {0}</a></p></article>"
+    assert _texts(spark, [page.format(k) for k in range(6)]) == [f"All {k}" for k in range(6)]
+
+
 def test_pages_of_the_given_table_give_their_article(spark):
     import html
     import re

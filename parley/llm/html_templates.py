@@ -18,7 +18,7 @@ Elements and attribute words that name page furniture are left out on every page
 a template still gives its text.
 
 Cases: null or empty html gives empty text. A null url is a host of its own name, "". Unclosed and stray tags are
-tolerated. Repeated pages are counted like others and do not change a class. Other columns are not read.
+tolerated. Copies of a page on a host are counted once, so they do not change a class. Other columns are not read.
 """
 
 import html
@@ -38,6 +38,8 @@ COVERAGE = 0.95
 MAIN_SHARE = 0.6
 # Templates of up to so many hosts are sent to every task; more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
+# So many (host, hash) pairs of repeated pages are sent to every task; more are joined by shuffle.
+BROADCAST_COPIES = 200_000
 
 # Kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -221,10 +223,24 @@ def _template(tokens: list, lengths: list, pages: int) -> tuple[list[int], str |
     return [t["key"] for t in root if t["kind"] == "text"], main, sorted(set(links)) if pages >= MIN_PAGES else []
 
 
+def _distinct(pages: DataFrame) -> DataFrame:
+    """host and html of every different page of a host. Of the html only that of repeated pages is shuffled."""
+    named = pages.select("host", "html", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
+    repeated, n = stage_counted(
+        named.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1").select("host", "digest"), "page-copies", F.count("*")
+    )
+    if not n:
+        return pages.select("host", "html")
+    repeated = F.broadcast(repeated) if n <= BROADCAST_COPIES else repeated
+    once = named.join(repeated, ["host", "digest"], "left_anti").select("host", "html")
+    copies = named.join(repeated, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.first("html").alias("html"))
+    return once.unionByName(copies.select("host", "html"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, constant (keys of template texts), main and links of every host."""
     counted = (
-        pages.select("host", "html")
+        _distinct(pages)
         .mapInArrow(_tokens, _ROW)
         .groupBy("host", "key", "kind", "path")
         .agg(*[F.sum(c).alias(c) for c in ("lo", "hi", "n", "chars", "linked")], F.count("*").alias("pages"))

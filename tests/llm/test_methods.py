@@ -303,6 +303,16 @@ def test_article_elements_are_evidence_among_the_slots(spark):
     assert _texts(spark, [page.format(k) for k in range(6)]) == [f"All {k}" for k in range(6)]
 
 
+def test_copies_of_a_page_are_one_page_of_the_template(spark):
+    page = "<body><nav>Shop</nav><article><h1>Title {0}</h1><p>First {0}.</p><p>Second {0}.</p></article><footer>c</footer></body>"
+    text = "Title {0}\nFirst {0}.\nSecond {0}."
+    assert _texts(spark, [page.format(0)] * 7) == [text.format(0)] * 7
+    assert _texts(spark, [page.format(0)] * 99 + [page.format(1)]) == [text.format(0)] * 99 + [text.format(1)]
+    # Constant texts are still told among different pages, however often one of them stands there.
+    page = "<body><div class=top>Shop</div><div class=post><p>First {0}.</p></div></body>"
+    assert _texts(spark, [page.format(min(k, 5)) for k in range(30)]) == [f"First {min(k, 5)}." for k in range(30)]
+
+
 def test_pages_of_the_given_table_give_their_article(spark):
     import html
     import re

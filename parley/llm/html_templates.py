@@ -7,8 +7,8 @@ count) stands for each, so a host with any number of pages is summed before the
 A class is valid if it has several tokens and covers nearly all pages of the host. The class whose tokens occur once
 per page is the root of the template; its text nodes are constant and dropped. The other valid classes repeat within
 a page and are nested under the deepest root tag whose path leads to all their tokens. What is left between template
-tokens are the slots. A nested class or slot made up of links is a menu. Of the remaining slots those under the deepest
-element that holds most of the text are chosen.
+tokens are the slots. A nested class or slot made up of links is a menu. All remaining slots are the text, whatever
+their share of it: hosts have pages of several layouts, and a page its text in several elements.
 
 Article and main elements are evidence among the slots of a page. If one such element outside furniture holds text, its
 slots are the text. Several of them (stories, but also teasers) are it only if they hold at least half of what the
@@ -35,7 +35,6 @@ from parley.session import stage, stage_counted
 MIN_PAGES = 5
 MIN_TOKENS = 3
 COVERAGE = 0.95
-MAIN_SHARE = 0.6
 # Templates of up to so many hosts are sent to every task; more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 # So many (host, hash) pairs of repeated pages are sent to every task; more are joined by shuffle.
@@ -190,8 +189,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _template(tokens: list, lengths: list, pages: int) -> tuple[list[int], str | None, list[str]]:
-    """Constant texts, main element and link slots of a host, from its valid classes and text lengths."""
+def _template(tokens: list, lengths: list, pages: int) -> tuple[list[int], list[str]]:
+    """Constant texts and link slots of a host, from its valid classes and text lengths."""
     classes: dict[tuple[int, int], list] = {}
     for t in tokens:
         classes.setdefault((t["lo"], t["hi"]), []).append(t)
@@ -210,17 +209,7 @@ def _template(tokens: list, lengths: list, pages: int) -> tuple[list[int], str |
             nested.setdefault(min(slots, key=len), set()).update(t["path"] for t in c)
     links = [p["path"] for p in lengths if p["linked"] * 2 > p["chars"]]
     links += [p for s in nested.values() for p in s if any(p.startswith(x + ">") for x in links)]
-    inside: dict[str, int] = {}
-    for p in lengths:
-        if p["path"] not in links:
-            parts = p["path"].split(">")
-            for k in range(2, len(parts)):
-                above = ">".join(parts[:k])
-                inside[above] = inside.get(above, 0) + p["chars"]
-    total = sum(p["chars"] for p in lengths if p["path"] not in links)
-    large = [p for p, n in inside.items() if n >= MAIN_SHARE * total and p.count(">") > 2]
-    main = max(large, key=lambda p: (p.count(">"), p), default=None) if pages >= MIN_PAGES else None
-    return [t["key"] for t in root if t["kind"] == "text"], main, sorted(set(links)) if pages >= MIN_PAGES else []
+    return [t["key"] for t in root if t["kind"] == "text"], sorted(set(links)) if pages >= MIN_PAGES else []
 
 
 def _distinct(pages: DataFrame) -> DataFrame:
@@ -238,7 +227,7 @@ def _distinct(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, constant (keys of template texts), main and links of every host."""
+    """host, constant (keys of template texts) and links of every host."""
     counted = (
         _distinct(pages)
         .mapInArrow(_tokens, _ROW)
@@ -269,16 +258,15 @@ def templates(pages: DataFrame) -> DataFrame:
                 [
                     batch["host"],
                     pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                    pa.array([f[1] for f in found], pa.string()),
-                    pa.array([f[2] for f in found], pa.list_(pa.string())),
+                    pa.array([f[1] for f in found], pa.list_(pa.string())),
                 ],
-                ["host", "constant", "main", "links"],
+                ["host", "constant", "links"],
             )
 
-    return gathered.mapInArrow(deduce, "host string, constant array<long>, main string, links array<string>")
+    return gathered.mapInArrow(deduce, "host string, constant array<long>, links array<string>")
 
 
-def main_text(page: str | None, constant: set[int], main: str | None, links: set[str]) -> str:
+def main_text(page: str | None, constant: set[int], links: set[str]) -> str:
     """Text of the slots that hold the article."""
     slots: list[tuple[_Element, str]] = []
     linked: list[str] = []
@@ -292,8 +280,7 @@ def main_text(page: str | None, constant: set[int], main: str | None, links: set
             continue
         if element.main:
             inside.append((element, line))
-        if element.main or not main or (element.path + ">").startswith(main + ">"):
-            slots.append((element, line))
+        slots.append((element, line))
     if not slots:
         return "\n".join(linked)
     one = len({id(element.main) for element, _ in inside}) == 1
@@ -311,10 +298,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch[c].to_pylist() for c in ("html", "constant", "main", "links")))
-            texts = [main_text(page, set(c or ()), main, set(links or ())) for page, c, main, links in rows]
+            rows = zip(*(batch[c].to_pylist() for c in ("html", "constant", "links")))
+            texts = [main_text(page, set(c or ()), set(links or ())) for page, c, links in rows]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "constant", "main", "links").mapInArrow(
+    return joined.select("page_id", "url", "html", "constant", "links").mapInArrow(
         run, "page_id long, url string, text string"
     )

@@ -313,6 +313,16 @@ def test_copies_of_a_page_are_one_page_of_the_template(spark):
     assert _texts(spark, [page.format(min(k, 5)) for k in range(30)]) == [f"First {min(k, 5)}." for k in range(30)]
 
 
+def test_all_slots_of_a_host_are_kept_whatever_their_share(spark):
+    page = "<body><div class=top>Shop</div><div class=post><div class=lead><p>Lead {0}.</p></div><div class=body><p>The body {0} is longer.</p></div></div>"
+    assert _texts(spark, [page.format(k) for k in range(8)]) == [f"Lead {k}.\nThe body {k} is longer." for k in range(8)]
+    # Two layouts on one host.
+    news = "<body><div class=top>Shop</div><div class=news><p>News {0} of this day and of yesterday.</p></div>"
+    blog = "<body><div class=top>Shop</div><div class=blog><p>Blog {0}.</p></div>"
+    texts = _texts(spark, [(blog if k % 3 == 0 else news).format(k) for k in range(18)])
+    assert texts == [f"Blog {k}." if k % 3 == 0 else f"News {k} of this day and of yesterday." for k in range(18)]
+
+
 def test_pages_of_the_given_table_give_their_article(spark):
     import html
     import re

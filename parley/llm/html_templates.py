@@ -15,7 +15,10 @@ slots are the text. Several of them (stories, but also teasers) are it only if t
 slots hold; else all slots stay. Where every slot of such an element is one of links, the links are its text.
 
 Elements and attribute words that name page furniture are left out on every page, so that a host with too few pages for
-a template still gives its text.
+a template still gives its text. A word counts as a whole token of class, id or role, and never on html, body, article
+or main. A form or a named element is a frame and not furniture if the template shows nearly all varying text of the
+host inside, if it holds main (a form: or article), or if nearly all text of a page is inside (unless it is a form:
+with an article or h1).
 
 Cases: null or empty html gives empty text. A null url is a host of its own name, "". Unclosed and stray tags are
 tolerated. Copies of a page on a host are counted once, so they do not change a class. Other columns are not read.
@@ -35,6 +38,8 @@ from parley.session import stage, stage_counted
 MIN_PAGES = 5
 MIN_TOKENS = 3
 COVERAGE = 0.95
+# Share of the varying, unlinked text from which on an element is the frame of a page.
+FRAME_SHARE = 0.9
 # Templates of up to so many hosts are sent to every task; more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 # So many (host, hash) pairs of repeated pages are sent to every task; more are joined by shuffle.
@@ -47,8 +52,10 @@ INLINE = set(
     "sub sup time tt u var wbr br".split()
 )
 RAW = set("script style textarea title noscript template iframe svg math object select".split())
-FURNITURE = set("nav footer aside form button menu dialog fieldset".split())
+FURNITURE = set("nav footer aside button menu".split())
+FORM = ("form", "fieldset")
 MAIN = ("article", "main")
+NEVER_FURNITURE = ("html", "body", *MAIN)
 # Words of class, id and role that name page furniture.
 FURNITURE_WORDS = set(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary "
@@ -66,27 +73,39 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "furniture", "main")
+    __slots__ = ("tag", "path", "above", "firm", "own", "furniture", "main")
 
-    def __init__(self, tag: str, path: str, furniture: bool, main: "_Element | bool | None"):
-        self.tag, self.path, self.furniture = tag, path, furniture
+    def __init__(self, tag: str, path: str, above: "_Element | None", firm: bool, own: bool, main: "_Element | bool | None"):
+        self.tag, self.path, self.above = tag, path, above
+        # Furniture by element name, also inherited; named furniture, which may turn out to be a frame; either, inherited.
+        self.firm, self.own, self.furniture = firm, own, firm or own or (above is not None and above.furniture)
         # The outermost article or main element around this one.
         self.main = self if main is True else main
 
+    def named(self) -> "Iterator[_Element]":
+        """Named furniture around the element, itself included."""
+        at: _Element | None = self
+        while at is not None and at.furniture:
+            if at.own:
+                yield at
+            at = at.above
+
 
 def _open(tag: str, attributes: str, above: _Element) -> _Element:
     named = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES.findall(attributes)} if "=" in attributes else {}
     words = {w for v in named.values() for w in _SPLIT.split(v)}
-    main = above.main or tag in MAIN or named.get("role") == "main" or None
+    is_main = tag in MAIN or named.get("role") == "main"
     # Inside an article a header holds its headline.
-    furniture = above.furniture or tag in FURNITURE or bool(words & FURNITURE_WORDS) or (tag == "header" and not above.main)
+    firm = above.firm or tag in FURNITURE or (tag == "header" and not above.main)
+    own = tag in FORM or tag == "dialog" or any(w in FURNITURE_WORDS for v in named.values() for w in v.split())
     label = ".".join([tag, *sorted(w for w in words if w)[:3]])
-    return _Element(tag, f"{above.path}>{label}", furniture, main)
+    own = own and not is_main and tag not in NEVER_FURNITURE
+    return _Element(tag, f"{above.path}>{label}", above, firm, own, above.main or is_main or None)
 
 
 def walk(page: str) -> Iterator[tuple[str, _Element, str, bool]]:
     """("tag", element, "", False) and ("text", element, raw text, inside a link) of a page; ("break", ...) ends a block."""
-    root = _Element("", "", False, None)
+    root = _Element("", "", None, False, False, None)
     stack = [root]
     at = links = 0
     while at < len(page):
@@ -167,6 +186,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = page or ""
             counts: dict[tuple[str, str, str], int] = {}
             lengths: dict[str, list[int]] = {}
+            sizes: dict[tuple[str, str, str], list[int]] = {}
+            frames: set[str] = set()
             for kind, element, _, _ in walk(page):
                 if kind == "tag":
                     token = ("tag", element.path, "")
@@ -174,23 +195,26 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for element, line, linked in blocks(page):
                 token = ("text", element.path, line)
                 counts[token] = counts.get(token, 0) + 1
-                if not element.furniture:
-                    own = lengths.setdefault(element.path, [0, 0])
-                    own[0] += len(line)
-                    own[1] += linked
+                if not element.firm:
+                    for own in (lengths.setdefault(element.path, [0, 0]), sizes.setdefault(token, [0, 0])):
+                        own[0] += len(line)
+                        own[1] += linked
+                    frames.update(f.path for f in element.named())
             digest = xxhash.xxh3_64_hexdigest(page.encode("utf-8", "surrogatepass"))
             rows.append((host, 0, "page", "", 0, 0, 1, 0, 0))
             for (kind, path, text), n in counts.items():
                 mixed = xxhash.xxh3_64_intdigest(f"{digest} {n}")
-                rows.append((host, _key(kind, path, text), kind, path, mixed & 0x7FFFFFFF, mixed >> 33, n, 0, 0))
+                rows.append((host, _key(kind, path, text), kind, path, mixed & 0x7FFFFFFF, mixed >> 33, n, *sizes.get((kind, path, text), (0, 0))))
             for path, (chars, linked) in lengths.items():
                 rows.append((host, _key("length", path), "length", path, 0, 0, 1, chars, linked))
+            for path in frames:
+                rows.append((host, _key("frame", path), "frame", path, 0, 0, 1, 0, 0))
         columns = list(zip(*rows)) or [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _template(tokens: list, lengths: list, pages: int) -> tuple[list[int], list[str]]:
-    """Constant texts and link slots of a host, from its valid classes and text lengths."""
+def _template(tokens: list, lengths: list, named: list[str], pages: int) -> tuple[list[int], list[str], list[str]]:
+    """Constant texts, link slots and frames of a host, from its valid classes, text lengths and named furniture."""
     classes: dict[tuple[int, int], list] = {}
     for t in tokens:
         classes.setdefault((t["lo"], t["hi"]), []).append(t)
@@ -209,7 +233,19 @@ def _template(tokens: list, lengths: list, pages: int) -> tuple[list[int], list[
             nested.setdefault(min(slots, key=len), set()).update(t["path"] for t in c)
     links = [p["path"] for p in lengths if p["linked"] * 2 > p["chars"]]
     links += [p for s in nested.values() for p in s if any(p.startswith(x + ">") for x in links)]
-    return [t["key"] for t in root if t["kind"] == "text"], sorted(set(links)) if pages >= MIN_PAGES else []
+    constant = [t for t in root if t["kind"] == "text"]
+    if pages < MIN_PAGES:
+        return [t["key"] for t in constant], [], []
+
+    menus = set(links)
+    varying: dict[str, int] = {}
+    for sign, texts in ((1, lengths), (-1, constant)):
+        for p in texts:
+            if p["path"] not in menus:
+                varying[p["path"]] = varying.get(p["path"], 0) + sign * (p["chars"] - p["linked"])
+    total = sum(varying.values())
+    within = {f: sum(n for p, n in varying.items() if (p + ">").startswith(f + ">")) for f in named}
+    return [t["key"] for t in constant], sorted(menus), sorted(f for f, n in within.items() if total and n >= FRAME_SHARE * total)
 
 
 def _distinct(pages: DataFrame) -> DataFrame:
@@ -227,7 +263,7 @@ def _distinct(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, constant (keys of template texts) and links of every host."""
+    """host, constant (keys of template texts), links and frames of every host."""
     counted = (
         _distinct(pages)
         .mapInArrow(_tokens, _ROW)
@@ -236,43 +272,75 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     # Few hosts' worth of rows have support enough; texts of single pages end here.
     sizes = F.max(F.when(F.col("kind") == "page", F.col("n")))
-    counted = stage(counted.where(f"pages >= {MIN_TOKENS} OR kind IN ('page', 'length')"), "page-tokens")
+    counted = stage(counted.where(f"pages >= {MIN_TOKENS} OR kind IN ('page', 'length', 'frame')"), "page-tokens")
     hosts = counted.groupBy("host").agg(sizes.alias("host_pages"))
     able = counted.join(hosts, "host").where(
-        (F.col("kind") == "length") | ((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("host_pages") * COVERAGE))
+        F.col("kind").isin("length", "frame") | ((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("host_pages") * COVERAGE))
     )
-    token = F.struct("key", "kind", "path", "lo", "hi", "n", "pages")
+    token = F.struct("key", "kind", "path", "lo", "hi", "n", "pages", "chars", "linked")
     length = F.struct("path", "chars", "linked")
     # Tokens on nearly all pages of a host are at most as many as one page has; paths are a page's structure.
     gathered = able.groupBy("host").agg(
         F.collect_list(F.when(F.col("kind").isin("tag", "text"), token)).alias("tokens"),
         F.collect_list(F.when(F.col("kind") == "length", length)).alias("lengths"),
+        F.collect_list(F.when(F.col("kind") == "frame", F.col("path"))).alias("named"),
         F.max("host_pages").alias("pages"),
     )
 
     def deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            found = [_template(r["tokens"], r["lengths"], r["pages"]) for r in rows]
+            found = [_template(r["tokens"], r["lengths"], r["named"], r["pages"]) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["host"],
                     pa.array([f[0] for f in found], pa.list_(pa.int64())),
                     pa.array([f[1] for f in found], pa.list_(pa.string())),
+                    pa.array([f[2] for f in found], pa.list_(pa.string())),
                 ],
-                ["host", "constant", "links"],
+                ["host", "constant", "links", "frames"],
             )
 
-    return gathered.mapInArrow(deduce, "host string, constant array<long>, links array<string>")
-
-
-def main_text(page: str | None, constant: set[int], links: set[str]) -> str:
+    return gathered.mapInArrow(deduce, "host string, constant array<long>, links array<string>, frames array<string>")
+
+
+def _frames(lines: list[tuple[_Element, str, int]]) -> set[int]:
+    """Named furniture of a page (by identity) that is a frame around its text."""
+    total = sum(len(line) - linked for _, line, linked in lines)
+    inside: dict[int, int] = {}
+    headed: set[int] = set()
+    found: set[int] = set()
+    forms: set[int] = set()
+    for element, line, linked in lines:
+        for f in element.named():
+            inside[id(f)] = inside.get(id(f), 0) + len(line) - linked
+            if f.tag in FORM:
+                forms.add(id(f))
+            # An article around the named element is no evidence for it.
+            holds = element.main is not None and element.main is not f and f.main is None
+            if holds and (element.main.tag != "article" or f.tag in FORM):
+                found.add(id(f))
+            if holds or element.tag == "h1":
+                headed.add(id(f))
+    # An article or main element with text elsewhere tells that the rest is no frame.
+    if not total or any(element.main and not element.furniture for element, _, _ in lines):
+        return found
+    return found | {f for f, n in inside.items() if n >= FRAME_SHARE * total and (f in forms or f in headed)}
+
+
+def main_text(page: str | None, constant: set[int], links: set[str], frames: set[str]) -> str:
     """Text of the slots that hold the article."""
     slots: list[tuple[_Element, str]] = []
     linked: list[str] = []
     inside: list[tuple[_Element, str]] = []
-    for element, line, _ in blocks(page or ""):
-        if element.furniture or (constant and _key("text", element.path, line) in constant):
+    lines = [
+        b for b in blocks(page or "") if not b[0].firm and not (constant and _key("text", b[0].path, b[1]) in constant)
+    ]
+    own: set[int] = set()
+    if any(element.furniture for element, _, _ in lines):
+        own = _frames([b for b in lines if b[0].path not in links])
+    for element, line, _ in lines:
+        if element.furniture and any(id(f) not in own and f.path not in frames for f in element.named()):
             continue
         if element.path in links:
             if element.main:
@@ -298,10 +366,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch[c].to_pylist() for c in ("html", "constant", "links")))
-            texts = [main_text(page, set(c or ()), set(links or ())) for page, c, links in rows]
+            rows = zip(*(batch[c].to_pylist() for c in ("html", "constant", "links", "frames")))
+            texts = [main_text(page, set(c or ()), set(links or ()), set(frames or ())) for page, c, links, frames in rows]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "constant", "links").mapInArrow(
+    return joined.select("page_id", "url", "html", "constant", "links", "frames").mapInArrow(
         run, "page_id long, url string, text string"
     )

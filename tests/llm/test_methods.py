@@ -323,6 +323,31 @@ def test_all_slots_of_a_host_are_kept_whatever_their_share(spark):
     assert texts == [f"Blog {k}." if k % 3 == 0 else f"News {k} of this day and of yesterday." for k in range(18)]
 
 
+def test_a_page_is_not_furniture_as_a_whole(spark):
+    text = "<p>First {0}.</p><p>Second {0}.</p>"
+    frames = [
+        "<body class='has-sidebar no-cookie'><article>%s</article>",
+        "<body class=sidebar><article class='share-enabled share'>%s</article>",
+        "<html class=modal><body><main id=search-results class=search>%s</main>",
+        "<body><form><nav>Shop</nav><article>%s</article></form>",
+        "<body><form><div class=post>%s</div></form><p>c</p>",
+        "<body><div class=widget><main>%s</main></div>",
+        "<body><div class='site social-free'>%s</div>",
+    ]
+    for page in frames:
+        # Without a template.
+        assert html_templates.main_text((page % text).format(1), set(), set(), set()).split("\n")[:2] == ["First 1.", "Second 1."]
+    # Furniture alone is no frame.
+    ad = "<body><div class=ad><p>Buy {0} of this.</p></div><article>%s</article>"
+    assert html_templates.main_text(ad % "", set(), set(), set()) == ""
+    assert html_templates.main_text((ad % text).format(1), set(), set(), set()) == "First 1.\nSecond 1."
+    comments = "<body><div class=post>%s</div><div class=comments><article><p>Fine {0}.</p></article></div><form>Say {0}</form>"
+    assert html_templates.main_text((comments % text).format(1), set(), set(), set()) == "First 1.\nSecond 1."
+    # The template shows that a named element holds the text of the host.
+    widget = "<body><p>The shop of the town.</p><div class=widget><div class=post>%s</div></div>"
+    assert _texts(spark, [(widget % text).format(k) for k in range(6)]) == [f"First {k}.\nSecond {k}." for k in range(6)]
+
+
 def test_pages_of_the_given_table_give_their_article(spark):
     import html
     import re

@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parley.functions import text as tx
 from parley.operators.retrieval import TermIndex
 from parley.plans.triage import triage
-from parley.session import staged_scope
+from parley.session import stage, staged_scope
 
+def accepted(messages: DataFrame) -> DataFrame:
+    """Non-blank messages. No watermark is set, because Spark drops the rows that are older than it."""
+    return messages.where(F.length(tx.strip(F.coalesce("text", F.lit("")))) > 0)
 
-# Time after which the id of a message is forgotten, so that the state of the stream stays bounded.
-DELAY = "1 day"
 
-
-def accepted(messages: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Non-blank messages, each id once. The event time `ts` bounds the id state: it is dropped after `delay`."""
-    filled = messages.where(F.length(tx.strip(F.coalesce("text", F.lit("")))) > 0)
-    return filled.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["msg_id"])
+def decided(arrived: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """_id: ids of `arrived` with a decision in a batch before this one."""
+    spark = arrived.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return arrived.select(F.col("msg_id").alias("_id")).limit(0)
+    schema = StructType([arrived.schema["msg_id"], StructField("batch", LongType())])
+    # Staged ids have true sizes: those of a small batch are sent to the tasks that read the decisions.
+    ids = arrived.select(F.col("msg_id").alias("_id"))
+    written = spark.read.schema(schema).parquet(out).where(F.col("batch") < batch_id)
+    return written.join(ids, F.col("msg_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("msg_id").alias("_id")).distinct()
 
 
 def triage_stream(
@@ -27,11 +35,15 @@ def triage_stream(
     index: TermIndex,
     out: str,
     checkpoint: str,
-    delay: str = DELAY,
+    delay: str | None = None,
     trigger: dict | None = None,
     **triage_options,
 ) -> StreamingQuery:
-    """Write a decision per arriving message (msg_id, text, ts) to parquet under `out`.
+    """Write a decision per arriving message (msg_id, text) to parquet under `out`, each id once, however late it comes.
+
+    Repeated ids are looked up among the decisions of the batches before, so the stream keeps no state and event time
+    plays no part. `delay` is taken for callers that pass it and has no effect: no message is dropped for its age.
+    A checkpoint of a stream that kept ids in state cannot be continued; start anew with another `out`.
 
     Top-k needs a window, which streams do not allow, so each micro-batch runs the batch job against the staged
     index. A batch overwrites its own folder, so a replay after a failure leaves no duplicates. What a batch stages is
@@ -40,10 +52,13 @@ def triage_stream(
 
     def score(batch: DataFrame, batch_id: int) -> None:
         with staged_scope(batch.sparkSession):
-            triage(batch, index, **triage_options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            arrived = stage(batch.dropDuplicates(["msg_id"]), "arrived")
+            known = decided(arrived, out, batch_id)
+            fresh = stage(arrived.join(known, F.col("msg_id").eqNullSafe(F.col("_id")), "left_anti"), "fresh")
+            triage(fresh, index, **triage_options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        accepted(messages, delay)
+        accepted(messages)
         .select("msg_id", "text")
         .writeStream.foreachBatch(score)
         .option("checkpointLocation", checkpoint)

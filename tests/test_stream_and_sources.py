@@ -42,6 +42,25 @@ def test_stream_scores_each_message_once(spark, tmp_path):
     assert set(Path(stage_root(spark).removeprefix("file:"), "parley").iterdir()) == before
 
 
+def test_stream_keeps_late_messages_and_drops_late_repeats(spark, tmp_path):
+    index = retrieval.tfidf_index(spark.createDataFrame([(0, "d0", "refund", "x", "refunds take days", False)], DOCS))
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    seen = []
+    for rows in (
+        [(1, "hello", "2024-03-09")],
+        [(2, "hello", "2024-03-20")],
+        # New ones and repeated ones, all older than the newest of before by more than a day.
+        [(3, "hello", "2024-01-01"), (1, "hello", "2024-03-09"), (2, "hello", "2024-01-02"), (None, "hello", "2024-01-01")],
+        [(3, "hello", "2024-05-01"), (None, "hello", "2024-05-01"), (4, "hello", None)],
+    ):
+        frame = spark.createDataFrame(rows, "msg_id long, text string, day string")
+        frame.select("msg_id", "text", F.col("day").cast("timestamp").alias("ts")).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema("msg_id long, text string, ts timestamp").parquet(inbox)
+        triage_stream(stream, index, out, state).awaitTermination()
+        seen.append(sorted(r.msg_id or 0 for r in spark.read.parquet(out).collect()))
+    assert seen == [[1], [1, 2], [0, 1, 2, 3], [0, 1, 2, 3, 4]]
+
+
 def test_messages_csv(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "my_twcs.csv").write_text(

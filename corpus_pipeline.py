@@ -27,8 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told; where no language could be learned, those with a letter."""
     model = language_id.train(docs.where(F.coalesce(fold(4) != 2, F.lit(True))))
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     return language_id.identify(docs, model).where("_language.lang_pred != 'und'").select(*docs.columns)
 
 

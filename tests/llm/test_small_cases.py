@@ -124,6 +124,14 @@ def test_ngram_join(docs, empty):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_language_stage_without_a_known_language(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "слова", None), (5, "中文", None)]
+    kept = corpus_pipeline.drop_without_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+
+
 def test_language_id(docs, empty):
     model = language_id.train(docs)
     out = {r["doc_id"]: r for r in language_id.identify(docs, model, spans=True).collect()}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_dedup, html_templates, language_id, ngram_join, packing, sentencepiece_viterbi, sharding, token_store, topk_search, toxicity
+from parley.llm import (
+    ball_tree,
+    exact_dedup,
+    html_templates,
+    language_id,
+    merkle,
+    ngram_join,
+    packing,
+    sentencepiece_viterbi,
+    sharding,
+    suffix_dedup,
+    token_store,
+    topk_search,
+    toxicity,
+)
 from parley.llm.tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +140,122 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "virtual_slot",
         "rebalanced_shard",
     )
+
+
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _item_sql(field: str) -> str:
+    return f"CASE WHEN {field} IS NULL THEN '-' ELSE strlen({field}::VARCHAR) || ':' || {field} END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_item_sql(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# crc32 bit by bit: every byte is mixed in and followed by eight steps.
+_CRC_SQL = (
+    "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), list_resize([]::UBIGINT[], 8, 0::UBIGINT)), "
+    "lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::UBIGINT)"
+)
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE d AS (
+        SELECT row_number() OVER () AS k, doc_id, coalesce('+' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+            CASE WHEN {_CRC_SQL} % 3 = 0 THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS altered
+        FROM documents
+    ),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+    ),
+    lv AS (
+        SELECT 0 AS level, tree, pos, n, leaf AS h FROM leaves
+        UNION ALL
+        SELECT level + 1, tree, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY level, tree, pos // 8, n
+    ),
+    roots AS (SELECT tree, h, level, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+    up AS (
+        SELECT 0 AS level, pos, n, h FROM roots
+        UNION ALL
+        SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, pos // 8, n
+    ),
+    own AS (
+        SELECT k, leaves.tree, roots.pos AS place, roots.level AS height, leaves.pos, leaves.n FROM leaves JOIN roots USING (tree)
+    ),
+    path AS (
+        SELECT k, lv.level AS step, own.pos // (8 ** lv.level)::BIGINT AS me, lv.pos AS other, h FROM own JOIN lv USING (tree)
+        WHERE lv.n > 1 AND lv.pos // 8 = own.pos // (8 ** (lv.level + 1))::BIGINT
+        UNION ALL
+        SELECT k, height + up.level, place // (8 ** up.level)::BIGINT, up.pos, h FROM own, up
+        WHERE up.n > 1 AND up.pos // 8 = place // (8 ** (up.level + 1))::BIGINT
+    ),
+    steps AS (
+        SELECT k, step, coalesce(string_agg(h, '' ORDER BY other) FILTER (WHERE other < me), '') AS l,
+            coalesce(string_agg(h, '' ORDER BY other) FILTER (WHERE other > me), '') AS r
+        FROM path GROUP BY k, step
+    ),
+    proofs AS (SELECT k, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY k),
+    f AS (
+        SELECT k, 0 AS step, coalesce(altered, leaf) AS h FROM d
+        UNION ALL
+        SELECT k, f.step + 1, sha256(l || h || r) FROM f JOIN steps USING (k, step)
+    ),
+    ends AS (SELECT k, max_by(h, step) AS folded_root FROM f GROUP BY k)
+    SELECT doc_id, leaf, roots.h AS subroot, up.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = up.h AS verified
+    FROM d JOIN roots USING (tree) JOIN up ON up.n = 1 LEFT JOIN proofs USING (k) JOIN ends USING (k)
+    """,
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of every document, and whether altered texts are found out."""
+
+    def leaf(text: Column) -> Column:
+        return merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    altered = F.when(fold(3) == 0, leaf(F.translate("text", UPPER, LOWER)))
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("tree"), leaf(F.col("text")).alias("leaf"), altered.alias("carried")
+    )
+    found = merkle.manifest(rows)
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("carried", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS_SQL = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM}')"
+
+
+@query(
+    "op13_ball_tree_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, unnest({_TERMS_SQL}) AS term FROM documents),
+    tf AS (SELECT k, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    len AS (SELECT k, sum(tf)::BIGINT AS n FROM tf GROUP BY k),
+    total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM len),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+    asked AS (SELECT row_number() OVER () AS q, item_id, {_TERMS_SQL} AS terms FROM benchmark),
+    bag AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(terms) AS term FROM asked) GROUP BY ALL),
+    scored AS (
+        SELECT q, item_id, k, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total.terms))))::BIGINT AS score
+        FROM bag JOIN w USING (term) JOIN tf USING (term) JOIN len USING (k), total GROUP BY q, item_id, k, doc_id
+    )
+    SELECT item_id, rank::INT AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+    """,
+)
+def op13_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))

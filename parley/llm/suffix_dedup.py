@@ -11,8 +11,7 @@
 
 Nothing is gathered by key: names are minima with map-side sums, and joins have both sides shuffled right below them.
 A gram with more different segments than a block holds is not sorted in one task; its windows are grouped by a 128-bit
-digest instead. Segments fetch their bytes, and documents their runs, by a broadcast only up to BROADCAST_ROWS rows
-(counted), by a shuffle beyond.
+digest instead. Segments fetch their bytes, and documents their runs, by joins on the document alike at every size.
 
 Cases: null text is empty; texts below LENGTH bytes lose nothing. Documents ascend by id, null ids first; rows with one id
 by the hash of their text, and rows with the same id and text are one document and get the same result. An empty table
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.memory import tidy
-from parley.session import spread, stage, stage_counted, tasks
+from parley.session import spread, stage, tasks
 
 LENGTH = 100
 GRAM = 32
@@ -40,7 +39,6 @@ SLICE = 1 << 21
 BLOCK = 1 << 19
 # Different segments of one gram that are sorted together.
 KEY_SEGMENTS = 2_000
-BROADCAST_ROWS = 1_000_000
 # A segment's place: its first window times PLACE plus the number of its windows.
 PLACE = 256
 FIRST_ID = -(1 << 63)
@@ -265,27 +263,25 @@ def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc", tag.alias("tag"), F.encode("t", "utf-8").alias("body"))
 
 
-def _join_small(big: DataFrame, small: DataFrame, n_rows: int, how: str) -> DataFrame:
-    return big.join(F.broadcast(small) if n_rows <= BROADCAST_ROWS else small, ["doc", "tag"], how)
-
-
 def _first_place() -> Column:
     return F.min(F.struct("doc", "tag", "place"))
 
 
-def _bytes_of(reps: DataFrame, documents: DataFrame, n_rows: int) -> DataFrame:
-    """gram, doc, tag, place, bytes of some segments; documents give the bytes where they are read."""
-    lists = stage(reps.groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "place")).alias("own")), "repeat-lists")
+def _bytes_of(reps: DataFrame, documents: DataFrame) -> DataFrame:
+    """gram, doc, tag, place, bytes, large of some segments. A list is in proportion to the length of its document."""
+    own = F.collect_list(F.struct("gram", "place", "large")).alias("own")
+    lists = stage(reps.groupBy("doc", "tag").agg(own), "repeat-lists")
     cut = F.transform(
         "own",
         lambda x: F.struct(
             x["gram"].alias("gram"),
             x["place"].alias("place"),
+            x["large"].alias("large"),
             F.col("body").substr((F.floor(x["place"] / PLACE) + 1).cast("int"), (x["place"] % PLACE + LENGTH - 1).cast("int")).alias("bytes"),
         ),
     )
-    found = _join_small(documents, lists, n_rows, "inner").select("doc", "tag", F.explode(cut).alias("s"))
-    return found.select("s.gram", "doc", "tag", "s.place", "s.bytes")
+    found = documents.join(lists, ["doc", "tag"]).select("doc", "tag", F.explode(cut).alias("s"))
+    return found.select("s.gram", "doc", "tag", "s.place", "s.bytes", "s.large")
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
@@ -308,24 +304,15 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
         .select("doc", "tag", F.floor(F.col("place") / PLACE).alias("start"), stop.alias("stop"))
     )
     mixed = names.where("mixed")
-    large, n_large = stage_counted(
+    large = stage(
         mixed.groupBy("gram").count().where(F.col("count") > KEY_SEGMENTS).select("gram", F.lit(True).alias("large")),
         "repeat-large",
-        F.count("*"),
-    )
-    large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
-    reps, n_reps = stage_counted(
-        mixed.join(large, "gram", "left").select("gram", "first.*", F.coalesce("large", F.lit(False)).alias("large")),
-        "repeat-reps",
-        F.count("*"),
-    )
-    data = _bytes_of(reps.where("not large"), documents, n_reps)
-    sorted_ = (
-        data.repartition(tasks(documents.sparkSession), "gram").sortWithinPartitions("gram").mapInArrow(tidy(_sort_blocks), RUNS)
-    )
-    windows = _bytes_of(reps.where("large"), documents, n_reps).mapInArrow(
-        _windows_of, "doc long, tag long, start long, high long, low long"
     )
+    reps = mixed.join(large, "gram", "left").select("gram", "first.*", F.coalesce("large", F.lit(False)).alias("large"))
+    data = stage(_bytes_of(reps, documents), "repeat-bytes")
+    small = data.where("not large").repartition(tasks(documents.sparkSession), "gram").sortWithinPartitions("gram")
+    sorted_ = small.mapInArrow(tidy(_sort_blocks), RUNS)
+    windows = data.where("large").mapInArrow(_windows_of, "doc long, tag long, start long, high long, low long")
     windows = stage(windows, "repeat-windows")
     first = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "tag", "start")).alias("first"))
     hot = windows.join(stage(first, "repeat-firsts"), ["high", "low"]).where(F.struct("doc", "tag", "start") != F.col("first"))
@@ -373,10 +360,7 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     documents, runs = removed_spans(docs, doc_id, text)
-    spans, n_spans = stage_counted(
-        runs.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")),
-        "repeat-spans",
-        F.coalesce(F.sum(F.size("cuts")), F.lit(0)),
-    )
+    cuts = F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")
+    spans = stage(runs.groupBy("doc", "tag").agg(cuts), "repeat-spans")
     own = F.when(F.col("doc") != FIRST_ID, F.col("doc")).alias("doc_id")
-    return _join_small(documents, spans, n_spans, "left").select(own, "body", "cuts").mapInArrow(_kept, DIGESTS)
+    return documents.join(spans, ["doc", "tag"], "left").select(own, "body", "cuts").mapInArrow(_kept, DIGESTS)

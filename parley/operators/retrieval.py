@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.functions import text as tx
 from parley.functions.rates import rounded
+from parley.operators import pruned_join
 from parley.operators.topn import first_per_group
 from parley.session import drop_staged, spread, stage, stage_counted, tasks
 
@@ -42,6 +43,7 @@ class TermIndex:
     n_docs: int
     n_postings: int
     arrays: Broadcast | None = field(default=None, repr=False)
+    blocks: pruned_join.Blocks | None = field(default=None, repr=False)
 
 
 def _term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -195,34 +197,20 @@ def _search_small_index(terms: DataFrame, index: TermIndex, top_k: int, threshol
 def _search_by_join(
     terms: DataFrame, index: TermIndex, top_k: int, threshold: float, broadcast_rows: int, hot_term_docs: int
 ) -> DataFrame:
-    """Term join for an index of any size.
-
-    Few queries: their terms are broadcast and partial sums form beside the documents. Otherwise both sides are
-    shuffled by term, and terms found in many documents are split over several join keys.
-    """
-    terms = stage(terms, "query-terms")
-    if terms.count() <= broadcast_rows:
-        joined = index.postings.join(F.broadcast(terms), "term")
-    else:
-        parts = F.ceil(F.col("df") / hot_term_docs).cast("int")
-        spread_terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        postings = index.postings.join(F.broadcast(index.vocab.select("term", "df")), "term").withColumn(
-            "part", F.pmod(F.xxhash64("doc_ord"), parts.cast("long")).cast("int")
-        )
-        joined = spread_terms.drop("df").join(postings.drop("df"), ["term", "part"])
-    dots = joined.groupBy("qid", "q_category", "doc_ord", "doc_category").agg(
-        F.sum(F.col("q_weight") * F.col("weight")).alias("dot")
-    )
-    factor = F.when(
-        F.coalesce("q_category", F.lit("")) != "",
-        F.when(F.col("q_category").eqNullSafe(F.col("doc_category")), fx.SAME_CATEGORY_BOOST).otherwise(
-            fx.OTHER_CATEGORY_FACTOR
-        ),
-    ).otherwise(F.lit(1.0))
-    scored = dots.select("qid", "doc_ord", rounded(F.col("dot") * factor, SCORE_DIGITS).alias("raw")).where(
-        F.col("raw") >= threshold
+    """Pruned term join for an index of any size."""
+    if index.blocks is None:
+        index.blocks = pruned_join.blocks(index.postings, index.vocab)
+    return pruned_join.search(
+        stage(terms, "query-terms"),
+        index.blocks,
+        top_k,
+        threshold,
+        fx.SAME_CATEGORY_BOOST,
+        fx.OTHER_CATEGORY_FACTOR,
+        SCORE_DIGITS,
+        broadcast_rows,
+        hot_term_docs,
     )
-    return first_per_group(scored, ["qid"], [F.desc("raw"), F.col("doc_ord")], top_k, spread=F.col("doc_ord"))
 
 
 def tfidf_search(

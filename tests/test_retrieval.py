@@ -123,3 +123,23 @@ def test_drafts(spark):
     )
     none = rows.select(F.slice("sources", 1, 0).alias("s")).select(draft_reply(F.col("s")).alias("d"), prompt_context(F.col("s")).alias("b")).first()
     assert none.d.startswith("Thank you for contacting") and none.b == "RETRIEVED PRECEDENTS: No verified precedents found."
+
+
+def test_pruned_join_forms_few_of_the_plain_rows(spark):
+    from parley.operators import pruned_join
+    from parley.workload import seeds
+
+    sf = "/root/testdata/sf0.01"
+    index = retrieval.tfidf_index(seeds.docs(spark, sf))
+    terms = retrieval.query_terms(seeds.queries(spark, sf), index).cache()
+    plain = terms.agg(F.sum("df")).first()[0]
+    blocks = index.blocks = pruned_join.blocks(index.postings, index.vocab)
+    ordered = pruned_join.ordered_terms(terms, blocks.bounds).cache()
+    factor = pruned_join._factor(1.35, 0.65)
+    hits = retrieval.tfidf_search(seeds.queries(spark, sf), index, broadcast_rows=index.n_postings - 1)
+    # From the k-th best scores, which the first pass only estimates; it is counted as well.
+    floors = hits.groupBy("qid").agg(F.min("score").alias("floor"))
+    n = ordered.count()
+    formed = pruned_join.first_rows(ordered, blocks, n, 10**6, 10**6).count()
+    formed += pruned_join.passing_rows(ordered, floors, blocks, factor, 1.35, n, 10**6, 10**6).count()
+    assert plain > 100_000 and formed < 0.15 * plain

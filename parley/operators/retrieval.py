@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.functions import text as tx
 from parley.functions.rates import rounded
-from parley.operators import pruned_join
+from parley.operators import containment, pruned_join
 from parley.operators.topn import first_per_group
 from parley.session import drop_staged, spread, stage, stage_counted, tasks
 
@@ -247,32 +247,18 @@ def overlap_search(
     top_k: int = fx.TOP_K,
     threshold: float = 0.0,
     broadcast_rows: int = BROADCAST_ROWS,
+    hot_word_docs: int = containment.HOT_WORD_DOCS,
 ) -> DataFrame:
     """Best documents by the share of query words they contain; a query category filters strictly.
 
     With threshold 0 documents without any common word qualify too. They rank last in document order, so the
     first 2k documents of the category are enough to fill a query that has fewer than k matches.
     """
-    q = queries.select("qid", F.coalesce("category", F.lit("")).alias("q_category"), tx.space_words(F.col("text")).alias("words"))
+    words = tx.space_words(F.col("text"))
+    q = queries.select("qid", F.coalesce("category", F.lit("")).alias("q_category"), words.alias("words"))
     q = q.withColumn("n_words", F.greatest(F.size("words"), F.lit(1)))
-    q_words = q.select("qid", "q_category", "n_words", F.explode("words").alias("word"))
-    d_words = docs.select(
-        "doc_ord", F.col("category").alias("doc_category"), F.explode(tx.space_words(F.col("content"))).alias("word")
-    )
-    same = (F.col("q_category") == "") | F.col("q_category").eqNullSafe(F.col("doc_category"))
-    q_words = stage(q_words, "query-words")
-    if q_words.count() <= broadcast_rows:
-        q_words = F.broadcast(q_words)
-    scored = (
-        d_words.join(q_words, "word")
-        .where(same)
-        .groupBy("qid", "doc_ord", "n_words")
-        .agg(F.count("*").alias("common"))
-        .select("qid", "doc_ord", (F.col("common") / F.col("n_words")).alias("score"))
-        .where(F.col("score") >= threshold)
-    )
-    order = [F.desc("score"), F.col("doc_ord")]
-    best = first_per_group(scored, ["qid"], order, top_k, spread=F.col("doc_ord"))
+    bags = docs.select("doc_ord", F.col("category").alias("doc_category"), tx.space_words(F.col("content")).alias("d_words"))
+    best = containment.search(q, bags, top_k, threshold, broadcast_rows, hot_word_docs)
     if threshold > 0:
         return best
     best = stage(best, "overlap")

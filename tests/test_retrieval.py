@@ -143,3 +143,51 @@ def test_pruned_join_forms_few_of_the_plain_rows(spark):
     formed = pruned_join.first_rows(ordered, blocks, n, 10**6, 10**6).count()
     formed += pruned_join.passing_rows(ordered, floors, blocks, factor, 1.35, n, 10**6, 10**6).count()
     assert plain > 100_000 and formed < 0.15 * plain
+
+
+def plain_overlap(docs, queries, k, threshold):
+    out = {}
+    for qid, text, category in queries:
+        words = set(text.lower().split())
+        scored = []
+        for d in docs:
+            if category and d[3] != category:
+                continue
+            score = len(words & set(d[4].lower().split())) / max(len(words), 1)
+            if score >= threshold:
+                scored.append((-score, d[0]))
+        out[qid] = [(d, -s) for s, d in sorted(scored)[:k]]
+    return {q: v for q, v in out.items() if v}
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+@pytest.mark.parametrize("threshold", [0.0, 0.34, 1.0])
+def test_overlap_equals_plain_counts(spark, monkeypatch, bound, threshold):
+    """Hot words are split over several keys where nothing is broadcast; the first pass is cut short."""
+    docs, queries = random_corpus(7, n_docs=120)
+    queries += [("long", " ".join(d[4] for d in docs[:3]), None), ("blank", " ", "a")]
+    monkeypatch.setattr(retrieval.containment, "FIRST_POSTINGS", 15)
+    found = retrieval.overlap_search(spark.createDataFrame(queries, ASK), spark.createDataFrame(docs, DOCS), 4, threshold, bound, 5)
+    got: dict = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.doc_ord, r.score))
+    assert got == plain_overlap(docs, queries, 4, threshold)
+
+
+def test_overlap_joins_a_hot_word_for_few_documents(spark):
+    """A word that every document holds is no candidate once rarer words settle the result."""
+    from parley.operators import containment
+
+    docs = [(i, f"d{i}", None, "a", f"the w{i % 50} x{i % 3}", False) for i in range(600)]
+    queries = spark.createDataFrame([(f"q{i}", f"the w{i} x{i % 3}", None) for i in range(10)], ASK)
+    q = queries.selectExpr("qid", "'' AS q_category", "split(text, ' ') AS words", "3 AS n_words")
+    bags = spark.createDataFrame(docs, DOCS).selectExpr("doc_ord", "category AS doc_category", "split(content, ' ') AS d_words")
+    d_words = bags.selectExpr("doc_ord", "doc_category", "size(d_words) AS size", "explode(d_words) AS word")
+    ordered = containment._ordered(q, d_words.groupBy("word").agg(F.count("*").alias("df")))
+    floors = q.selectExpr("qid", "3 AS least")
+    formed = containment.passing(ordered, floors, d_words, 30, 10**6, 10**6).count()
+    plain = d_words.join(ordered, "word").count()
+    assert formed == 120 and plain > 8_000
+    for bound in (10**6, 0):
+        best = containment.search(q, bags, 3, 0.0, bound, 100)
+        assert best.count() == 30 and best.where("score < 1").count() == 0

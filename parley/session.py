@@ -63,7 +63,7 @@ def stage_counted(df: DataFrame, name: str, count: Column) -> tuple[DataFrame, i
     return staged, seen.get["n"]
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -71,7 +71,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        delete_folder(df.sparkSession, folder)
         for paths in (_STAGED, getattr(_SCOPE, "paths", [])):
             paths[:] = [p for p in paths if p.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
 
@@ -89,13 +89,13 @@ def staged_scope(spark: SparkSession) -> Iterator[None]:
         else:
             _SCOPE.paths = outer
         for path in paths:
-            _delete(spark, path)
+            delete_folder(spark, path)
 
 
 def release_stages(spark: SparkSession) -> None:
     """Delete every table this program staged. Call it when all results are written."""
     while _STAGED:
-        _delete(spark, _STAGED.pop())
+        delete_folder(spark, _STAGED.pop())
 
 
 def tasks(spark: SparkSession) -> int:

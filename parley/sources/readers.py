@@ -11,6 +11,7 @@ from parley import schemas
 from parley.functions import text as tx
 from parley.operators.gold import GOLD_COLUMNS
 from parley.operators.topn import number_rows
+from parley.sources import csv_ranges
 
 
 _CSV = "*.[cC][sS][vV]"
@@ -50,27 +51,25 @@ def read_messages(
 
     By default `locate_dump` chooses below `path`, which may also be a file. `name` is a file name pattern, matched
     ignoring case; all files that match are read then. Raises FileNotFoundError where nothing is found.
-    A file with quoted line breaks is read by one task; write a dump in parts to spread it.
+    Files are read by byte ranges, also inside quoted line breaks. `n` gives the first rows in file order.
     """
-    reader = (
-        # The parent id is written as a float where the column has gaps, so it is read as text.
-        spark.read.schema(schemas.MESSAGES.replace("in_response_to_tweet_id long", "in_response_to_tweet_id string"))
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-    )
+    # Carriage returns stay with their lines, so that those inside quotes are kept.
+    reader = spark.read.option("lineSep", "\n")
     if name is None:
-        df = reader.csv(locate_dump(spark, path))
+        lines = reader.text(locate_dump(spark, path))
     else:
         pattern = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
         found = _csv_files(spark, path).where(F.col("name").rlike(_glob(name.lower())))
         if found.isEmpty():
             raise FileNotFoundError(f"no file {name} below {path}")
-        df = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).csv(path)
-    df = df.withColumn("in_response_to_tweet_id", _exact_id("in_response_to_tweet_id"))
-    if columns:
-        df = df.select(*columns)
-    return df.limit(n) if n else df
+        lines = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    # The parent id is written as a float where the column has gaps, so it is read as text.
+    schema = schemas.MESSAGES.replace("in_response_to_tweet_id long", "in_response_to_tweet_id string")
+    df = csv_ranges.read_csv(lines, schema)
+    if n:
+        df = df.orderBy("file", "start", "at").limit(n)
+    df = df.drop("file", "start", "at").withColumn("in_response_to_tweet_id", _exact_id("in_response_to_tweet_id"))
+    return df.select(*columns) if columns else df
 
 
 def _glob(name: str) -> str:

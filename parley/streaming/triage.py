@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
-
 from parley.functions import text as tx
 from parley.operators.retrieval import TermIndex
 from parley.plans.triage import triage
 from parley.session import stage, staged_scope
+from parley.streaming.ledger import Ledger, exists
+
 
 def accepted(messages: DataFrame) -> DataFrame:
     """Non-blank messages. No watermark is set, because Spark drops the rows that are older than it."""
     return messages.where(F.length(tx.strip(F.coalesce("text", F.lit("")))) > 0)
 
 
-def decided(arrived: DataFrame, out: str, batch_id: int) -> DataFrame:
-    """_id: ids of `arrived` with a decision in a batch before this one."""
-    spark = arrived.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return arrived.select(F.col("msg_id").alias("_id")).limit(0)
-    schema = StructType([arrived.schema["msg_id"], StructField("batch", LongType())])
-    # Staged ids have true sizes: those of a small batch are sent to the tasks that read the decisions.
-    ids = arrived.select(F.col("msg_id").alias("_id"))
-    written = spark.read.schema(schema).parquet(out).where(F.col("batch") < batch_id)
-    return written.join(ids, F.col("msg_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("msg_id").alias("_id")).distinct()
+def _decided_ids(spark: SparkSession, out: str, messages: DataFrame, batch_id: int) -> DataFrame:
+    kind = messages.schema["msg_id"].dataType.simpleString()
+    rows = spark.read.schema(f"msg_id {kind}, batch long").parquet(out).where(F.col("batch") <= batch_id)
+    return rows.select(F.col("msg_id").alias("_id"))
 
 
 def triage_stream(
@@ -35,27 +28,36 @@ def triage_stream(
     index: TermIndex,
     out: str,
     checkpoint: str,
-    delay: str | None = None,
     trigger: dict | None = None,
     **triage_options,
 ) -> StreamingQuery:
     """Write a decision per arriving message (msg_id, text) to parquet under `out`, each id once, however late it comes.
 
-    Repeated ids are looked up among the decisions of the batches before, so the stream keeps no state and event time
-    plays no part. `delay` is taken for callers that pass it and has no effect: no message is dropped for its age.
-    A checkpoint of a stream that kept ids in state cannot be continued; start anew with another `out`.
+    Ids are looked up in a ledger beside the checkpoint, of which a batch reads only the parts its ids fall into; event
+    time plays no part. Messages without an id cannot be told from one another: each gets its decision.
+    A new checkpoint takes an empty `out` only. A checkpoint without a ledger has it built from the decisions once.
 
     Top-k needs a window, which streams do not allow, so each micro-batch runs the batch job against the staged
-    index. A batch overwrites its own folder, so a replay after a failure leaves no duplicates. What a batch stages is
+    index. A batch overwrites its own folders, so a replay after a failure leaves no duplicates. What a batch stages is
     deleted once its decisions are written, or have failed to be.
     """
+    spark = messages.sparkSession
+    if exists(spark, out) and not exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{out} holds decisions, but {checkpoint} is new and would write over them")
+    ledger_folder = f"{checkpoint.rstrip('/')}-ledger"
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        with staged_scope(batch.sparkSession):
-            arrived = stage(batch.dropDuplicates(["msg_id"]), "arrived")
-            known = decided(arrived, out, batch_id)
-            fresh = stage(arrived.join(known, F.col("msg_id").eqNullSafe(F.col("_id")), "left_anti"), "fresh")
+        session = batch.sparkSession
+        ledger = Ledger(session, ledger_folder, batch.schema["msg_id"].dataType)
+        with staged_scope(session):
+            if not ledger.has(batch_id - 1):
+                ledger.rebuild(_decided_ids(session, out, batch, batch_id - 1), batch_id - 1)
+            named = stage(batch.where("msg_id is not null").dropDuplicates(["msg_id"]), "arrived")
+            known = ledger.seen(named.select(F.col("msg_id").alias("_id")), batch_id)
+            new = named.join(known, F.col("msg_id") == F.col("_id"), "left_anti")
+            fresh = stage(new.unionByName(batch.where("msg_id is null")), "fresh")
             triage(fresh, index, **triage_options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            ledger.add(fresh.where("msg_id is not null").select(F.col("msg_id").alias("_id")), batch_id)
 
     return (
         accepted(messages)

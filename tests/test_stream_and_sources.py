@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -9,8 +10,10 @@ from parley.operators import gold, profile, retrieval
 from parley.operators.quality import missing_fields
 from parley.session import drop_staged, release_stages, stage, stage_counted, stage_root
 from parley.sources import readers, writers
+from parley.streaming import ledger as ledger_module
 from parley.streaming.triage import triage_stream
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 DOCS = "doc_ord long, doc_id string, title string, category string, content string, is_policy boolean"
 
@@ -27,7 +30,7 @@ def test_stream_scores_each_message_once(spark, tmp_path):
 
     def drain():
         stream = spark.readStream.schema(schema).parquet(inbox)
-        triage_stream(stream, index, out, state, delay="1 hour").awaitTermination()
+        triage_stream(stream, index, out, state).awaitTermination()
         return sorted((r.msg_id, r.intent) for r in spark.read.parquet(out).collect())
 
     before = set(Path(stage_root(spark).removeprefix("file:"), "parley").iterdir())
@@ -58,7 +61,39 @@ def test_stream_keeps_late_messages_and_drops_late_repeats(spark, tmp_path):
         stream = spark.readStream.schema("msg_id long, text string, ts timestamp").parquet(inbox)
         triage_stream(stream, index, out, state).awaitTermination()
         seen.append(sorted(r.msg_id or 0 for r in spark.read.parquet(out).collect()))
-    assert seen == [[1], [1, 2], [0, 1, 2, 3], [0, 1, 2, 3, 4]]
+    # Messages without an id are each decided.
+    assert seen == [[1], [1, 2], [0, 1, 2, 3], [0, 0, 1, 2, 3, 4]]
+    with pytest.raises(ValueError, match="holds decisions"):
+        triage_stream(stream, index, out, state + "-new")
+
+
+def test_ledger_reads_few_ids_whatever_the_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger_module, "FAN", 3)
+    monkeypatch.setattr(ledger_module, "BUCKET_IDS", 20)
+    ledger = ledger_module.Ledger(spark, str(tmp_path / "ledger"), LongType())
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "_id long")
+    decided: set[int] = set()
+    read = []
+    for batch in range(14):
+        asked = {batch * 40 + 3, 3, 47, 10**9 + batch}
+        assert {r[0] for r in ledger.seen(frame(asked), batch).collect()} == asked & decided
+        paths = ledger.paths(frame([7]), ledger.runs(batch - 1))
+        read.append(sum(spark.read.parquet(p).count() for p in paths))
+        fresh = set(range(batch * 40, batch * 40 + 40))
+        ledger.add(frame(fresh), batch)
+        # A batch that is done again after a failure leaves the same ledger.
+        if batch in (4, 8):
+            ledger.add(frame(fresh), batch)
+        decided |= fresh
+        runs = ledger.runs(batch)
+        assert sum(r.ids for r in runs) == len(decided) and len(runs) <= 6
+    # A look-up of one id reads one bucket a run; the whole history is 560 ids.
+    assert max(read) <= 6 * 40 and read[-1] < 200
+    kept = {p.name for p in (tmp_path / "ledger").iterdir()} - {"manifest"}
+    assert len(kept) <= 10
+    again = ledger_module.Ledger(spark, str(tmp_path / "again"), LongType())
+    again.rebuild(frame(decided), 13)
+    assert {r[0] for r in again.seen(frame([1, 559, 560]), 14).collect()} == {1, 559}
 
 
 def test_messages_csv(spark, tmp_path):
@@ -77,6 +112,51 @@ def test_messages_csv(spark, tmp_path):
     assert readers.locate_dump(spark, str(tmp_path / "raw")).endswith("my_twcs.csv")
 
 
+@pytest.mark.parametrize("size", [40, 150, 10_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_ranges_equal_the_reader_of_whole_files(spark, tmp_path, size, end):
+    """Quoted line breaks, commas, doubled quotes, a record longer than many ranges, and no line break at the end."""
+    rng = random.Random(size)
+    bits = ['"', '""', ",", "\n", "\r\n", "\n\n", "word", "ünï ", " ", "x"]
+    rows, folder = [], tmp_path / "dump"
+    folder.mkdir()
+    for part in range(3):
+        lines = [HEAD.strip()]
+        for i in range(60):
+            text = "".join(rng.choices(bits, k=rng.randint(0, 12))) + ("\nlong line" * 60 if i == 30 else "")
+            author = rng.choice(["u1", "a,b", 'q"q', ""])
+            rows.append((part * 100 + i, author or None, i % 2 == 0, text or None, None if i % 3 else i))
+            quoted = ",".join('"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\n\r ') else v for v in (author, "True" if i % 2 == 0 else "False", "x"))
+            lines.append(f"{part * 100 + i},{quoted},\"{text.replace(chr(34), chr(34) * 2)}\",,{'' if i % 3 else f'{i}.0'}")
+            if i % 20 == 7:
+                lines.append("")
+        (folder / f"part-{part}.csv").write_bytes((end.join(lines) + (end if part else "")).encode())
+    keys = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = readers.read_messages(spark, str(folder))
+        got = sorted((r.tweet_id, r.author_id, r.inbound, r.text, r.in_response_to_tweet_id) for r in df.collect())
+        assert got == sorted(rows)
+        lines = spark.read.option("lineSep", "\n").text(str(folder))
+        n_ranges = lines.select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        assert n_ranges > 30 if size < 200 else n_ranges >= 3
+        assert [r.tweet_id for r in readers.read_messages(spark, str(folder), ["tweet_id"], 65).collect()] == [*range(60), *range(100, 105)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole = spark.read.schema(df.schema).option("header", True).option("multiLine", True).option("escape", '"')
+    own = whole.csv(str(folder)).select("tweet_id", "author_id", "inbound", "text").orderBy("tweet_id").collect()
+    assert [tuple(r) for r in own] == [r[:4] for r in sorted(rows)] or end == "\r\n"
+
+
+def test_csv_with_an_open_quote_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + '1,u,True,x,"hi,,\n')
+    with pytest.raises(Exception, match="odd number of quotes"):
+        readers.read_messages(spark, str(tmp_path)).collect()
+
+
 HEAD = "tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id\n"
 
 

@@ -46,7 +46,7 @@ class TermIndex:
     blocks: pruned_join.Blocks | None = field(default=None, repr=False)
 
 
-def _term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Occurrences of each one- and two-word term per row. No shuffle if df is partitioned by the first key."""
     words = df.select(*keys, tx.index_words(F.col(text)).alias("words"))
     terms = words.select(*keys, F.explode(tx.unigrams_and_bigrams(F.col("words"))).alias("term"))
@@ -70,24 +70,32 @@ def tfidf_index(docs: DataFrame, max_terms: int = fx.MAX_TERMS) -> TermIndex:
     Terms are counted over the whole corpus first, summed before the shuffle; then only occurrences of the vocabulary
     leave the task that reads a document, as numbers. The vocabulary has at most `max_terms` rows and is broadcast.
     """
-    if max_terms > BROADCAST_ROWS:
-        raise ValueError(f"a vocabulary of more than {BROADCAST_ROWS} terms cannot be sent to every task")
     body = spread(docs.select("doc_ord", F.col("category").alias("doc_category"), index_text().alias("body")))
     words = tx.unigrams_and_bigrams(F.col("words"))
     terms = body.select("doc_ord", "doc_category", tx.index_words(F.col("body")).alias("words")).select(
         "doc_ord", "doc_category", F.explode(words).alias("term")
     )
-    totals = terms.groupBy("term").agg(F.count("*").alias("total")).withColumn("_all", F.lit(0))
-    chosen = first_per_group(totals, ["_all"], [F.desc("total"), F.col("term")], max_terms, spread=F.col("term"))
-    # At most max_terms rows.
-    chosen = stage(chosen.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id")), "terms")
+    chosen = vocabulary(terms.groupBy("term").agg(F.count("*").alias("total")), max_terms)
     counts = stage(
         terms.join(F.broadcast(chosen), "term")
         .groupBy("doc_ord", "doc_category", "term_id")
         .agg(F.count("*").alias("tf")),
         "term-counts",
     )
-    n_docs = docs.count()
+    return weighted_index(docs, counts, chosen, docs.count())
+
+
+def vocabulary(totals: DataFrame, max_terms: int) -> DataFrame:
+    """(term, term_id) of the terms with the largest totals; at most max_terms rows."""
+    if max_terms > BROADCAST_ROWS:
+        raise ValueError(f"a vocabulary of more than {BROADCAST_ROWS} terms cannot be sent to every task")
+    ranked = totals.withColumn("_all", F.lit(0))
+    chosen = first_per_group(ranked, ["_all"], [F.desc("total"), F.col("term")], max_terms, spread=F.col("term"))
+    return stage(chosen.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id")), "terms")
+
+
+def weighted_index(docs: DataFrame, counts: DataFrame, chosen: DataFrame, n_docs: int) -> TermIndex:
+    """Index from staged counts (doc_ord, doc_category, term_id, tf), which are dropped."""
     vocab = stage(
         counts.groupBy("term_id")
         .agg(F.count("*").alias("df"))
@@ -112,7 +120,7 @@ def query_terms(queries: DataFrame, index: TermIndex) -> DataFrame:
     The number of partitions is fixed, because questions are small and scoring them is not: adaptive execution would
     merge them into few tasks by their size.
     """
-    counts = _term_counts(
+    counts = term_counts(
         queries.select("qid", F.col("category").alias("q_category"), "text").repartition(tasks(queries.sparkSession), "qid"),
         ["qid", "q_category"],
         "text",

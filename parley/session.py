@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -63,6 +64,14 @@ def stage_counted(df: DataFrame, name: str, count: Column) -> tuple[DataFrame, i
     return staged, seen.get["n"]
 
 
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    """Is there a file below a folder?"""
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,12 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from parley.session import delete_folder, stage
+from parley.session import delete_folder, path_exists, stage
 
 FAN = 8
 BUCKET_IDS = 1_000_000
@@ -40,15 +39,6 @@ class Run:
         return f"run-{self.level}-{self.first}-{self.last}"
 
 
-def exists(spark: SparkSession, folder: str) -> bool:
-    """Is there a file below a folder?"""
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-        return not files.isEmpty()
-    except AnalysisException:
-        return False
-
-
 def _bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets))
 
@@ -67,7 +57,7 @@ class Ledger:
         return sorted((Run(**r.asDict()) for r in rows), key=lambda r: r.first)
 
     def has(self, batch: int) -> bool:
-        return batch < 0 or exists(self.spark, f"{self.folder}/manifest/{batch}")
+        return batch < 0 or path_exists(self.spark, f"{self.folder}/manifest/{batch}")
 
     def paths(self, ids: DataFrame, runs: list[Run]) -> list[str]:
         """Folders of the buckets that ids (column _id) fall into."""

@@ -8,8 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.functions import text as tx
 from parley.operators.retrieval import TermIndex
 from parley.plans.triage import triage
-from parley.session import stage, staged_scope
-from parley.streaming.ledger import Ledger, exists
+from parley.session import path_exists, stage, staged_scope
+from parley.streaming.ledger import Ledger
 
 
 def accepted(messages: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def triage_stream(
     deleted once its decisions are written, or have failed to be.
     """
     spark = messages.sparkSession
-    if exists(spark, out) and not exists(spark, f"{checkpoint}/offsets"):
+    if path_exists(spark, out) and not path_exists(spark, f"{checkpoint}/offsets"):
         raise ValueError(f"{out} holds decisions, but {checkpoint} is new and would write over them")
     ledger_folder = f"{checkpoint.rstrip('/')}-ledger"
 

@@ -59,8 +59,8 @@ def draft_reply(sources: Column) -> Column:
     )
 
 
-def prompt_context(sources: Column, thread_context: Column | None = None) -> Column:
-    """History and numbered precedents as one block of text."""
+def prompt_context(sources: Column, thread_context: Column | None = None, turns: Column | None = None) -> Column:
+    """History and numbered precedents as one block of text. The history is a text, or an array of turns, a line each."""
     lines = F.transform(
         sources,
         lambda s, i: F.format_string(
@@ -76,6 +76,10 @@ def prompt_context(sources: Column, thread_context: Column | None = None) -> Col
         F.size(sources) > 0,
         F.concat(F.lit("RETRIEVED PRECEDENTS & POLICY GUIDANCE:\n"), F.array_join(lines, "\n")),
     ).otherwise(F.lit("RETRIEVED PRECEDENTS: No verified precedents found."))
+    if turns is not None:
+        lines = F.array_join(F.transform(turns, lambda t: F.concat(F.lit("- "), t)), "\n")
+        said = F.when(F.size(turns) > 0, F.concat(F.lit("CONVERSATION HISTORY:\n"), lines))
+        return F.concat_ws("\n\n", said, block)
     if thread_context is None:
         return block
     history = F.when(

@@ -171,8 +171,9 @@ def review_queue(gold: DataFrame, audit_percent: int = 20, seed: int = 42) -> Da
     )
 
 
-def gold_field_aliases(raw: DataFrame) -> DataFrame:
-    """Older field names and defaults to the current gold columns."""
+def gold_field_aliases(raw: DataFrame, documents: bool = False) -> DataFrame:
+    """Older field names and defaults to the current gold columns; with `documents` also the expected doc_ids."""
+    expected = [F.coalesce("grounding_doc_ids", F.array().cast("array<string>")).alias("grounding_doc_ids")] if documents else []
     not_empty = lambda c: F.when(c != "", c)
     return raw.select(
         "id",
@@ -180,4 +181,5 @@ def gold_field_aliases(raw: DataFrame) -> DataFrame:
         F.coalesce(not_empty(F.col("true_intent")), F.col("expected_intent")).alias("true_intent"),
         F.coalesce("true_escalate", "expected_escalate", F.lit(False)).alias("true_escalate"),
         F.coalesce("difficulty", F.lit("routine")).alias("difficulty"),
+        *expected,
     )

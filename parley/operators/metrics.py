@@ -159,9 +159,15 @@ def failure_cases(rows: DataFrame) -> DataFrame:
     )
 
 
+def failing_ids(rows: DataFrame, order: list[str]) -> DataFrame:
+    """position (from 1), id, n_failures: ids with a wrong intent or escalation in input order, and their number."""
+    wrong = failure_cases(rows).select("id")
+    failing = rows.select("id", *[c for c in order if c != "id"]).join(wrong, "id", "left_semi")
+    return running_sums(failing, order, {}, total="n_failures").select("position", "id", "n_failures")
+
+
 def running_accuracy(rows: DataFrame, order: list[str], every: int = 25) -> DataFrame:
     """Cumulative accuracies and missed escalations after every n-th row and the last."""
-    total = rows.count()
     sums = running_sums(
         rows.select(*order, "true_intent", "predicted_intent", "true_escalate", "predicted_escalate"),
         order,
@@ -170,8 +176,9 @@ def running_accuracy(rows: DataFrame, order: list[str], every: int = 25) -> Data
             "right": (_expected() == _predicted()).cast("long"),
             "missed": (_expected() & ~_predicted()).cast("long"),
         },
+        total="_total",
     )
-    return sums.where((F.col("position") % every == 0) | (F.col("position") == total)).select(
+    return sums.where((F.col("position") % every == 0) | (F.col("position") == F.col("_total"))).select(
         "position",
         rounded(F.col("hits") / F.col("position"), 4).alias("intent_accuracy"),
         rounded(F.col("right") / F.col("position"), 4).alias("escalation_accuracy"),

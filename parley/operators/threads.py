@@ -24,21 +24,22 @@ def id_set_union(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def brand_messages(messages: DataFrame, brand: str = fx.BRAND) -> DataFrame:
-    """Brand messages, the messages they answer, and the messages that answer them."""
-    own = messages.where(F.col("author_id") == brand)
-    # Staged, so that the join below shuffles both sides and a tweet with very many answers can be split.
-    own_ids = stage(own.select("tweet_id").distinct(), "brand-ids")
+    """Brand messages, the messages they answer, and the messages that answer them.
+
+    The messages are read twice: ids of the brand's own ones first, then whole rows, flagged by both id sets.
+    """
+    # Staged, so that the joins below shuffle both sides and a tweet with very many answers can be split.
+    own = stage(
+        messages.where(F.col("author_id") == brand).select("tweet_id", "in_response_to_tweet_id"), "brand-ids"
+    )
+    own_ids = own.select("tweet_id").distinct()
     answered = own.where("in_response_to_tweet_id is not null").select(
         F.col("in_response_to_tweet_id").alias("tweet_id")
     )
-    relevant = id_set_union(own_ids, answered)
-    inside = messages.join(relevant, "tweet_id", "left_semi")
-    followups = (
-        messages.where("in_response_to_tweet_id is not null")
-        .join(relevant, "tweet_id", "left_anti")
-        .join(own_ids.select(F.col("tweet_id").alias("in_response_to_tweet_id")), "in_response_to_tweet_id", "left_semi")
-    )
-    return inside.unionByName(followups)
+    relevant = stage(id_set_union(own_ids, answered).select("tweet_id", F.lit(True).alias("_inside")), "brand-relevant")
+    parents = stage(own_ids.select(F.col("tweet_id").alias("in_response_to_tweet_id"), F.lit(True).alias("_follows")), "brand-parents")
+    flagged = messages.join(relevant, "tweet_id", "left").join(parents, "in_response_to_tweet_id", "left")
+    return flagged.where(F.col("_inside") | F.col("_follows")).select(*messages.columns)
 
 
 def _replies(messages: DataFrame, brand: str) -> DataFrame:

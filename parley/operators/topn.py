@@ -65,8 +65,13 @@ def number_rows(df: DataFrame, order: list[str], position: str = "position") ->
     )
 
 
-def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], position: str = "position") -> DataFrame:
-    """Cumulative sums (and the position) in the given total order, one prefix per range partition."""
+def running_sums(
+    df: DataFrame, order: list[str], sums: dict[str, Column], position: str = "position", total: str | None = None
+) -> DataFrame:
+    """Cumulative sums (and the position) in the given total order, one prefix per range partition.
+
+    `total` names a column for the number of all rows.
+    """
     parts = stage(
         df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges"
     )
@@ -78,6 +83,7 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], posit
     shifts = totals.select(
         "_part",
         F.coalesce(F.sum("_n").over(before), zero).alias("_shift"),
+        F.sum("_n").over(Window.partitionBy()).alias("_all"),
         *[F.coalesce(F.sum(f"_total_{name}").over(before), zero).alias(f"_shift_{name}") for name in sums],
     )
     upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -86,4 +92,5 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], posit
     )
     for name, c in sums.items():
         out = out.withColumn(name, F.sum(c).over(upto) + F.col(f"_shift_{name}"))
-    return out.select(*df.columns, position, *sums)
+    final = [F.col("_all").alias(total)] if total else []
+    return out.select(*df.columns, position, *sums, *final)

@@ -21,7 +21,8 @@ def build_pairs(messages: DataFrame, brand: str = fx.BRAND, max_pairs: int | Non
 
 
 def explore(pairs: DataFrame) -> dict[str, DataFrame]:
-    """Every profile table of a pair corpus, by name."""
+    """Every profile table of a pair corpus, by name. The pairs are staged once, whatever they are built from."""
+    pairs = stage(pairs, "explored-pairs")
     return {
         "summary": profile.corpus_summary(pairs),
         "customer_lengths": profile.length_stats(pairs, "customer_message"),

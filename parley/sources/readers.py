@@ -110,7 +110,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: str = schemas.EVALUATED, lines: bool = False) -> DataFrame:
     """A JSON array of records per file, or with `lines` one record per line. Only lines can be split among tasks."""
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
 
 
 def read_baseline_results(spark: SparkSession, path: str) -> DataFrame:

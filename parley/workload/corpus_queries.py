@@ -265,12 +265,12 @@ def _(spark, sf):
 # Profiles ------------------------------------------------------------------
 
 
-def _stats(unit: str, expr: str) -> str:
+def _stats(unit: str, expr: str, source: str = "documents", column: str = "text") -> str:
     quant = lambda p: f"round(quantile_cont(n, {p}), 4)"
     return (
         f"SELECT '{unit}' AS unit, count(*) AS texts, round(avg(n), 4) AS mean, {quant(0.5)} AS median, round(stddev_samp(n), 4) AS std, "
         f"min(n)::INT AS min, {quant(0.25)} AS p25, {quant(0.75)} AS p75, {quant(0.95)} AS p95, max(n)::INT AS max "
-        f"FROM (SELECT {expr} AS n FROM documents WHERE text IS NOT NULL)"
+        f"FROM (SELECT {expr} AS n FROM {source} WHERE {column} IS NOT NULL)"
     )
 
 
@@ -435,6 +435,10 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_LENGTHS = ["texts", "mean", "median", "std", "min", "p25", "p75", "p95", "max"]
+_SHARES = ["total", "distinct_values", "uniqueness_ratio", "top_10_share_pct"]
+
+
 def _explore_sql() -> str:
     cols = ["total_pairs", "conversations", "opening_pairs", "followup_pairs", "opening_pct", "followup_pct"]
     parts = [f"SELECT 'summary' AS section, '{c}' AS key, {c}::DOUBLE AS value FROM ({_SUMMARY} pairs)" for c in cols]
@@ -450,6 +454,14 @@ def _explore_sql() -> str:
         parts.append(f"SELECT '{name}', gram, n::DOUBLE FROM ({sql})")
     for name, col in [("top_replies", "brand_reply"), ("top_messages", "customer_message")]:
         parts.append(f"SELECT '{name}', v, n::DOUBLE FROM (SELECT {col} AS v, count(*) AS n FROM pairs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)")
+    for name, col in [("customer_lengths", "customer_message"), ("reply_lengths", "brand_reply")]:
+        for unit, expr in (("char", f"length({col})"), ("word", s.word_count(col))):
+            stats = _stats(unit, expr, "pairs", col)
+            parts += [f"SELECT '{name}', '{unit} {c}', round({c}, 4)::DOUBLE FROM ({stats})" for c in _LENGTHS]
+    for name, col in [("reply_boilerplate", "brand_reply"), ("customer_boilerplate", "customer_message")]:
+        parts += [f"SELECT '{name}', '{c}', {c}::DOUBLE FROM ({_boiler(col)})" for c in _SHARES]
+    parts += [f"SELECT 'date_range', strftime({fn}({parsed}), '%Y-%m-%d'), 1::DOUBLE FROM pairs" for fn in ("min", "max")]
+    parts.append(f"SELECT 'sample', pair_id, 1::DOUBLE FROM ({_sample_sql(30, 10)})")
     return s.with_(["pairs"], " UNION ALL ".join(parts))
 
 
@@ -464,4 +476,20 @@ def _(spark, sf):
         rows = rows.unionByName(
             out[name].select(F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
         )
-    return rows
+
+    def wide(name, df, columns, lead=""):
+        value = lambda c: rounded(F.col(c).cast("double"), 4) if name.endswith("lengths") else F.col(c).cast("double")
+        key = lambda c: F.concat(F.col(lead), F.lit(f" {c}")) if lead else F.lit(c)
+        cells = F.array(*[F.struct(key(c).alias("key"), value(c).alias("value")) for c in columns])
+        return df.select(F.lit(name).alias("section"), F.explode(cells).alias("e")).select("section", "e.key", "e.value")
+
+    def names(name, df, column):
+        return df.select(F.lit(name).alias("section"), F.col(column).cast("string").alias("key"), F.lit(1.0).alias("value"))
+
+    for name in ("customer_lengths", "reply_lengths"):
+        rows = rows.unionByName(wide(name, out[name], _LENGTHS, "unit"))
+    for name in ("reply_boilerplate", "customer_boilerplate"):
+        rows = rows.unionByName(wide(name, out[name], _SHARES))
+    for column in ("min_date", "max_date"):
+        rows = rows.unionByName(names("date_range", out["date_range"], column))
+    return rows.unionByName(names("sample", out["sample"], "pair_id"))

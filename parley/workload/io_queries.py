@@ -131,6 +131,14 @@ def _(spark, sf):
     return readers.read_records(spark, path, lines=True).select(*_RESULT_COLS.split(", "))
 
 
+@query("scan_result_records", s.with_(KEYWORD_RUN, f"SELECT {_RESULT_COLS} FROM base"))
+def _(spark, sf):
+    """Files that each hold one JSON array of records."""
+    path = _folder(spark, "result-arrays")
+    writers.write_record_arrays(_results(spark, sf), path, ["id"], 500)
+    return readers.read_records(spark, path).select(*_RESULT_COLS.split(", "))
+
+
 @query("scan_result_json_array", s.with_(_RUNS, rates_sql("runs", "system")))
 def _(spark, sf):
     """Nested baseline results: one JSON object with a map of systems, as written by the summary sink."""

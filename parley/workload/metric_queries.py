@@ -466,10 +466,27 @@ _EVAL = ["gold", triage_ctes("gold", "id", "message_text")] + [
 ]
 
 
+_MACRO = ["macro_precision", "macro_recall", "macro_f1"]
+_CELLS = f"SELECT t, p, count(id) AS n FROM ({_GRID}) LEFT JOIN records ON t = true_intent AND p = predicted_intent GROUP BY ALL"
+_WRONG = {"wrong_intent": "true_intent <> predicted_intent", "wrong_escalation": "true_escalate <> predicted_escalate"}
+_SYSTEMS = ["trivial_always_escalate", "simple_keyword_baseline", "production", "delta"]
+
+
+def _scorecard_rows() -> list[str]:
+    """Metric by system, from the rates of the records (r) and of the baselines (b)."""
+    rows = []
+    for metric, column in _NAMES:
+        one = f"(SELECT {column} FROM b WHERE system = '{{}}')"
+        always, keyword = one.format("trivial_always_escalate"), one.format("simple_keyword_baseline")
+        values = [always, keyword, column, f"round({column} - {keyword}, 4)"]
+        rows += [f"SELECT 'scorecard', '{metric}', '{k}', ({v})::DOUBLE FROM r" for k, v in zip(_SYSTEMS, values)]
+    return rows
+
+
 @query(
     "evaluate",
     s.with_(
-        _EVAL,
+        _EVAL + _RUNS[1:] + [("r", rates_sql("records")), ("b", rates_sql("runs", "system"))],
         " UNION ALL ".join(
             [f"SELECT 'rates' AS scope, 'all' AS key, '{k}' AS metric, {k}::DOUBLE AS value FROM ({rates_sql('records')})" for k in ["tp", "fp", "tn", "fn", *RATES]]
             + [f"SELECT 'intent', intent, '{k}', {k}::DOUBLE FROM ({prf_sql('records')})" for k in ("precision", "recall", "f1", "support")]
@@ -478,29 +495,84 @@ _EVAL = ["gold", triage_ctes("gold", "id", "message_text")] + [
                 f"SELECT 'judge', 'all', '{k}', {k}::DOUBLE FROM (SELECT {_SUMMARY} FROM ejudged)"
                 for k in [f"mean_{a}" for a in [*_SCORES, "overall_score"]] + ["pass_rate", "total_evaluated"]
             ]
+            + [f"SELECT 'macro', 'all', '{k}', round(avg({k.removeprefix('macro_')}), 4)::DOUBLE FROM ({prf_sql('records')})" for k in _MACRO]
+            + [f"SELECT 'confusion', t || ' > ' || p, 'n', n::DOUBLE FROM ({_CELLS})"]
+            + [f"SELECT 'failures', id, '{k}', ({v})::INT::DOUBLE FROM records WHERE {' OR '.join(_WRONG.values())}" for k, v in _WRONG.items()]
+            + [f"SELECT 'safety', CASE WHEN fn = 0 THEN {s.q(fx.SAFETY_PASS)} ELSE 'FAIL: ' || fn || ' Critical False Auto-Handles detected' END, 'fn', fn::DOUBLE FROM r"]
+            + [f"SELECT 'baseline', system, '{k}', {k}::DOUBLE FROM b" for k in ["tp", "fp", "tn", "fn", *RATES]]
+            + _scorecard_rows()
         ),
     ),
 )
 def _(spark, sf):
     from parley.session import stage
 
-    records = stage(plan.evaluated_records(seeds.gold(spark, sf), store_index(spark, sf)), "records")
-    tables = plan.evaluate(records)
+    gold = seeds.gold(spark, sf)
+    records = stage(plan.evaluated_records(gold, store_index(spark, sf)), "records")
+    tables = plan.evaluate(records, gold)
+    everything = F.lit("all")
+    counts = ["tp", "fp", "tn", "fn", *RATES]
+    judged = [f"mean_{a}" for a in [*_SCORES, "overall_score"]] + ["pass_rate", "total_evaluated"]
+    tiers = ["count", "intent_accuracy", "escalation_accuracy", "missed_escalations"]
+    safety = tables["safety"].withColumn("fn", tables["rates"].select("fn").scalar())
+    return (
+        _tall(tables["rates"], "rates", everything, counts)
+        .unionByName(_tall(tables["per_intent"], "intent", F.col("intent"), ["precision", "recall", "f1", "support"]))
+        .unionByName(_tall(tables["tiers"], "tier", F.col("difficulty"), tiers))
+        .unionByName(_tall(tables["judge"], "judge", everything, judged))
+        .unionByName(_tall(tables["macro"], "macro", everything, _MACRO))
+        .unionByName(_tall(tables["confusion"], "confusion", F.concat("true_intent", F.lit(" > "), "predicted_intent"), ["n"]))
+        .unionByName(_tall(tables["failures"], "failures", F.col("id"), list(_WRONG)))
+        .unionByName(_tall(safety, "safety", F.col("safety_assessment"), ["fn"]))
+        .unionByName(_tall(tables["baselines"], "baseline", F.col("system"), counts))
+        .unionByName(_tall(tables["scorecard"], "scorecard", F.col("metric"), _SYSTEMS))
+    )
+
+
+def _tall(df, scope, key, names):
+    entries = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return df.select(F.lit(scope).alias("scope"), key.alias("key"), F.explode(entries).alias("e")).select("scope", "key", "e.metric", "e.value")
+
+
+# The other scoring path: expected documents against retrieved ones, contents alone as context of the rubric.
+
+_EXPECTED = "CASE WHEN difficulty = 'low_signal' THEN [] ELSE ['POLICY_' || upper(true_intent), 'REPLY_1'] END"
+_GROUNDED = _EVAL[:2] + [
+    (
+        "records",
+        "SELECT g.id, g.difficulty, g.message_text, g.true_intent, g.true_escalate, t.intent AS predicted_intent, t.escalate AS predicted_escalate, t.draft_reply, "
+        f"{_EXPECTED} AS expected, ids, array_to_string(contents, chr(10)) AS context FROM gold g JOIN triaged t USING (id)",
+    ),
+    ("ejudged", judge_sql("message_text", "context", "draft_reply", "predicted_escalate", "records")),
+    ("failing", f"SELECT id, row_number() OVER (ORDER BY id) AS position, count(*) OVER () AS n FROM records WHERE {' OR '.join(_WRONG.values())}"),
+]
+
 
-    def tall(df, scope, key, names):
-        entries = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
-        return df.select(F.lit(scope).alias("scope"), key.alias("key"), F.explode(entries).alias("e")).select("scope", "key", "e.metric", "e.value")
+@query(
+    "evaluate_grounded",
+    s.with_(
+        _GROUNDED,
+        " UNION ALL ".join(
+            [f"SELECT 'rates' AS scope, 'all' AS key, '{k}' AS metric, {k}::DOUBLE AS value FROM ({rates_sql('records')})" for k in ["tp", "fp", "tn", "fn", *RATES]]
+            + ["SELECT 'rates', 'all', 'grounding_hit_rate', round(avg((len(expected) = 0 OR len(list_intersect(expected, ids)) > 0)::INT), 4)::DOUBLE FROM records"]
+            + [f"SELECT 'judge', 'all', '{k}', {k}::DOUBLE FROM (SELECT {_SUMMARY} FROM ejudged)" for k in [f"mean_{a}" for a in _SCORES] + ["pass_rate"]]
+            + ["SELECT 'failures', id, 'position', position::DOUBLE FROM failing", "SELECT 'failures', id, 'n_failures', n::DOUBLE FROM failing"]
+        ),
+    ),
+)
+def _(spark, sf):
+    from parley.session import stage
 
+    none = F.array().cast("array<string>")
+    expected = F.when(F.col("difficulty") == "low_signal", none).otherwise(
+        F.array(F.concat(F.lit("POLICY_"), F.upper("true_intent")), F.lit("REPLY_1"))
+    )
+    gold = seeds.gold(spark, sf).withColumn("grounding_doc_ids", expected)
+    records = stage(plan.grounded_records(gold, store_index(spark, sf), judge=True), "grounded")
+    tables = plan.classification(records)
+    judged = [f"mean_{a}" for a in _SCORES] + ["pass_rate"]
     return (
-        tall(tables["rates"], "rates", F.lit("all"), ["tp", "fp", "tn", "fn", *RATES])
-        .unionByName(tall(tables["per_intent"], "intent", F.col("intent"), ["precision", "recall", "f1", "support"]))
-        .unionByName(tall(tables["tiers"], "tier", F.col("difficulty"), ["count", "intent_accuracy", "escalation_accuracy", "missed_escalations"]))
-        .unionByName(
-            tall(
-                tables["judge"],
-                "judge",
-                F.lit("all"),
-                [f"mean_{a}" for a in [*_SCORES, "overall_score"]] + ["pass_rate", "total_evaluated"],
-            )
-        )
+        _tall(tables["rates"], "rates", F.lit("all"), ["tp", "fp", "tn", "fn", *RATES, "grounding_hit_rate"])
+        .unionByName(_tall(tables["judge"], "judge", F.lit("all"), judged))
+        .unionByName(_tall(tables["failures"], "failures", F.col("id"), ["position", "n_failures"]))
     )

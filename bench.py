@@ -55,9 +55,9 @@ def jobs_for(spark, sf: str) -> dict:
     return {
         "dialogue_pairs_conversations": lambda: run(corpus.build_pairs(seeds.chat(spark, sf))),
         "dialogue_pairs_reply_tree": lambda: run(corpus.build_pairs(seeds.tree(spark, sf))),
-        "length_stats_documents": lambda: run(profile.length_stats(seeds.table(spark, SF, "documents"), "text")),
-        "ngrams_documents": lambda: run(profile.ngram_topk(seeds.table(spark, SF, "documents"), "text")),
-        "pii_audit_documents": lambda: run(profile.pii_audit(seeds.table(spark, SF, "documents"), "text")),
+        "length_stats_documents": lambda: run(profile.length_stats(seeds.table(spark, sf, "documents"), "text")),
+        "ngrams_documents": lambda: run(profile.ngram_topk(seeds.table(spark, sf, "documents"), "text")),
+        "pii_audit_documents": lambda: run(profile.pii_audit(seeds.table(spark, sf, "documents"), "text")),
         "boilerplate_pairs": lambda: run(profile.boilerplate_report(seeds.pairs(spark, sf), "customer_message")),
         "build_precedents": build_precedents,
         "index_precedents": index_precedents,

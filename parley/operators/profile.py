@@ -10,6 +10,7 @@ from parley.fixed.word_lists import SCAN_PATTERNS, STOPWORDS
 from parley.functions import text as tx
 from parley.functions.prefilter import fold
 from parley.functions.rates import rounded
+from parley.operators import heavy
 from parley.operators.topn import first_per_group
 
 
@@ -104,9 +105,8 @@ def corpus_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-def ngram_counts(
-    df: DataFrame, column: str, n: int = 2, opening_only: bool = False, remove_stopwords: bool = False
-) -> DataFrame:
+def ngrams(df: DataFrame, column: str, n: int = 2, opening_only: bool = False, remove_stopwords: bool = False) -> DataFrame:
+    """gram: every occurrence of an n-gram of words."""
     words = tx.latin_words(F.col(column))
     if opening_only:
         words = F.slice(words, 1, 6)
@@ -114,11 +114,7 @@ def ngram_counts(
         stop = F.expr(tx.literals(STOPWORDS))
         words = F.filter(words, lambda w: ~F.array_contains(stop, w))
     grams = df.where(F.col(column).isNotNull()).select(words.alias("words"))
-    return (
-        grams.select(F.explode(tx.ngrams(F.col("words"), n)).alias("gram"))
-        .groupBy("gram")
-        .agg(F.count("*").alias("n"))
-    )
+    return grams.select(F.explode(tx.ngrams(F.col("words"), n)).alias("gram"))
 
 
 def ngram_topk(
@@ -128,10 +124,10 @@ def ngram_topk(
     top_k: int = 20,
     opening_only: bool = False,
     remove_stopwords: bool = False,
+    two_rounds: bool | None = None,
 ) -> DataFrame:
-    """Most frequent n-grams; ties go to the smaller gram."""
-    counts = ngram_counts(df, column, n, opening_only, remove_stopwords)
-    return counts.orderBy(F.desc("n"), "gram").limit(top_k)
+    """Most frequent n-grams; ties go to the smaller gram. Large inputs are counted in two rounds (see `heavy`)."""
+    return heavy.most_frequent(ngrams(df, column, n, opening_only, remove_stopwords), "gram", top_k, two_rounds)
 
 
 def opening_bigrams(pairs: DataFrame) -> DataFrame:
@@ -151,18 +147,15 @@ def content_bigrams(pairs: DataFrame) -> DataFrame:
 
 
 def boilerplate_values(df: DataFrame, column: str, top_k: int = 15) -> DataFrame:
-    """Most repeated texts of a column."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "value").limit(top_k)
+    """Most repeated texts of a column, counted by digest."""
+    return heavy.most_frequent_texts(df, column, top_k)
 
 
 def boilerplate_report(df: DataFrame, column: str) -> DataFrame:
-    """Distinct share of a column and the share of rows held by its ten most frequent texts."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    totals = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("value").alias("distinct_values")
-    )
-    known = counts.where("value is not null").select("n")
+    """Distinct share of a column and the share of rows held by its ten most frequent texts, all counted by digest."""
+    counts = heavy.digest_counts(df, column)
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("_md5").alias("distinct_values"))
+    known = counts.where("_md5 is not null").select("n")
     top = known.orderBy(F.desc("n")).limit(10).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("top_rows"))
     return totals.withColumn("top_rows", top.scalar()).select(
         F.lit(column).alias("column"),

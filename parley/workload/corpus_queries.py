@@ -339,6 +339,12 @@ def _(spark, sf):
     return profile.ngram_topk(seeds.table(spark, sf, "documents"), "text", 2, 50)
 
 
+@query("ngram_topk_two_rounds", ngram_sql("documents", "text", 2, 50))
+def _(spark, sf):
+    # As for a table of many partitions.
+    return profile.ngram_topk(seeds.table(spark, sf, "documents"), "text", 2, 50, two_rounds=True)
+
+
 _OPENINGS = "(SELECT * FROM pairs WHERE turn_index = 1)"
 for _name, _fn, _sql in [
     ("opening_bigrams", profile.opening_bigrams, ngram_sql(_OPENINGS, "customer_message", 2, 15, opening=True)),

@@ -11,11 +11,12 @@ from parley.fixed import wording as fx
 from parley.fixed.gold_strata import CURATED_ROWS, GOLD_STRATA
 from parley.functions import text as tx
 from parley.functions.prefilter import fold
+from parley.operators.assignment import WALK_ROWS, assign
 from parley.operators.intents import heuristic_intent
 from parley.operators.policy import gold_escalation_label
 from parley.operators.taxonomy import MANDATORY
 from parley.operators.threads import PAIR_ORDER
-from parley.operators.topn import first_per_group
+from parley.operators.topn import first_per_group, number_rows
 from parley.session import stage
 
 GOLD_COLUMNS = [f.strip().split(" ")[0] for f in schemas.GOLD.split(",")]
@@ -30,13 +31,16 @@ def exclude_used(pool: DataFrame, used: DataFrame, key: str = "pair_id") -> Data
     return pool.join(used.select(key), key, "left_anti")
 
 
-def stratified_pick(candidates: DataFrame, order: list[str] = PAIR_ORDER) -> DataFrame:
-    """For each stratum in turn, its first matching rows that no earlier stratum took.
+def stratified_pick(
+    candidates: DataFrame, order: list[str] = PAIR_ORDER, scale: int = 1, walk_rows: int = WALK_ROWS
+) -> DataFrame:
+    """For each stratum in turn, its first matching rows that no earlier stratum took; quotas are multiplied by `scale`.
 
     Earlier strata can take at most the sum of their quotas, so the first rows of each stratum up to the sum of all
-    quotas decide the result. Those few are found with distributed steps and then walked.
+    quotas decide the result. Those few are found with distributed steps and then walked. Where they can be more than
+    `walk_rows`, parallel rounds settle the same selection instead.
     """
-    quotas = [q for _, _, _, q in GOLD_STRATA]
+    quotas = [q * scale for _, _, _, q in GOLD_STRATA]
     bound = sum(quotas)
     folded = candidates.withColumn("_folded", fold(F.col("customer_message")))
     patterns = [p for _, p, _, _ in GOLD_STRATA]
@@ -45,6 +49,12 @@ def stratified_pick(candidates: DataFrame, order: list[str] = PAIR_ORDER) -> Dat
         F.struct(*order).alias("pos"),
         "pair_id",
     )
+    if len(quotas) * bound > walk_rows:
+        quota = F.get(F.array(*[F.lit(q) for q in quotas]), F.col("stratum"))
+        taken = assign(tagged, "pair_id", "stratum", "stratum", "pos", quota, max(quotas))
+        flat = taken.select("stratum", "pair_id", *[F.col("pos")[c].alias(f"o{i}") for i, c in enumerate(order)])
+        placed = number_rows(flat, ["stratum", *[f"o{i}" for i in range(len(order))]])
+        return candidates.join(placed.select(F.col("position").cast("long").alias("gold_ord"), "stratum", "pair_id"), "pair_id")
     few = first_per_group(tagged, ["stratum"], [F.col("pos")], bound, spread=F.col("pair_id"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from parley.fixed import wording as fx
 from parley.functions import text as tx
+from parley.operators.assignment import WALK_ROWS, assign
 from parley.operators.intents import heuristic_intent
 from parley.operators.taxonomy import INTENT_NAMES, policy_documents
 from parley.operators.threads import PAIR_ORDER
-from parley.operators.topn import first_per_group
+from parley.operators.topn import first_per_group, number_rows
 
 N_POLICIES = len(INTENT_NAMES)
 
@@ -43,6 +44,7 @@ def greedy_cap(
     special_caps: dict[str, int] | None = None,
     stop_at: int | None = None,
     order: list[str] = PAIR_ORDER,
+    walk_rows: int = WALK_ROWS,
 ) -> DataFrame:
     """Walk the pairs in order; accept one unless its reply signature is already accepted or its intent is full.
 
@@ -50,6 +52,7 @@ def greedy_cap(
     accepted. At most `stop_at` signatures are accepted, so at most that many rows of an intent can be passed over
     for their signature, and the first cap + stop_at rows of each intent decide everything. Those are found with
     distributed steps; the walk itself sees a number of rows set by the parameters, whatever the corpus size.
+    Where the parameters allow more than `walk_rows`, parallel rounds settle the same selection instead.
     """
     special = special_caps or {}
     total = sum(special.get(i, cap) for i in INTENT_NAMES)
@@ -72,6 +75,14 @@ def greedy_cap(
     firsts = rows.groupBy("signature", "category").agg(
         F.min("pos").alias("pos"), F.min_by("doc", "pos").alias("doc")
     )
+    most = max([cap, *special.values()])
+    if len(INTENT_NAMES) * (most + stop) > walk_rows:
+        taken = assign(firsts, "signature", "category", "pos", "pos", _caps(cap, special), most)
+        flat = taken.select("category", *[F.col("pos")[c].alias(f"o{i}") for i, c in enumerate(order)], "doc.*")
+        placed = number_rows(flat, [f"o{i}" for i in range(len(order))]).where(F.col("position") <= stop)
+        return placed.select(
+            (F.col("position") - 1).cast("long").alias("accept_ord"), "pair_id", "title", "category", "content", "source_url_or_id"
+        )
     few = first_per_group(
         firsts, ["category"], [F.col("pos")], max([cap, *special.values()]) + stop, spread=F.col("signature")
     ).where(F.col("rank") <= _caps(cap, special) + stop)

@@ -121,3 +121,55 @@ def test_positions_and_running_sums(spark):
 def test_english_filter(spark):
     df = spark.createDataFrame([("hello there",), ("сколько это стоит",), ("hi",), ("   ab   ",)], "t string")
     assert [r[0] for r in df.select(tx.is_english(F.col("t"))).collect()] == [True, False, False, False]
+
+
+@pytest.mark.parametrize("cap,special,stop,signatures", [(3, {}, 36, 40), (5, {"other_unclear": 2}, 9, 6), (2, {"returns_refunds": 7}, 400, 300)])
+def test_rounds_equal_the_sequential_walk(spark, cap, special, stop, signatures):
+    rows = random_pairs(random.Random(cap), 400, signatures)
+    got = precedents.greedy_cap(spark.createDataFrame(rows, PAIRS), cap, special, stop, walk_rows=0).orderBy("accept_ord").collect()
+    assert [r.pair_id for r in got] == walk(rows, cap, special, stop)
+    assert [r.accept_ord for r in got] == list(range(len(got)))
+
+
+def test_rounds_at_caps_of_a_million(spark):
+    """The default bound sends caps of this size to the rounds; some intents fill, most do not."""
+    rows = random_pairs(random.Random(8), 20_000, 6_000)
+    special = {"returns_refunds": 900, "other_unclear": 300}
+    got = precedents.greedy_cap(spark.createDataFrame(rows, PAIRS), 1_000_000, special, 5_000).orderBy("accept_ord").collect()
+    assert [r.pair_id for r in got] == walk(rows, 1_000_000, special, 5_000)
+    assert len(got) > 3_000
+
+
+def test_strata_in_rounds_equal_the_walk(spark):
+    words = ["where is my", "tracking number", "return label", "how do i return", "broken", "hacked", "charged twice", "stolen", "delivered", "refund"]
+    rng = random.Random(11)
+    rows = [
+        (f"p{i:05d}", f"{rng.randint(0, 90)}", 1, f"{i:06d}", " ".join(rng.sample(words, 3)) + " please", "a long enough reply", "None")
+        for i in range(600)
+    ]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    for scale in (1, 3):
+        pick = lambda bound: sorted((r.gold_ord, r.stratum, r.pair_id) for r in gold.stratified_pick(pairs, scale=scale, walk_rows=bound).collect())
+        walked = pick(10**9)
+        assert pick(0) == walked and len(walked) > 30
+
+
+def test_length_sketches_merge(spark):
+    from parley.operators import profile
+
+    rng = random.Random(2)
+    texts = ["x" * min(int(rng.paretovariate(0.6)), 9_000) for _ in range(30_000)] + [None, ""]
+    whole = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    parts = [profile.length_sketch(whole.where(F.col("i") % 3 == k), "t") for k in range(3)]
+    merged = profile.merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    exact = {r.unit: r for r in profile.length_stats(whole, "t").collect()}
+    lengths = sorted(len(t) for t in texts if t is not None)
+    for r in profile.sketch_stats(merged).collect():
+        e = exact[r.unit]
+        assert (r.texts, r.min, r.max) == (e.texts, e.min, e.max)
+        assert r["mean"] == pytest.approx(e["mean"]) and r["std"] == pytest.approx(e["std"])
+        if r.unit == "char":
+            for q, value in ((0.25, r.p25), (0.5, r.median), (0.75, r.p75), (0.95, r.p95)):
+                below, upto = sum(x < value for x in lengths), sum(x <= value for x in lengths)
+                assert below / len(lengths) - 0.02 <= q <= upto / len(lengths) + 0.02
+    assert profile.sketch_stats(profile.merge_sketches(profile.length_sketch(whole.limit(0), "t"))).count() == 0

@@ -1,7 +1,8 @@
 """Exact duplicates by progressive refinement: length, then hash of a prefix, then hash of the whole text.
 
-Each level only looks at the rows whose group of the level before has more than one member. The whole text is hashed
-for survivors alone, and only they take part in the last grouping.
+Each level only looks at the rows whose group of the level before has more than one member: a prefix is hashed where
+another text has the same length, the whole text where another one has the same length and prefix hash, and only those
+take part in the last grouping.
 
 Cases: null text counts as empty. Of equal texts the row with the largest id stays; null ids come last, and of
 repeated rows with that id exactly one stays. An empty table gives an empty result. Columns named like the
@@ -16,19 +17,15 @@ from pyspark.sql import functions as F
 from parley.session import stage, stage_counted
 
 PREFIX = 256
-# A table of up to so many (length, prefix hash) pairs, 16 bytes each, is sent to every task.
+# A table of up to so many lengths, or pairs of length and prefix hash, 16 bytes each, is sent to every task.
 BROADCAST_PAIRS = 500_000
 
 
-def _levels(docs: DataFrame, text: str, prefix: int) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns(
-        {
-            "_whole": whole,
-            "_bytes": F.octet_length(whole),
-            "_head": F.xxhash64(F.substring(F.encode(whole, "utf-8"), 1, prefix)),
-        }
-    )
+def _repeated(rows: DataFrame, keys: list[str], mark: str, name: str) -> DataFrame:
+    """Keys with more than one row, marked; counts are summed before the shuffle."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias(mark))
+    found, n = stage_counted(found, name, F.count("*"))
+    return F.broadcast(found) if n <= BROADCAST_PAIRS else found
 
 
 def exact_groups(
@@ -38,20 +35,23 @@ def exact_groups(
 
     `carry` is evaluated where the text is read, and travels with the row.
     """
-    rows = _levels(docs, text, prefix)
-    # Level 1 and 2: counts only, summed before the shuffle.
-    lengths = rows.select("_bytes", "_head").groupBy("_bytes", "_head").agg(F.count("*").alias("_n"))
-    open_pairs, n_pairs = stage_counted(
-        lengths.where(F.col("_n") > 1).select("_bytes", "_head", F.lit(True).alias("_open")), "dup-pairs", F.count("*")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # Built from the input alone, so that columns of any name can be carried.
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), carry.alias("carried"), whole.alias("_whole"), F.octet_length(whole).alias("_bytes")
     )
-    if n_pairs <= BROADCAST_PAIRS:
-        open_pairs = F.broadcast(open_pairs)
+    # Level 1: lengths.
+    lengths = _repeated(rows.select("_bytes"), ["_bytes"], "_long", "dup-lengths")
+    # Level 2: hash of a prefix, of the rows whose length is not alone.
+    head = F.when(F.col("_long"), F.xxhash64(F.substring(F.encode(F.col("_whole"), "utf-8"), 1, prefix)))
+    rows = rows.join(lengths, "_bytes", "left").withColumn("_head", head)
+    open_pairs = _repeated(rows.where("_long").select("_bytes", "_head"), ["_bytes", "_head"], "_open", "dup-pairs")
     # Level 3: the whole text, for survivors.
     sha = F.when(F.col("_open"), F.sha2(F.encode(F.col("_whole"), "utf-8"), 256))
     narrow = stage(
         rows.join(open_pairs, ["_bytes", "_head"], "left").select(
-            F.col(doc_id).alias("doc_id"),
-            carry.alias("carried"),
+            "doc_id",
+            "carried",
             sha.alias("sha256"),
             F.monotonically_increasing_id().alias("_tag"),
         ),

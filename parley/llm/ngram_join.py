@@ -268,7 +268,7 @@ def _link_unit(pdf):
 
 
 def join(docs: DataFrame, words: int = WORDS, unit: int = UNIT) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and component_id of every row."""
+    """doc_id, n_shingles, node (null for an empty set), root (node of the component) and component_id of every row."""
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(buckets, words), _BLOCK)
@@ -321,22 +321,29 @@ def join(docs: DataFrame, words: int = WORDS, unit: int = UNIT) -> DataFrame:
 
     sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("_least"))
     if roots is None:
-        named = sets.select("node", F.col("_least").alias("component_id"))
+        named = sets.select("node", F.col("node").alias("root"), F.col("_least").alias("component_id"))
     else:
         sets = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = sets.groupBy("root").agg(F.min("_least").alias("component_id"))
-        named = sets.join(least, "root").select("node", "component_id")
+        named = sets.join(least, "root").select("node", "root", "component_id")
     named = stage(named, "components")
     return rows.join(named, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "root", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with one document of each group, the one with the smallest id; all columns kept.
 
-    Rows without an id stay. Rows that share an id stay or go together.
+    Rows are told apart by the hash of id and text, so rows that share an id are kept or dropped each on its own, and
+    rows with the same id and text stay or go together. Null ids come last. Texts without a word stay.
     """
-    gone = join(docs, words).where("doc_id != component_id").select("doc_id").distinct()
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    found = join(docs.select(key.alias("doc_id"), "text"), words).where("root IS NOT NULL").select(F.col("doc_id").alias("key"), "root")
+    named = found.distinct().join(docs.select(key.alias("key"), F.col("doc_id").alias("id")).distinct(), "key")
+    named = stage(named, "near-rows")
+    # Staged, so that the join shuffles both sides directly and a very large group can be split.
+    first = stage(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")), "near-firsts")
+    gone = named.join(first, "root").where("key != first.key").select(F.col("key").alias("gone")).distinct()
     gone, n = stage_counted(gone, "near-copies", F.count("*"))
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, key == F.col("gone"), "left_anti")

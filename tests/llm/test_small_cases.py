@@ -184,3 +184,33 @@ def test_html(spark):
     assert text[3] == "T 3\nOne&3 more\nTwo 3"
     assert text[10] == text[11] == "" and text[12] == "plain text"
     assert html_templates.extract(pages.where("page_id < 0")).count() == 0
+
+
+def test_exact_dedup_carries_columns_of_any_name(spark):
+    rows = [(1, "same", "h", 7, "w", "b"), (2, "same", "i", 8, "x", "c"), (3, "other", "j", 9, "y", "d"), (4, "oth3r", "k", 1, "z", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _head string, _bytes long, _whole string, _long string")
+    assert sorted(tuple(r) for r in exact_dedup.drop_copies(docs).collect()) == rows[1:]
+
+
+def test_near_copies_go_by_row(spark):
+    one = " ".join(f"w{i}" for i in range(60))
+    near, other = one + " more", " ".join(f"v{i}" for i in range(60))
+    rows = [(3, one), (5, near), (5, other), (None, near + " words"), (None, "five words that stand alone here"), (9, None)]
+    left = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+
+
+def test_search_keeps_queries_apart_that_share_an_id(spark):
+    rows = [(50, "alpha beta"), (50, "alpha beta"), (1, "alpha gamma"), (2, "delta"), (50, "delta epsilon")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    twice = topk_search.search(docs, F.col("doc_id") == 50).collect()
+    alone = topk_search.search(docs.where("doc_id != 50").unionByName(docs.limit(0)), F.col("doc_id") == 1).collect()
+    assert alone[0].doc_id == 1
+    by_query = {}
+    for r in twice:
+        by_query.setdefault(round(r.score, 9), 0)
+        by_query[round(r.score, 9)] += 1
+    tops = sorted(round(r.score, 9) for r in twice if r["rank"] == 1)
+    # Both copies ask alike and get the same best score; the third text is a query of its own.
+    assert len(tops) == 3 and tops[0] == tops[1] or tops[1] == tops[2]
+    assert {r.query_id for r in twice} == {50} and len([r for r in twice if r["rank"] == 1]) == 3

@@ -4,7 +4,8 @@ Two documents with sets of a and b shingles link when 4 * common >= 3 * union, s
 of the larger set. Only shingles that occur in two different sets can be shared:
 
 1. Sets are hashed to a node; equal sets are one node. Occurrences travel in binary blocks to one of many hash
-   buckets, where the list of every shingle is counted; occurrences of lists of length one stop there.
+   buckets, whose number follows from the bytes of all texts. A bucket is one task, which counts the list of every
+   shingle part by part; occurrences of lists of length one stop there.
 2. A node with fewer shared shingles than three quarters of its set can link with nothing. Of the others, the
    rarest shingles that any partner must hit (the prefix in order of list length) tie nodes into candidate clusters.
 3. Inside a cluster the inverted lists are searched for documents with the required number of common shingles T:
@@ -34,13 +35,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.memory import tidy
+from parley.llm.memory import give_back, tidy
 from parley.session import stage, stage_counted
 
 WORDS = 5
 NUM, DEN = 3, 4  # a link needs DEN * common >= NUM * union
 FLUSH = 300_000
 UNIT = 4_000_000
+# A bucket gets the occurrences of about so many bytes of text, and so many of them are sorted at once.
+BUCKET_BYTES = 24_000_000
+PART = 500_000
 # Up to so many ids of dropped documents are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -136,41 +140,48 @@ def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _LIST.split(", ")]
     bucket, held = None, []
 
-    def each(block: list, values: np.ndarray) -> np.ndarray:
-        return np.repeat(values, _wide(block[2], len(values)))
-
-    def close() -> pa.RecordBatch:
-        node = np.concatenate([each(r, np.frombuffer(r[0], np.int64)) for r in held])
-        size = np.concatenate([each(r, _wide(r[1], len(r[0]) // 8)) for r in held])
-        mark = np.concatenate([np.frombuffer(r[3], np.int64) for r in held])
-        order = np.lexsort((node, mark))
-        node, size, mark = node[order], size[order], mark[order]
-        first = np.ones(len(mark), bool)
-        first[1:] = (mark[1:] != mark[:-1]) | (node[1:] != node[:-1])
-        node, size, mark = node[first], size[first], mark[first]
-        start = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-        length = np.diff(np.r_[start, len(mark)])
-        listed = np.repeat(length, length)
-        keep = listed > 1
-        none = pa.nulls(int(keep.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [none, pa.array(node[keep]), pa.array(size[keep]), pa.array(mark[keep]), pa.array(listed[keep])], names
-        )
+    def pick(block: list, parts: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node, size and hash of the occurrences of one part of the hashes."""
+        mark, n = np.frombuffer(block[3], np.uint64), len(block[0]) // 8
+        at = np.flatnonzero((mark >> np.uint64(32)) % np.uint64(parts) == np.uint64(part))
+        who = np.repeat(np.arange(n, dtype=np.int32), _wide(block[2], n))[at]
+        return np.frombuffer(block[0], np.int64)[who], _wide(block[1], n)[who], mark[at].view(np.int64)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        # A bucket is widened and sorted by parts, so only its blocks as they were sent are held whole.
+        parts = -(-sum(len(r[3]) // 8 for r in held) // PART)
+        for part in range(parts):
+            node, size, mark = (np.concatenate(c) for c in zip(*(pick(r, parts, part) for r in held)))
+            order = np.lexsort((node, mark))
+            node, size, mark = node[order], size[order], mark[order]
+            first = np.ones(len(mark), bool)
+            first[1:] = (mark[1:] != mark[:-1]) | (node[1:] != node[:-1])
+            node, size, mark = node[first], size[first], mark[first]
+            if not len(mark):
+                continue
+            length = np.diff(np.r_[np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]), len(mark)])
+            listed = np.repeat(length, length)
+            keep = listed > 1
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, pa.array(node[keep]), pa.array(size[keep]), pa.array(mark[keep]), pa.array(listed[keep])], names
+            )
 
     for batch in batches:
         docs = batch.filter(batch["hashes"].is_null())
         if len(docs):
             rest = [pa.nulls(len(docs), pa.int64()), pa.array(np.zeros(len(docs), np.int64))]
             yield pa.RecordBatch.from_arrays([docs["doc_id"], docs["node"], docs["n"], *rest], names)
-        blocks = batch.filter(batch["hashes"].is_valid())
-        for k, *block in zip(*(blocks[c].to_pylist() for c in ("bucket", "nodes", "sizes", "counts", "hashes"))):
-            if k != bucket and held:
-                yield close()
+        columns = [batch[c] for c in ("nodes", "sizes", "counts", "hashes")]
+        places = batch["bucket"].to_pylist()
+        for i in np.flatnonzero(columns[3].is_valid().to_numpy(zero_copy_only=False)).tolist():
+            if places[i] != bucket and held:
+                yield from close()
                 held = []
-            bucket = k
-            held.append(block)
+            bucket = places[i]
+            held.append([c[i].as_buffer() for c in columns])  # views of the batch, no copies
     if held:
-        yield close()
+        yield from close()
 
 
 def _gather(post: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -215,12 +226,17 @@ def link_sets(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
             x = parent[x]
         return x
 
-    marks, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    bound = np.cumsum([0] + [len(s) for s in sets])
-    terms = [np.sort(flat[bound[i] : bound[i + 1]]) for i in range(n_sets)]
-    room = np.bincount(flat, minlength=len(marks))
+    marks = np.concatenate(sets)
+    marks.sort()
+    marks = np.unique(marks)
+    terms = [np.searchsorted(marks, np.sort(s)).astype(np.int32) for s in sets]
+    n_marks = len(marks)
+    del marks, sets
+    room = np.zeros(n_marks, np.int64)
+    for own in terms:
+        room[own] += 1
     begin = np.concatenate([[0], np.cumsum(room)[:-1]])
-    post, fill = np.zeros(len(flat), np.int64), np.zeros(len(marks), np.int64)
+    post, fill = np.zeros(int(room.sum()), np.int32), np.zeros(n_marks, np.int64)
     attached: dict[int, list[int]] = {}
     radius = np.zeros(n_sets)
     centers: list[int] = []
@@ -260,19 +276,23 @@ def _link_unit(pdf):
     import pandas as pd
 
     pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
-    found = link_sets(pdf["n"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in pdf["marks"]])
     node = pdf["node"].to_numpy(np.int64)
+    found = link_sets(pdf["n"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in pdf["marks"]])
     least = np.full(len(node), np.iinfo(np.int64).max)
     np.minimum.at(least, found, node)
+    if sum(map(len, pdf["marks"])) * 4 > UNIT:
+        give_back()
     return pd.DataFrame({"node": node, "root": least[found]})
 
 
 def join(docs: DataFrame, words: int = WORDS, unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, node (null for an empty set), root (node of the component) and component_id of every row."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, -(-size // BUCKET_BYTES))
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(buckets, words), _BLOCK)
-    sent = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # One bucket a task; documents without words carry a bucket too.
+    sent = blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     lists = stage(sent.mapInArrow(tidy(_count_lists), _LIST), "shingle-lists")
     rows = lists.where("listed = 0").select("doc_id", "node", "n")
 

@@ -189,6 +189,37 @@ def test_join_equals_brute_force(spark, unit):
     assert got == {d: (len(sets[d]), want[d]) for d in sets}
 
 
+def test_lists_are_the_same_counted_whole_or_by_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = list(_near_copies(random.Random(3)).values())
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    blocks = pa.Table.from_batches(list(ngram_join._blocks(3, 5)(iter([docs])))).sort_by("bucket")
+
+    def lists(part, rows):
+        monkeypatch.setattr(ngram_join, "PART", part)
+        out = pa.Table.from_batches(list(ngram_join._count_lists(iter(blocks.to_batches(rows)))))
+        return sorted(zip(*(out[c].to_pylist() for c in ("node", "n", "shingle", "listed"))), key=str)
+
+    whole = lists(10**9, 10**6)
+    assert len(whole) > len(texts) and lists(50, 10**6) == whole and lists(50, 1) == whole
+    held = {}
+    for text in texts:
+        own = ngram_join.shingles(text)
+        held.setdefault(own.tobytes(), own)
+    count = Counter(np.concatenate(list(held.values())).view(np.int64).tolist())
+    found = {s: k for _, _, s, k in whole if k}
+    assert found == {s: k for s, k in count.items() if k > 1}
+
+
+def test_join_with_more_buckets_than_shuffle_partitions(spark, monkeypatch):
+    texts = _near_copies(random.Random(4))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = sorted(ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect())
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 3000)
+    assert sorted(ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(500 + i, 501 + i) for i in range(60)]

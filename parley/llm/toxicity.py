@@ -40,6 +40,7 @@ CLEAN_WEIGHT = 4  # a share of clean texts called toxic weighs as much as so man
 RATE = 0.005
 DECAY = 1e-4
 CHUNK = 250_000
+SLICE = 50_000  # words of a text that training holds responses of at once
 CACHE_WORDS = 100_000
 WORD = re.compile(r"\w+")
 _COLUMNS = FILTERS * sum(WIDTHS)
@@ -77,22 +78,39 @@ def responses(projected: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def flatten(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all texts with pad rows (0) between, and the start of each text; a text without words is one pad."""
+def flatten(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all texts with pad rows (0) between, start and end of each text; a text without words is one pad."""
     gap = np.zeros(max(WIDTHS) - 1, np.int64)
     none = np.zeros(1, np.int64)
-    parts, start, at = [], [], 0
+    parts, start, end, at = [], [], [], 0
     for rows in docs:
         own = rows if len(rows) else none
         parts += [own, gap]
         start.append(at)
+        end.append(at + len(own))
         at += len(own) + len(gap)
-    return np.concatenate(parts), np.array(start)
+    return np.concatenate(parts), np.array(start), np.array(end)
 
 
-def _pool(response: np.ndarray, start: np.ndarray) -> np.ndarray:
-    # Windows that begin in the padding see pads alone or nothing more than windows before them.
-    return np.maximum.reduceat(response, start, 0)
+def _pool(response: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    # Only windows that begin in a text: those that begin in the padding reach into the next one.
+    return np.maximum.reduceat(response, np.column_stack([start, end]).ravel()[:-1], 0)[::2]
+
+
+def _tops(projected: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter over one text, and the rows under the filter there."""
+    none = np.zeros(1, np.int64)
+    padded = np.concatenate([rows if len(rows) else none, np.zeros(max(WIDTHS) - 1, np.int64)])
+    best, place = None, None
+    for a in range(0, max(len(rows), 1), SLICE):
+        response = responses(projected, padded[a : a + SLICE + max(WIDTHS) - 1])
+        top = response.argmax(0)
+        found = response[top, np.arange(response.shape[1])]
+        if best is None:
+            best, place = found, top
+        else:
+            best, place = np.maximum(best, found), np.where(found > best, top + a, place)
+    return best, padded[place[:, None] + np.arange(max(WIDTHS))]
 
 
 class Model:
@@ -111,8 +129,8 @@ class Model:
 
     def logits(self, projected: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Logit and index of the guessed language of each text."""
-        flat, start = flatten(docs)
-        pooled = _pool(responses(projected, flat), start[: len(docs)])
+        flat, start, end = flatten(docs)
+        pooled = _pool(responses(projected, flat), start, end)
         logit = np.maximum(pooled + self.bias, 0) @ self.out + self.base
         told = np.add.reduceat(projected[flat, _COLUMNS:], start, 0, dtype=np.float64)
         return logit, told.argmax(1) if told.shape[1] else np.zeros(len(docs), np.int64)
@@ -179,21 +197,17 @@ def fit(texts: list[str], label: np.ndarray, lang: list[str | None], seed: int =
             step += 1
             x = np.concatenate([values["t0"][into[0]], values["t1"][into[1]]], 1)
             projected = np.concatenate([np.zeros((1, _COLUMNS)), x @ values["filters"]]).astype(np.float32)
-            flat, start = flatten([rows[d] for d in chunk])
-            response = responses(projected, flat)
-            pooled = _pool(response, start)
+            pooled, under = (np.stack(c) for c in zip(*(_tops(projected, rows[d]) for d in chunk)))
             hidden = np.maximum(pooled + values["bias"], 0)
             logit = np.clip(hidden @ values["out"] + values["base"], -30, 30)
             error = (1 / (1 + np.exp(-logit)) - label[chunk]) * weight[chunk] / len(chunk)
             back = error[:, None] * values["out"] * (hidden > 0)
             # The gradient of a maximum goes to the place that holds it.
             changed = np.zeros((len(vocabulary) + 1, _COLUMNS))
-            ends = np.append(start[1:], len(response))
             for d in np.flatnonzero(np.abs(back).sum(1) > 1e-9):
-                top = response[start[d] : ends[d]].argmax(0) + start[d]
                 for width, k, at in _blocks():
                     own = WIDTHS.index(width) * FILTERS + np.arange(FILTERS)
-                    changed[flat[top[own] + k], at + np.arange(FILTERS)] += back[d, own]
+                    changed[under[d, own, k], at + np.arange(FILTERS)] += back[d, own]
             changed = changed[1:]
             dx = changed @ values["filters"].T
             slope = {

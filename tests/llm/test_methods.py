@@ -422,6 +422,11 @@ def test_toxicity_learns_the_labels():
         return texts, np.array(label), lang
 
     model = toxicity.fit(*draw(700))
+    store = toxicity._Words(model)
+    whole = [toxicity.words_of(t) for t in [*draw(40)[0], "", "en", " ".join(bad["en"])]]
+    together = model.scores(*model.logits(*store.look(whole)))
+    alone = [model.scores(*model.logits(*store.look([t])))[0] for t in whole]
+    assert np.allclose(together, alone, atol=1e-6)  # a text's score does not depend on the texts around it
     texts, label, _ = draw(400)
     logit, lang = model.logits(*toxicity._Words(model).look([toxicity.words_of(t) for t in texts]))
     predicted = model.scores(logit, lang) >= 0.5

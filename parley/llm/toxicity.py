@@ -16,10 +16,11 @@ results. Columns besides `doc_id`, `text` and, for learning, `lang` are not read
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +29,9 @@ from parley.operators.topn import first_per_group
 
 BUCKETS = 1 << 18
 DIMS = 8
-FILTERS = 4
+FILTERS = 6
 WIDTHS = (1, 2, 3)
-TRAIN_ROWS = 2000  # sampled toxic rows
+TRAIN_ROWS = 2500  # sampled toxic rows
 CLEAN_TO_TOXIC = 2  # sampled clean rows for each of them
 LEAST_DOCS = 3  # sampled documents a word must be in to be learned
 SHRINK = 4  # documents
@@ -139,7 +140,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit - self.shift[lang], -30, 30)))
 
 
-def fit(texts: list[str], label: np.ndarray, lang: list[str | None], seed: int = 7) -> Model:
+def fit(texts: Sequence[str], label: np.ndarray, lang: list[str | None], seed: int = 7) -> Model:
     """Model from a sample of labelled texts."""
     rng = np.random.default_rng(seed)
     model = Model(float(label.mean()) if len(label) else 0.0)
@@ -241,22 +242,24 @@ def fit(texts: list[str], label: np.ndarray, lang: list[str | None], seed: int =
 def _learn_language(model: Model, names: list[str], docs: list[np.ndarray], lang: list[str | None]) -> None:
     """Evidence of each bucket for each language, from how often its words are in documents of that language."""
     model.langs = sorted({x for x in lang if x is not None})
-    counts = np.full((BUCKETS, len(model.langs)), 0.1)
+    counts = np.full((BUCKETS, len(model.langs)), 0.1, np.float32)
     place, _ = buckets(names)
     for words, own in zip(docs, lang):
         if own is not None:
             np.add.at(counts[:, model.langs.index(own)], place[np.unique(words)], 1)
-    rate = counts / counts.sum(0) if model.langs else counts
-    evidence = np.log(rate) - np.log(rate).mean(1, keepdims=True) if model.langs else counts
-    model.evidence = evidence.astype(np.float32)
+    if model.langs:  # in place: the table has a row for each bucket
+        counts /= counts.sum(0, dtype=np.float64)
+        np.log(counts, out=counts)
+        counts -= counts.mean(1, keepdims=True, dtype=np.float64)
+    model.evidence = counts
 
 
-def _calibrate(model: Model, texts: list[str], label: np.ndarray, held: np.ndarray) -> None:
+def _calibrate(model: Model, texts: Sequence[str], label: np.ndarray, held: np.ndarray) -> None:
     """Threshold per language: the best cut of the rows that were left out of training."""
     use = held if 0 < label[held].sum() < held.sum() else np.ones(len(texts), bool)
-    texts, label = [t for t, u in zip(texts, use) if u], label[use]
+    chosen, label = np.flatnonzero(use), label[use]
     store = _Words(model)
-    found = [model.logits(*store.look([words_of(t) for t in texts[k : k + 50]])) for k in range(0, len(texts), 50)]
+    found = [model.logits(*store.look([words_of(texts[d]) for d in chosen[k : k + 50]])) for k in range(0, len(chosen), 50)]
     logit, lang = (np.concatenate(x) for x in zip(*found))
 
     def cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -300,11 +303,24 @@ class _Words:
         return self.projected, [np.fromiter(map(self.row.__getitem__, d), np.int64, len(d)) for d in docs]
 
 
+class _Column(Sequence):
+    """Texts of an Arrow column, each made a string only while it is read."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, at: int) -> str | None:
+        return self.column[int(at)].as_py()
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Model from doc_id, text, lang and the labels (doc_id, toxic); at most `rows` toxic documents are read, and
     CLEAN_TO_TOXIC times as many clean ones.
 
-    A document with several labels counts as toxic if one of them is.
+    A document with several labels counts as toxic if one of them is; of an id with several texts the least is learned.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = docs.select("doc_id").distinct().join(known, "doc_id")
@@ -313,11 +329,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         (F.col("toxic") == 0) | (F.col("rank") <= rows)
     ).select("doc_id", "toxic")
     # (1 + CLEAN_TO_TOXIC) * `rows` ids; the sample of texts is bounded by the same number.
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    table = sample.toPandas().sort_values("doc_id", ignore_index=True)
-    lang = [None if x is None or x != x else x for x in table["lang"]]
-    model = fit(table["text"].tolist(), table["toxic"].to_numpy(np.int64), lang)
-    del table, lang
+    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("row"))
+    table = sample.select("doc_id", "toxic", "row.text", "row.lang").toArrow().sort_by("doc_id")
+    label = table["toxic"].to_numpy().astype(np.int64)
+    model = fit(_Column(table["text"].combine_chunks()), label, table["lang"].to_pylist())
+    del table
     give_back()
     return model
 

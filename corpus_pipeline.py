@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but the last return the
 columns of documents.
+
+Cases: each stage has those of its operator. Null and empty texts have no language and go in that stage; rows that
+share an id are judged each on its own; an empty table gives no pieces; further columns are carried up to packing.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from parley.llm.tokens import public_path
 from parley.session import stage
 
 
-# Words whose ids a task keeps; fewer than by default, because the stages before leave memory with the workers.
-CACHE_WORDS = 350_000
+# Words whose ids a task keeps; fewer than by default, because the stages before leave memory with the executors.
+# It costs time only: the library is asked again for words that were let go.
+CACHE_WORDS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

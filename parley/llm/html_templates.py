@@ -21,7 +21,8 @@ host inside, if it holds main (a form: or article), or if nearly all text of a p
 with an article or h1).
 
 Cases: null or empty html gives empty text. A null url is a host of its own name, "". Unclosed and stray tags are
-tolerated. Copies of a page on a host are counted once, so they do not change a class. Other columns are not read.
+tolerated. Elements nest to any depth; those deeper than PATH_DEPTH share the path of the one at that depth, so a
+template does not tell them apart, but each opens, closes and is furniture on its own. Copies of a page on a host are counted once, so they do not change a class. Other columns are not read.
 """
 
 import html
@@ -35,6 +36,9 @@ from pyspark.sql import functions as F
 
 from parley.session import stage, stage_counted
 
+# Words of class, id and role that a path spells out, and levels that it tells apart.
+LABEL_WORDS = 3
+PATH_DEPTH = 400
 MIN_PAGES = 5
 MIN_TOKENS = 3
 COVERAGE = 0.95
@@ -73,10 +77,10 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "above", "firm", "own", "furniture", "main")
+    __slots__ = ("tag", "path", "above", "firm", "own", "furniture", "main", "depth")
 
     def __init__(self, tag: str, path: str, above: "_Element | None", firm: bool, own: bool, main: "_Element | bool | None"):
-        self.tag, self.path, self.above = tag, path, above
+        self.tag, self.path, self.above, self.depth = tag, path, above, above.depth + 1 if above else 0
         # Furniture by element name, also inherited; named furniture, which may turn out to be a frame; either, inherited.
         self.firm, self.own, self.furniture = firm, own, firm or own or (above is not None and above.furniture)
         # The outermost article or main element around this one.
@@ -98,9 +102,12 @@ def _open(tag: str, attributes: str, above: _Element) -> _Element:
     # Inside an article a header holds its headline.
     firm = above.firm or tag in FURNITURE or (tag == "header" and not above.main)
     own = tag in FORM or tag == "dialog" or any(w in FURNITURE_WORDS for v in named.values() for w in v.split())
-    label = ".".join([tag, *sorted(w for w in words if w)[:3]])
+    named_by = sorted(w for w in words if w)
+    if len(named_by) > LABEL_WORDS:  # the others are told apart by their hash, which keeps paths short
+        named_by[LABEL_WORDS:] = [xxhash.xxh3_64_hexdigest(" ".join(named_by).encode("utf-8", "surrogatepass"))]
+    path = f"{above.path}>{'.'.join([tag, *named_by])}" if above.depth < PATH_DEPTH else above.path
     own = own and not is_main and tag not in NEVER_FURNITURE
-    return _Element(tag, f"{above.path}>{label}", above, firm, own, above.main or is_main or None)
+    return _Element(tag, path, above, firm, own, above.main or is_main or None)
 
 
 def walk(page: str) -> Iterator[tuple[str, _Element, str, bool]]:
@@ -143,8 +150,7 @@ def walk(page: str) -> Iterator[tuple[str, _Element, str, bool]]:
         # A block starts: an open paragraph ends, and so does an open item or cell of the same kind.
         if stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option")):
             stack.pop()
-        if len(stack) < 400:
-            stack.append(_open(tag, attributes, stack[-1]))
+        stack.append(_open(tag, attributes, stack[-1]))
         yield "tag", stack[-1], "", False
 
 

@@ -334,6 +334,21 @@ def test_article_elements_are_evidence_among_the_slots(spark):
     assert _texts(spark, [page.format(k) for k in range(6)]) == [f"All {k}" for k in range(6)]
 
 
+@pytest.mark.parametrize("depth", [10, 399, 400, 401, 3000])
+def test_pages_nest_to_any_depth(depth):
+    page = f"<html><body>{'<div>' * depth}<nav>menu</nav><aside><p>ad</aside><p>First.</p><div>Second.</div>{'</div>' * depth}<footer>end</footer><p>Third."
+    assert html_templates.main_text(page, set(), set(), set()) == "First.\nSecond.\nThird."
+
+
+def test_elements_of_many_class_words_are_told_apart():
+    paths = {
+        element.path
+        for kind, element, _, _ in html_templates.walk("<div class='a b c story'></div><div class='a b c other'></div><div class='c b a story'></div>")
+        if kind == "tag"
+    }
+    assert len(paths) == 2
+
+
 def test_copies_of_a_page_are_one_page_of_the_template(spark):
     page = "<body><nav>Shop</nav><article><h1>Title {0}</h1><p>First {0}.</p><p>Second {0}.</p></article><footer>c</footer></body>"
     text = "Title {0}\nFirst {0}.\nSecond {0}."

@@ -259,6 +259,34 @@ def test_search_equals_brute_force(spark, shard_docs):
         assert all(abs(a - b) < 1e-9 * max(1, b) for (_, _, a), (_, b) in zip(got, want))
 
 
+def test_search_skips_blocks(monkeypatch):
+    """Texts of several vocabularies: blocks of the others are skipped, unread, and the best stay the best."""
+    rng = random.Random(12)
+    texts = [" ".join([f"v{d % 6}"] * 9 + [f"v{d % 6}w{int(rng.paretovariate(0.6)) % 70}" for _ in range(rng.randint(5, 40))] + ["all"]) for d in range(600)]
+    found = [topk_search.terms(t) for t in texts]
+    mean = sum(int(c.sum()) for _, c in found) / len(found)
+    times = [dict(zip(own.tolist(), count.tolist())) for own, count in found]
+    df = Counter(t for held in times for t in held)
+    monkeypatch.setattr(topk_search, "BLOCK", 8)
+    shard = topk_search.Shard([(d, int(c.sum()), t.tobytes(), topk_search._small(c)) for d, (t, c) in enumerate(found)], mean)
+    for q in range(0, 600, 7):
+        own, count = found[q]
+        weight = np.array([n * math.log(1 + (600 - df[t] + 0.5) / (df[t] + 0.5)) for t, n in zip(own.tolist(), count.tolist())])
+        score = np.zeros(600)
+        for d, held in enumerate(times):
+            for t, w in zip(own.tolist(), weight.tolist()):
+                if n := held.get(t):
+                    score[d] += w * (n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(held.values()) / mean)))
+        want = sorted(range(600), key=lambda d: (-round(score[d], 9), d))[:5]
+        places, reached = shard.top(own, weight, 5)
+        assert [shard.ids[p] for p in places] == want
+        assert np.allclose(reached, score[want])
+    # "all" stands in every block.
+    assert shard.seen["blocks"] == 75 * len(range(0, 600, 7))
+    assert shard.seen["opened"] < shard.seen["blocks"] / 3
+    assert shard.seen["walked"] < shard.seen["postings"] * 0.8
+
+
 # Packing and sharding --------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from parley.fixed import wording as fx
 from parley.functions import text as tx
 from parley.functions.rates import rounded
-from parley.operators import containment, pruned_join
+from parley.operators import containment
 from parley.operators.topn import first_per_group
 from parley.session import drop_staged, spread, stage, stage_counted, tasks
 
@@ -26,7 +26,10 @@ from parley.session import drop_staged, spread, stage, stage_counted, tasks
 BROADCAST_ROWS = 1_000_000
 # Scores that a task holds at a time: queries x documents.
 BLOCK_CELLS = 2_000_000
-# A term in more documents than this is split over several join keys.
+# Postings of a block of documents, and query terms of a block of queries, that meet in one task.
+BLOCK_POSTINGS = 1_000_000
+BLOCK_TERMS = 200_000
+# An index of more documents than this is cut into at least a block for every task.
 HOT_TERM_DOCS = 50_000
 # Scores closer than this are ties, so that summation order cannot change a ranking.
 SCORE_DIGITS = 12
@@ -43,7 +46,6 @@ class TermIndex:
     n_docs: int
     n_postings: int
     arrays: Broadcast | None = field(default=None, repr=False)
-    blocks: pruned_join.Blocks | None = field(default=None, repr=False)
 
 
 def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -71,11 +73,17 @@ def tfidf_index(docs: DataFrame, max_terms: int = fx.MAX_TERMS) -> TermIndex:
     leave the task that reads a document, as numbers. The vocabulary has at most `max_terms` rows and is broadcast.
     """
     body = spread(docs.select("doc_ord", F.col("category").alias("doc_category"), index_text().alias("body")))
-    words = tx.unigrams_and_bigrams(F.col("words"))
-    terms = body.select("doc_ord", "doc_category", tx.index_words(F.col("body")).alias("words")).select(
-        "doc_ord", "doc_category", F.explode(words).alias("term")
-    )
-    chosen = vocabulary(terms.groupBy("term").agg(F.count("*").alias("total")), max_terms)
+    words = body.select("doc_ord", "doc_category", tx.index_words(F.col("body")).alias("words"))
+    # A word and the one after it (null at the end): one row for two terms. Words hold no blank.
+    after = F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(0)))
+    pairs = words.select("doc_ord", "doc_category", F.inline(F.arrays_zip("words", after.alias("next"))).alias("a", "b"))
+    both = F.concat("a", F.lit(" "), "b")
+    seen = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "word-pairs")
+    singles = seen.groupBy(F.col("a").alias("term")).agg(F.sum("n").alias("total"))
+    doubles = seen.where("b is not null").select(both.alias("term"), F.col("n").alias("total"))
+    chosen = vocabulary(singles.unionByName(doubles), max_terms)
+    drop_staged(seen)
+    terms = pairs.select("doc_ord", "doc_category", F.explode(F.array("a", both)).alias("term"))
     counts = stage(
         terms.join(F.broadcast(chosen), "term")
         .groupBy("doc_ord", "doc_category", "term_id")
@@ -89,7 +97,11 @@ def vocabulary(totals: DataFrame, max_terms: int) -> DataFrame:
     """(term, term_id) of the terms with the largest totals; at most max_terms rows."""
     if max_terms > BROADCAST_ROWS:
         raise ValueError(f"a vocabulary of more than {BROADCAST_ROWS} terms cannot be sent to every task")
-    ranked = totals.withColumn("_all", F.lit(0))
+    # Only terms with the total of the last one chosen, or a larger one, are ranked; totals have few different values.
+    upto = Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
+    values = totals.groupBy("total").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    least = values.where(F.col("before") < max_terms).agg(F.min("total").alias("least"))
+    ranked = totals.join(F.broadcast(least), F.col("total") >= F.col("least")).drop("least").withColumn("_all", F.lit(0))
     chosen = first_per_group(ranked, ["_all"], [F.desc("total"), F.col("term")], max_terms, spread=F.col("term"))
     return stage(chosen.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id")), "terms")
 
@@ -156,70 +168,115 @@ def _arrays(index: TermIndex) -> Broadcast:
     return index.arrays
 
 
+def _per_query(terms: DataFrame) -> DataFrame:
+    """(qid, q_category, ids, weights), one row per query, terms in order."""
+    per_query = terms.groupBy("qid", "q_category").agg(
+        F.array_sort(F.collect_list(F.struct("term_id", "q_weight"))).alias("t")
+    )
+    return per_query.select("qid", "q_category", F.col("t.term_id").alias("ids"), F.col("t.q_weight").alias("weights"))
+
+
+def _different(queries: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Queries (q_category, ids, weights) that differ, and (query, at): which of them each row equals."""
+    keys = zip(queries["q_category"].fillna(""), queries["ids"].map(bytes), queries["weights"].map(bytes))
+    which, _ = pd.factorize(pd.Series(list(keys), dtype=object))
+    first = np.flatnonzero(~pd.Series(which).duplicated().to_numpy())
+    return queries.iloc[first].reset_index(drop=True), pd.DataFrame({"query": which, "at": np.arange(len(which))})
+
+
+def _named(found: pd.DataFrame, qids: pd.Series, place: str) -> pd.DataFrame:
+    """Add the qid at a place. The column holds objects, because an empty string column cannot be sent back."""
+    return found.assign(qid=pd.Series(qids.to_numpy(dtype=object)[found[place]], index=found.index, dtype=object))
+
+
+def _best_of_block(queries: pd.DataFrame, block: tuple, top_k: int, threshold: float) -> Iterator[pd.DataFrame]:
+    """(query, doc_ord, raw, rank): best documents of a block for every query, by its place in `queries`."""
+    docs, categories, starts, place, weight = block
+    n_docs, scale = len(docs), 10.0**SCORE_DIGITS
+    step = max(1, BLOCK_CELLS // max(n_docs, 1))
+    for begin in range(0, len(queries) if n_docs else 0, step):
+        rows = queries.iloc[begin : begin + step]
+        n_terms = rows["ids"].map(len).to_numpy()
+        ids, q_weights = (np.concatenate(rows[c].to_list()) for c in ("ids", "weights"))
+        length = starts[ids + 1] - starts[ids]
+        at = np.arange(length.sum()) + np.repeat(starts[ids] - np.cumsum(length) + length, length)
+        query = np.repeat(np.repeat(np.arange(len(rows)), n_terms), length)
+        gained = np.repeat(q_weights, length) * weight[at]
+        scores = np.bincount(query * n_docs + place[at], gained, len(rows) * n_docs).reshape(len(rows), n_docs)
+        asked = rows["q_category"].fillna("").to_numpy()
+        same = np.where(categories == asked[:, None], fx.SAME_CATEGORY_BOOST, fx.OTHER_CATEGORY_FACTOR)
+        scores = np.where((asked == "")[:, None], scores, scores * same)
+        scores = np.floor(scores * scale + 0.5) / scale  # as functions.rates.rounded does
+        floor = np.full(len(rows), threshold)
+        if n_docs > top_k:
+            floor = np.maximum(floor, np.partition(scores, n_docs - top_k, 1)[:, n_docs - top_k])
+        q, d = np.nonzero(scores >= floor[:, None])
+        order = np.lexsort((d, -scores[q, d], q))
+        q, d = q[order], d[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, d, rank = (x[rank < top_k] for x in (q, d, rank))
+        yield pd.DataFrame({"query": begin + q, "doc_ord": docs[d], "raw": scores[q, d], "rank": rank + 1})
+
+
 def _search_small_index(terms: DataFrame, index: TermIndex, top_k: int, threshold: float) -> DataFrame:
     """Every query scored against the whole index inside its own task; nothing is shuffled.
 
     A term join would emit a row per query and matching document here, thousands per query, only to sum them up.
     """
     packed = _arrays(index)
-    per_query = terms.groupBy("qid", "q_category").agg(
-        F.array_sort(F.collect_list(F.struct("term_id", "q_weight"))).alias("t")
-    )
-    per_query = per_query.select("qid", "q_category", F.col("t.term_id").alias("ids"), F.col("t.q_weight").alias("weights"))
+    per_query = _per_query(terms)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, categories, starts, place, weight = packed.value
-        n_docs, scale = len(docs), 10.0**SCORE_DIGITS
-        step = max(1, BLOCK_CELLS // max(n_docs, 1))
-
-        def block(rows: pd.DataFrame) -> pd.DataFrame:
-            """Best documents of some queries, from one array of queries x documents."""
-            n_terms = rows["ids"].map(len).to_numpy()
-            ids, q_weights = (np.concatenate(rows[c].to_list()) for c in ("ids", "weights"))
-            length = starts[ids + 1] - starts[ids]
-            at = np.arange(length.sum()) + np.repeat(starts[ids] - np.cumsum(length) + length, length)
-            query = np.repeat(np.repeat(np.arange(len(rows)), n_terms), length)
-            gained = np.repeat(q_weights, length) * weight[at]
-            scores = np.bincount(query * n_docs + place[at], gained, len(rows) * n_docs).reshape(len(rows), n_docs)
-            asked = rows["q_category"].fillna("").to_numpy()
-            same = np.where(categories == asked[:, None], fx.SAME_CATEGORY_BOOST, fx.OTHER_CATEGORY_FACTOR)
-            scores = np.where((asked == "")[:, None], scores, scores * same)
-            scores = np.floor(scores * scale + 0.5) / scale  # as functions.rates.rounded does
-            floor = np.full(len(rows), threshold)
-            if n_docs > top_k:
-                floor = np.maximum(floor, np.partition(scores, n_docs - top_k, 1)[:, n_docs - top_k])
-            q, d = np.nonzero(scores >= floor[:, None])
-            order = np.lexsort((d, -scores[q, d], q))
-            q, d = q[order], d[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            q, d, rank = (x[rank < top_k] for x in (q, d, rank))
-            return pd.DataFrame({"qid": rows["qid"].to_numpy()[q], "doc_ord": docs[d], "raw": scores[q, d], "rank": rank + 1})
-
         for batch in batches:
-            for first in range(0, len(batch) if n_docs else 0, step):
-                yield block(batch.iloc[first : first + step])
+            asked, which = _different(batch)
+            for found in _best_of_block(asked, packed.value, top_k, threshold):
+                found = found.merge(which, on="query")
+                yield _named(found, batch["qid"], "at")[["qid", "doc_ord", "raw", "rank"]]
 
     return per_query.mapInPandas(score, "qid string, doc_ord long, raw double, rank int")
 
 
-def _search_by_join(
-    terms: DataFrame, index: TermIndex, top_k: int, threshold: float, broadcast_rows: int, hot_term_docs: int
-) -> DataFrame:
-    """Pruned term join for an index of any size."""
-    if index.blocks is None:
-        index.blocks = pruned_join.blocks(index.postings, index.vocab)
-    return pruned_join.search(
-        stage(terms, "query-terms"),
-        index.blocks,
-        top_k,
-        threshold,
-        fx.SAME_CATEGORY_BOOST,
-        fx.OTHER_CATEGORY_FACTOR,
-        SCORE_DIGITS,
-        broadcast_rows,
-        hot_term_docs,
+def _search_by_blocks(terms: DataFrame, index: TermIndex, top_k: int, threshold: float, hot_term_docs: int) -> DataFrame:
+    """Blocks of documents meet blocks of queries, one pair in a task at a time, for an index and queries of any size.
+
+    Only postings of terms that are asked for are shuffled. A term join would form a row for each of them and each query
+    that asks for it, a thousand times what the best documents of a block are. A hot term is in many blocks.
+    """
+    terms, n_terms = stage_counted(terms, "query-terms", F.count("*"))
+    n_blocks = max(1, -(-n_terms // BLOCK_TERMS))
+    n_shards = max(-(-index.n_postings // BLOCK_POSTINGS), tasks(terms.sparkSession) if index.n_docs > hot_term_docs else 1)
+    key = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _per_query(terms).select("*", key("qid", n_blocks).alias("block"), every(n_shards).alias("shard"))
+    wanted = terms.select(F.col("term").alias("term"), F.col("term_id").alias("term_id")).distinct()
+    rows = (
+        index.postings.join(F.broadcast(wanted), "term")
+        .select("doc_ord", "doc_category", "term_id", "weight", key("doc_ord", n_shards).alias("shard"))
+        .withColumn("block", every(n_blocks))
     )
 
+    def best(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or asked.empty:
+            return pd.DataFrame({"qid": [], "doc_ord": [], "raw": []}, dtype=object)
+        docs["place"] = docs.groupby(["doc_ord", "doc_category"], dropna=False).ngroup()
+        heads = docs.drop_duplicates("place").sort_values("place")
+        docs = docs.sort_values(["term_id", "place"])
+        last = max(ids[-1] for ids in asked["ids"])
+        starts = np.searchsorted(docs["term_id"].to_numpy(), np.arange(last + 2))
+        block = (
+            heads["doc_ord"].to_numpy(),
+            heads["doc_category"].to_numpy(dtype=object),
+            starts,
+            docs["place"].to_numpy(),
+            docs["weight"].to_numpy(),
+        )
+        found = pd.concat(_best_of_block(asked, block, top_k, threshold))
+        return _named(found, asked["qid"], "query")[["qid", "doc_ord", "raw"]]
+
+    pair = ["shard", "block"]
+    found = rows.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInPandas(best, "qid string, doc_ord long, raw double")
+    return first_per_group(found, ["qid"], [F.desc("raw"), F.col("doc_ord")], top_k, spread=F.col("doc_ord"))
+
 
 def tfidf_search(
     queries: DataFrame,
@@ -240,7 +297,7 @@ def tfidf_search(
     if index.n_postings <= broadcast_rows:
         best = _search_small_index(terms, index, top_k, threshold)
     else:
-        best = _search_by_join(terms, index, top_k, threshold, broadcast_rows, hot_term_docs)
+        best = _search_by_blocks(terms, index, top_k, threshold, hot_term_docs)
     return best.select("qid", "doc_ord", rounded(F.least("raw", F.lit(1.0)), 4).alias("score"), "rank")
 
 

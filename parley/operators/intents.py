@@ -17,12 +17,16 @@ PREDICTION = ["intent", "confidence", "is_ambiguous", "margin", "explanation", "
 
 
 def pattern_mask(text: str, folded: str) -> Column:
-    """One bit per pattern of the pack; every pattern is searched at most once per text."""
+    """One bit per pattern of the pack; every pattern is searched at most once per text.
+
+    As one method of whole-stage code the tests are larger than what the JVM compiles, and would run byte code by byte
+    code. A function over an array keeps the projection out of it, so that its code is cut into small methods.
+    """
     bits = (
         f"CASE WHEN {tx.has_sql(text, pattern, folded)} THEN {1 << i}L ELSE 0L END"
         for i, (_, pattern, _) in enumerate(INTENT_PATTERNS)
     )
-    return F.expr(" | ".join(bits))
+    return F.expr(f"CASE WHEN exists(array({folded}), x -> x IS NULL) THEN 0L ELSE {' | '.join(bits)} END")
 
 
 def _score(intent: str) -> str:
@@ -42,18 +46,17 @@ def heuristic_intent(
 
     Probabilities are rounded before they are ranked; equal ones keep the intent order.
     """
-    own, n = df.columns, len(INTENT_NAMES)
+    own = df.columns
     scored = df.select(*own, tx.strip(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     scored = scored.select("*", fold(F.col("_text")).alias("_folded"))
     scored = scored.select(*own, pattern_mask("_text", "_folded").alias("_mask"))
     scored = scored.selectExpr("*", f"array({', '.join(_score(name) for name in INTENT_NAMES)}) AS _scores")
-    scored = scored.selectExpr("*", " + ".join(f"_scores[{i}]" for i in range(n)) + " AS _total")
-    shares = ", ".join(f"floor(_scores[{i}] / _total * 10000D + 0.5D) / 10000D" for i in range(n))
-    scored = scored.selectExpr("*", f"array({shares}) AS _p")
+    scored = scored.selectExpr("*", "aggregate(_scores, 0D, (a, s) -> a + s) AS _total")
+    scored = scored.selectExpr("*", "transform(_scores, s -> floor(s / _total * 10000D + 0.5D) / 10000D) AS _p")
     # The first place of the highest value, and the highest of the other values.
     scored = scored.selectExpr("*", "CAST(array_position(_p, array_max(_p)) AS INT) AS _at")
-    others = ", ".join(f"CASE WHEN _at != {i + 1} THEN _p[{i}] END" for i in range(n))
-    scored = scored.selectExpr("*", "_p[_at - 1] AS _top", f"array_max(array({others})) AS _second")
+    others = "transform(_p, (p, i) -> CASE WHEN _at != i + 1 THEN p END)"
+    scored = scored.selectExpr("*", "_p[_at - 1] AS _top", f"array_max({others}) AS _second")
     matched = F.col("_mask") != 0
     margin = rounded(F.col("_top") - F.col("_second"), 4)
     names = tx.literals(INTENT_NAMES)

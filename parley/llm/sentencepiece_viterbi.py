@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS = 150_000
 CACHE_PARTS = 500_000
 CACHED_LENGTH = 48
+# Characters of the texts whose new words are walked together.
+GROUP = 1_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -92,10 +93,12 @@ class Model:
         lengths: dict[str, set[int]] = {}
         for p in self.id:
             if len(p) > 2:
-                lengths.setdefault(p[-3:], {2, 1}).add(len(p))
+                lengths.setdefault(p[-3:], {2, 1} if p[-2:] in self.id else {1}).add(len(p))
         self.ends = {pair: tuple(sorted(own, reverse=True)) for pair, own in lengths.items()}
         self.spelled = [self._bytes(p, t) for p, _, t in self.pieces]
-        self._joint: dict[tuple[str, str], bool] = {}
+        self.unit = [struct.pack("=I", k) for k in range(len(self.pieces))]
+        # Pairs of piece ids, the left one times the number of pieces plus the right one; -1 for none on the left.
+        self.joint: dict[int, bool] = {}
 
     @staticmethod
     def _bytes(piece: str, kind: int) -> bytes:
@@ -112,27 +115,34 @@ class Model:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces by merging the best pair over and over; for strings of two pieces at most."""
-        parts, score = list(text), self.score
-        while True:
-            best, at = -float("inf"), -1
-            for k in range(len(parts) - 1):
-                own = score.get(parts[k] + parts[k + 1])
-                if own is not None and own > best:
-                    best, at = own, k
-            if at < 0:
-                return parts
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging the best pair over and over ends in these two pieces; it must never join across their border."""
+        parts, get, none = list(left + right), self.score.get, -float("inf")
+        rank = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        border = len(left) - 1
+        while rank:
+            best = max(rank)
+            if best == none:
+                break
+            at = rank.index(best)
+            if at == border:
+                return False
+            if at < border:
+                border -= 1
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def stands(self, left: str, right: str) -> bool:
-        """Whether two neighbouring pieces stay apart, and each stays whole, under the merge rule."""
-        key = (left, right)
-        known = self._joint.get(key)
-        if known is None:
-            if len(self._joint) > CACHE_PARTS:
-                self._joint.clear()
-            known = self._joint[key] = self.merged(left + right) == [p for p in key if p]
+            del rank[at]
+            if at:
+                rank[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(rank):
+                rank[at] = get(parts[at] + parts[at + 1], none)
+        return parts == ([left, right] if left else [right])
+
+    def stands(self, left: int, right: int) -> bool:
+        """Whether two neighbouring pieces stay apart, and each stays whole, under the merge rule; -1: none on the left."""
+        if len(self.joint) > CACHE_PARTS:
+            self.joint.clear()
+        known = self.apart(self.pieces[left][0] if left >= 0 else "", self.pieces[right][0])
+        self.joint[left * len(self.pieces) + right] = known
         return known
 
 
@@ -144,23 +154,15 @@ def _spell(model: Model, piece: str) -> list[int]:
     return [model.byte[b] for b in piece.encode("utf-8", "surrogatepass")] if model.byte else [model.unknown]
 
 
-def viterbi(model: Model, text: str, commit: Callable[[str], None]) -> int:
-    """Send the pieces of a normalised text to `commit` in order; returns the largest number of boundaries held."""
-    longest, known, bpe, stands = model.longest, model.id, model.kind == BPE, model.stands
-    ends, few = model.ends, (2, 1)
-    # Per boundary: boundary before, its piece, total score. The committed boundary is the only one without a piece.
-    back: dict[int, tuple[int, str, float]] = {0: (-1, "", 0.0)}
-    done = held = 0
+# Per boundary: boundary before, its piece, and the id of the piece (merge model; -1 for none) or the total score.
+Back = dict[int, tuple[int, str, float]]
 
-    def path(to: int) -> list[str]:
-        out = []
-        while to != done:
-            to, piece, _ = back[to]
-            out.append(piece)
-        return out[::-1]
 
-    for end in range(1, len(text) + 1):
-        best = None
+def _merge_edges(model: Model, text: str, low: int, high: int, back: Back) -> None:
+    """Back pointers of the boundaries behind low up to high: the longest piece that stands behind its predecessor."""
+    known, joint, stands, n = model.id, model.joint, model.stands, len(model.pieces)
+    ends, few = model.ends, (2, 1)
+    for end in range(low + 1, high + 1):
         # Lengths of the pieces that end in the same three characters, longest first.
         for size in ends.get(text[end - 3 : end], few) if end > 2 else few:
             start = end - size
@@ -168,46 +170,137 @@ def viterbi(model: Model, text: str, commit: Callable[[str], None]) -> int:
             if before is None:
                 continue
             piece = text[start:end]
-            if size > 1 and piece not in known:
-                continue
-            last = before[1]
-            if bpe:
+            own = known.get(piece)
+            if own is None:
                 # A character without a piece never merges.
-                if piece not in known or last not in known or stands(last, piece):
-                    if size == 1 or last in known or stands("", piece):
-                        best = (start, piece, 0.0)
-                        break
+                if size == 1:
+                    back[end] = (start, piece, -1)
+                    break
+                continue
+            last = before[2]
+            if last < 0 and size == 1:
+                fits = True
             else:
-                total = before[2] + model.score.get(piece, model.worst)
-                if best is None or total > best[2]:
-                    best = (start, piece, total)
+                fits = joint.get(last * n + own)
+                if fits is None:
+                    fits = stands(last, own)
+            if fits:
+                back[end] = (start, piece, own)
+                break
+
+
+def _score_edges(model: Model, text: str, low: int, high: int, back: Back) -> None:
+    """Back pointers of the boundaries behind low up to high: the best sum of scores."""
+    ends, few = model.ends, (2, 1)
+    for end in range(low + 1, high + 1):
+        best = None
+        for size in ends.get(text[end - 3 : end], few) if end > 2 else few:
+            start = end - size
+            before = back.get(start)
+            if before is None:
+                continue
+            piece = text[start:end]
+            if size > 1 and piece not in model.id:
+                continue
+            total = before[2] + model.score.get(piece, model.worst)
+            if best is None or total > best[2]:
+                best = (start, piece, total)
         if best is not None:
             back[end] = best
-        if len(back) > 2 * longest or end == len(text):
-            live = {b for b in range(max(done, end - longest + 1), end + 1) if b in back} if end < len(text) else {end}
-            while len(live) > 1:
-                top = max(live)
-                live.remove(top)
-                live.add(back[top][0])
-            (meet,) = live
-            held = max(held, len(back))
-            if meet > done:
-                for piece in path(meet):
-                    commit(piece)
-                keep = {b: v for b, v in back.items() if b > meet}
-                # The last piece stays, because the next one must stand behind it.
-                back = {meet: (-1, back[meet][1], back[meet][2]), **keep}
-                done = meet
+
+
+def viterbi(model: Model, text: str, commit: Callable[[str], None]) -> int:
+    """Send the pieces of a normalised text to `commit` in order; returns the largest number of boundaries held."""
+    longest, size = model.longest, len(text)
+    edges, first = (_merge_edges, -1) if model.kind == BPE else (_score_edges, 0.0)
+    # The committed boundary is the only one without a piece.
+    back: Back = {0: (-1, "", first)}
+    done = held = end = 0
+
+    def path(to: int) -> list[str]:
+        out = []
+        while to != done:
+            to, piece, _ = back[to]
+            out.append(piece)
+        return out[::-1]
+
+    while end < size:
+        low, end = end, min(end + longest, size)
+        edges(model, text, low, end, back)
+        held = max(held, len(back))
+        if end == size:
+            for piece in path(end):
+                commit(piece)
+            break
+        live = {b for b in range(max(done, end - longest + 1), end + 1) if b in back}
+        while len(live) > 1:
+            top = max(live)
+            live.remove(top)
+            live.add(back[top][0])
+        (meet,) = live
+        if meet > done:
+            for piece in path(meet):
+                commit(piece)
+            keep = {b: v for b, v in back.items() if b > meet}
+            # What is known of the last piece stays, because the next one must stand behind it.
+            back = {meet: (-1, *back[meet][1:]), **keep}
+            done = meet
     return held
 
 
+def walk_sorted(model: Model, texts: list[str], found: dict[str, bytes]) -> int:
+    """Add the ids of short texts under a merge model to `found`; returns the characters walked.
+
+    What stands before a boundary decides its last piece, so in sorted order each text goes on where it leaves the last.
+    """
+    known, joint, stands, n, unit = model.id, model.joint, model.stands, len(model.pieces), model.unit
+    ends, few = model.ends, (2, 1)
+    # Per boundary: id of its last piece (-1: a character without one, or the start; None: no path) and all ids up to it.
+    room = max(map(len, texts), default=0) + 1
+    lasts: list[int | None] = [-1] * room
+    ids = [b""] * room
+    before, walked = "", 0
+    for text in sorted(texts):
+        same = 0
+        for a, b in zip(text, before):
+            if a != b:
+                break
+            same += 1
+        before, walked = text, walked + len(text) - same
+        for end in range(same + 1, len(text) + 1):
+            lasts[end] = None
+            for size in ends.get(text[end - 3 : end], few) if end > 2 else few:
+                start = end - size
+                if start < 0:
+                    continue
+                last = lasts[start]
+                if last is None:
+                    continue
+                own = known.get(text[start:end])
+                if own is None:
+                    # A character without a piece never merges.
+                    if size == 1:
+                        lasts[end], ids[end] = -1, ids[start] + array.array("I", _spell(model, text[start:end])).tobytes()
+                        break
+                    continue
+                if last >= 0 or size > 1:
+                    fits = joint.get(last * n + own)
+                    if fits is None:
+                        fits = stands(last, own)
+                    if not fits:
+                        continue
+                lasts[end], ids[end] = own, ids[start] + unit[own]
+                break
+        found[text] = ids[len(text)]
+    return walked
+
+
 class Encoder:
-    """Ids of whole texts, with the ids of recent words kept."""
+    """Ids of whole texts, with the ids of the parts of recent words kept."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.model = Model(f.read())
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -215,37 +308,54 @@ class Encoder:
         viterbi(self.model, text, lambda piece: out.extend(_spell(self.model, piece)))
         return out.tobytes()
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self._ids(part)
-            if len(part) <= CACHED_LENGTH:
-                if len(self.parts) >= CACHE_PARTS:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word; a last character behind a forced boundary, such as a mark, is looked up on its own."""
-        if len(word) > 1 and word[-2:] not in self.model.inside:
-            return self._part(word[:-1]) + self._part(word[-1])
-        return self._part(word)
+    def _words(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words; parts not seen before are walked together."""
+        inside, get = self.model.inside, self.parts.get
+        done: dict[str, bytes] = {}
+        left: list[tuple[str, str, str]] = []
+        fresh: set[str] = set()
+        for word in new:
+            # A last character behind a forced boundary, such as a mark, is looked up on its own.
+            part, mark = (word, "") if len(word) == 1 or word[-2:] in inside else (word[:-1], word[-1])
+            ids, end = get(part), get(mark) if mark else b""
+            if ids is None or end is None:
+                left.append((word, part, mark))
+                fresh.update(p for p in (part, mark) if p and p not in self.parts)
+            else:
+                done[word] = ids + end
+        short = [p for p in fresh if len(p) <= CACHED_LENGTH]
+        found = {p: self._ids(p) for p in fresh if len(p) > CACHED_LENGTH or self.model.kind != BPE}
+        if self.model.kind == BPE:
+            walk_sorted(self.model, short, found)
+        for word, part, mark in left:
+            ids = found.get(part)
+            end = found.get(mark) if mark else b""
+            done[word] = (self.parts[part] if ids is None else ids) + (self.parts[mark] if end is None else end)
+        if len(self.parts) + len(short) > CACHE_PARTS:
+            self.parts.clear()
+        self.parts.update((p, found[p]) for p in short)
+        return done
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, taken in groups of bounded size."""
+        out: list[bytes] = []
+        low = 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and size < GROUP:
+                size, high = size + len(texts[high] or ""), high + 1
+            normal = [self.model.normal(t or "") for t in texts[low:high]]
+            if self.model.by_word:
+                words = [_CHUNK.findall(t) for t in normal]
+                ids = self._words(set().union(*words))
+                out.extend(b"".join(map(ids.__getitem__, w)) for w in words)
+            else:
+                out.extend(map(self._ids, normal))
+            low = high
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        text = self.model.normal(text or "")
-        if not self.model.by_word:
-            return self._ids(text)
-        parts = []
-        for word in _CHUNK.findall(text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= CACHED_LENGTH:
-                    if len(self.words) >= CACHE_WORDS:
-                        self.words.clear()
-                    self.words[word] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: pieces and byte pieces one after another, without the space that stands for the start."""
@@ -270,7 +380,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ids = [own.encode(t.as_py()) for t in batch["text"]]
+            ids = own.encode_all(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")

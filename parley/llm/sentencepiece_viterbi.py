@@ -19,7 +19,7 @@ import array
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -301,7 +301,9 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.model = Model(f.read())
+        # Two generations of parts: when the young one is full, it becomes the old one.
         self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         out = array.array("I")
@@ -310,7 +312,8 @@ class Encoder:
 
     def _words(self, new: set[str]) -> dict[str, bytes]:
         """Ids of words; parts not seen before are walked together."""
-        inside, get = self.model.inside, self.parts.get
+        inside, parts, old = self.model.inside, self.parts, self.old
+        get = parts.get
         done: dict[str, bytes] = {}
         left: list[tuple[str, str, str]] = []
         fresh: set[str] = set()
@@ -319,8 +322,13 @@ class Encoder:
             part, mark = (word, "") if len(word) == 1 or word[-2:] in inside else (word[:-1], word[-1])
             ids, end = get(part), get(mark) if mark else b""
             if ids is None or end is None:
+                for p in (part, mark):
+                    if p and p not in parts:
+                        if p in old:
+                            parts[p] = old.pop(p)
+                        else:
+                            fresh.add(p)
                 left.append((word, part, mark))
-                fresh.update(p for p in (part, mark) if p and p not in self.parts)
             else:
                 done[word] = ids + end
         short = [p for p in fresh if len(p) <= CACHED_LENGTH]
@@ -330,32 +338,35 @@ class Encoder:
         for word, part, mark in left:
             ids = found.get(part)
             end = found.get(mark) if mark else b""
-            done[word] = (self.parts[part] if ids is None else ids) + (self.parts[mark] if end is None else end)
-        if len(self.parts) + len(short) > CACHE_PARTS:
-            self.parts.clear()
+            done[word] = (parts[part] if ids is None else ids) + (parts[mark] if end is None else end)
+        if len(parts) + len(short) > CACHE_PARTS // 2:
+            self.old, self.parts = parts, {}
         self.parts.update((p, found[p]) for p in short)
         return done
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of whole texts, taken in groups of bounded size."""
-        out: list[bytes] = []
-        low = 0
-        while low < len(texts):
-            high, size = low, 0
-            while high < len(texts) and size < GROUP:
-                size, high = size + len(texts[high] or ""), high + 1
-            normal = [self.model.normal(t or "") for t in texts[low:high]]
-            if self.model.by_word:
-                words = [_CHUNK.findall(t) for t in normal]
-                ids = self._words(set().union(*words))
-                out.extend(b"".join(map(ids.__getitem__, w)) for w in words)
-            else:
-                out.extend(map(self._ids, normal))
-            low = high
-        return out
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(self.model.normal(text or ""))
+            size += len(group[-1])
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.model.by_word:
+            yield from map(self._ids, texts)
+            return
+        words = [_CHUNK.findall(t) for t in texts]
+        ids = self._words(set().union(*words))
+        for own in words:
+            yield b"".join(map(ids.__getitem__, own))
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: pieces and byte pieces one after another, without the space that stands for the start."""
@@ -380,7 +391,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ids = own.encode_all(batch["text"].to_pylist())
+            ids = list(own.encode_all(t.as_py() for t in batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")

@@ -39,6 +39,6 @@ def test_groups_and_full_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(viterbi, "GROUP", 500)
     monkeypatch.setattr(viterbi, "CACHE_PARTS", 100)
     own = viterbi.Encoder(path)
-    found = own.encode_all(texts)
+    found = list(own.encode_all(texts))
     assert [np.frombuffer(i, np.uint32).tolist() for i in found] == [library.encode(t or "") for t in texts]
     assert len(own.parts) <= 2 * 100 and len(own.model.joint) <= 101 + 1
